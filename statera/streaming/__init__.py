@@ -1,0 +1 @@
+"""Every operator of this library is a batch DataFrame -> DataFrame function; there is no streaming-only operator."""
