@@ -4,15 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statera.llm.common import table
+from statera.llm.common import fresh_path, table
+from statera.llm.compaction import compacted_documents
+from statera.llm.license_align import license_scan
 from statera.llm.mixture import mix_report
+from statera.llm.order_minhash import edit_report
 from statera.llm.packing import packed_documents
 from statera.llm.simhash_trie import near_duplicates
+from statera.llm.token_cache import TokenCache, token_counts
+from statera.llm.token_store import read_store, write_store
+from statera.llm.topk_threshold import top_k
 from statera.llm.toxicity import toxicity_scores
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_store(spark, path)
+
+
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compacted_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = TokenCache(spark, fresh_path(spark, "token-cache"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), cache)
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -30,7 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixture": op4_mixture, "op8_simhash": op8_simhash, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_token_store": op1_token_store,
+        "op2_compaction": op2_compaction,
+        "op3_top_k": op3_top_k,
+        "op4_mixture": op4_mixture,
+        "op5_licenses": op5_licenses,
+        "op6_order_minhash": op6_order_minhash,
+        "op7_token_counts": op7_token_counts,
+        "op8_simhash": op8_simhash,
+        "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
