@@ -93,4 +93,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, s
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) for each row."""
     out = with_copies(docs.select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

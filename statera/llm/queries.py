@@ -79,5 +79,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Each document's place in the mix: sources share all words by weight, full ones (3 times their size) first, then ranks by size class, salt and id.
+MIX_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+k AS (SELECT *, length(bin(size)) AS bits, CAST(concat('0x', md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:4]) AS BIGINT) % 16 AS salt FROM d),
+c AS (SELECT *, greatest(bits - 5, 0) * 16 + (size >> greatest(bits - 5, 0)) AS class FROM k),
+s AS (SELECT source, sum(size) AS source_size, (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS n FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM o),
+t AS (SELECT source, source_size, least(3.0 * source_size, weight * (SELECT arg_min(level, n) FROM l WHERE level * weight <= 3 * source_size)) AS target FROM l),
+r AS (SELECT c.*, CAST(t.source_size AS BIGINT) AS source_size, CAST(t.target AS DOUBLE) AS target, CASE WHEN t.source_size > 0 THEN CAST(t.target AS DOUBLE) / t.source_size ELSE 0 END AS rate,
+  row_number() OVER (PARTITION BY c.source ORDER BY class, salt, doc_id NULLS FIRST, size) AS rank, CAST(CAST(concat('0x', md5(concat('mix', coalesce(concat('=', c.source), '')))[1:8]) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift)) * size AS BIGINT) AS taken, source, CAST(floor(rate * rank + shift) - floor(rate * (rank - 1) + shift) AS BIGINT) AS copies FROM r
+"""
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_compaction": "SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5, lang, source FROM documents",
+        "op3_top_k": TOP_K_SQL,
+        "op4_mixture": MIX_SQL,
+    }
