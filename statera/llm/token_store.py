@@ -124,10 +124,19 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
     return crc
 
 
+#: Rows of parts/: chunks (1) with their digest as key, recipes (0) with their Merkle root as key.
+PARTS = "chunk int, key binary, doc_id long, n int, ids binary, digests array<binary>"
+
+
+def _parts(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """Chunks or recipes, from their folder alone; an empty table has neither folder."""
+    return spark.read.schema(PARTS).parquet(f"{path}/parts").where(F.col("chunk") == kind).drop("chunk")
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
-    """Encode ``docs`` (doc_id, text) and write the store at ``path``: chunks/, recipes/ and manifest/.
+    """Encode ``docs`` (doc_id, text) and write the store at ``path``: parts/, recipes/ and manifest/.
 
-    Each text (null: empty) gets ``end_id`` after its ids. chunks/: digest, bytes of an id, ids (little endian), once for each distinct
+    Each text (null: empty) gets ``end_id`` after its ids. parts/chunk=1: digest, bytes of an id, ids (little endian), once for each distinct
     chunk. recipes/: doc_id, start (ids before it in ascending doc_id order, null first), n_tokens, chunk digests, Merkle root,
     rank and block, in files of ascending doc_id. manifest/: a node for each FANOUT documents in that order, with the hash of
     their roots, and a level above with a node for each FANOUT of those. Texts are encoded once; chunk bytes are shuffled once, after the
@@ -167,12 +176,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
             yield b.filter(pa.array(keep, pa.bool_()))
 
     names, kinds = ["chunk", "key", "doc_id", "n", "ids", "digests"], [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
-    schema = "chunk int, key binary, doc_id long, n int, ids binary, digests array<binary>"
-    cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, schema)
+    cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PARTS)
     # Chunks meet by digest. Recipes need not meet, so copies of a document are spread by its id.
-    dealt = cut_up.repartition(partitions(spark), F.xxhash64("key", "doc_id")).mapInArrow(once, schema)
+    dealt = cut_up.repartition(partitions(spark), F.xxhash64("key", "doc_id")).mapInArrow(once, PARTS)
     dealt.write.option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/parts")
-    recipes = spark.read.schema(schema.replace("chunk int, ", "")).parquet(f"{path}/parts/chunk=0").drop("ids")
+    recipes = _parts(spark, path, 0).drop("ids")
     block = ordered_blocks(recipes, "doc_id", 4 * partitions(spark))
     numbered = recipes.withColumn("block", block)
     sums = numbered.groupBy("block").agg(F.sum("n").alias("ids"), F.count("*").alias("docs"))
@@ -224,7 +232,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         out = [(joined_crc([(x["crc"], 4 * x["ids"]) for x in p]), sum(x["ids"] for x in p), merkle([x["digest"] for x in p])) for p in parts]
         return pd.DataFrame(out, columns=["crc", "n", "root"])
 
-    chunks = spark.read.schema("n int, ids binary").parquet(f"{path}/parts/chunk=1").mapInArrow(check, "digest binary, crc long, ids int")
+    chunks = _parts(spark, path, 1).select("n", "ids").mapInArrow(check, "digest binary, crc long, ids int")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("rank", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest")
     gathered = parts.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "crc", "ids"))).alias("parts"))
