@@ -73,11 +73,11 @@ def counterfactuals(found: set[str]) -> list[tuple[str, str]]:
     return [(w, other) for w in sorted(found & SWAPS.keys()) for other in SWAPS[w]]
 
 
-def fit(sample: DataFrame, min_docs: int = 4, max_features: int = 20_000, least_z: float = 2.5, rounds: int = 300, l2: float = 0.02, swap_penalty: float = 1.0) -> ToxicityModel:
+def fit(sample: DataFrame, min_docs: int = 4, max_features: int = 20_000, least_z: float = 2.5, rounds: int = 300, l2: float = 0.02, swap_penalty: float = 1.0, positive_share: float = 0.25) -> ToxicityModel:
     """Fit on ``sample`` (text, label 0/1), which must be bounded: its features (not its texts) reach the driver.
 
     Features in fewer than ``min_docs`` texts go, then those whose share among positives differs from the rest by fewer than
-    ``least_z`` standard errors, and at most ``max_features`` stay. Beside the log loss (classes weighed half each) and ``l2``, the
+    ``least_z`` standard errors, and at most ``max_features`` stay. Beside the log loss (of which positives weigh ``positive_share``) and ``l2``, the
     loss has ``swap_penalty`` times the mean squared change of the logit when an identity term of a labelled text is
     swapped, so group mentions alone don't move a score. Null labels are left out; without rows of both labels the model
     scores every text by the labels' mean (0.0 without labels).
@@ -121,7 +121,7 @@ def fit(sample: DataFrame, min_docs: int = 4, max_features: int = 20_000, least_
             pairs[index[a], index[b]] = pairs.get((index[a], index[b]), 0) + 1
     swaps = np.array(list(pairs), np.int64).reshape(-1, 2)
     strength = np.array(list(pairs.values()), np.float64) / max(1, sum(pairs.values()))
-    weigh = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    weigh = np.where(labels > 0, positive_share / labels.sum(), (1 - positive_share) / (len(labels) - labels.sum()))
     w, bias = np.zeros(len(vocabulary)), 0.0
     m, v = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     for step in range(1, rounds + 1):  # Adam on the whole sample: the same result at every run
