@@ -71,14 +71,13 @@ def pack(docs: DataFrame, cluster: Column, capacity: int = 2048, shard_rows: int
         clusters = [x if isinstance(x, str) else (r,) for x, r in zip(rows["cluster"], rows["row"])]
         bins, offsets = best_fit(rows["size"].tolist(), sources, clusters, capacity)
         out = rows[["doc_id", "piece", "size", "start"]].copy()
-        out["bin_id"], out["bin_offset"] = [(int(key[0]) << 32) + b for b in bins], offsets
+        out["bin_id"], out["bin_offset"] = [f"{key[0]}-{b}" for b in bins], offsets
         return out
 
-    schema = "doc_id long, piece long, size long, start long, bin_id long, bin_offset long"
+    schema = "doc_id long, piece long, size long, start long, bin_id string, bin_offset long"
     shared = rest.groupBy("shard").applyInPandas(run, schema)
-    # A full piece is alone in its bin: negative numbers, 2^20 to a row.
     alone = light.where(full > 0).select("doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
-    alone = alone.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), (F.col("piece") * capacity).alias("start"), (-1 - (F.col("row") * 2**20 + F.col("piece"))).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
+    alone = alone.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), (F.col("piece") * capacity).alias("start"), F.concat_ws("-", F.lit("full"), "row", "piece").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
     return shared.unionByName(alone)
 
 
