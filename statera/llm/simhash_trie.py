@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +128,7 @@ def trie_links(values: DataFrame, count: int, budget: int = 3, subtree: int = 10
     importable(values.sparkSession)
     tight = budget // 2
     depth = min(24, max(1, math.ceil(math.log2(max(2, count) / subtree)))) if count > subtree else 1
-    masks = [0] + [1 << i for i in range(depth)]
-    if tight > 1:
-        masks = sorted({a ^ b for a in masks for b in masks}) if tight == 2 else list(range(1 << depth))
+    masks = [sum(1 << i for i in bits) for n in range(tight + 1) for bits in combinations(range(depth), n)]
     both = values.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("x")), F.struct(F.lit(1).alias("turn"), _rotated(F.col("fp")).alias("x")))).alias("v")).select("v.*")
     own = F.shiftrightunsigned("x", BITS - depth)
     dealt = both.withColumn("own", own).withColumn("other", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m.cast("long")))))
