@@ -10,11 +10,38 @@ from statera.functions.expressions import clip, col
 from statera.functions.ranking import running_total
 
 
-def quantile_edges(df: DataFrame, value: str, q: int, by: list[str], approx: bool = False, name: str = "edges") -> DataFrame:
-    """One row for each group of ``by``: the distinct edges of ``q`` quantile bins, linearly interpolated (or approximate)."""
-    shares = [i / q for i in range(q + 1)]
-    points = F.percentile_approx(value, shares, 10000) if approx else F.percentile(col(value), F.array(*map(F.lit, shares)))
-    return df.groupBy(*by).agg(F.array_distinct(points).alias(name))
+def quantile_points(df: DataFrame, value: str, q: int, by: list[str] | None = None, fewer: bool = False, approx: bool = False, name: str = "points") -> DataFrame:
+    """One row for each group of ``by``: the q + 1 points that cut its values into ``q`` quantile bins, linearly interpolated.
+
+    With ``fewer``, a group with fewer distinct values has as many bins. Exact points come from counts of equal values and their
+    running total over range partitions: only the values at the points' places are gathered, so no task holds a group. ``approx``
+    takes approximate percentiles instead, without a shuffle of the values. NULL is no value; groups without values have no row.
+    """
+    by = by or []
+    x, c, r = F.col("__x"), F.col("__c"), F.col("__r")
+    if approx:
+        points = F.percentile_approx(value, [i / q for i in range(q + 1)], 10000)
+        return df.groupBy(*by).agg(points.alias(name)).where(F.col(name).isNotNull())
+    counts = df.where(col(value).isNotNull()).groupBy(*by, col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    ranked = running_total(counts, [*map(col, by), x], "__c", "__r")
+    groups = ranked.groupBy(*by).agg(F.min(r - c).alias("__base"), F.sum(c).alias("__n"), F.count("*").alias("__d")).where("__n is not null")
+    bins = F.least(F.lit(q), F.col("__d").cast("int")) if fewer else F.lit(q)
+    at = F.col("__k") / bins * (F.col("__n") - 1)
+    places = groups.withColumn("__k", F.explode(F.sequence(F.lit(0), bins))).select(*(col(k).alias(f"__g{i}") for i, k in enumerate(by)), "__base", "__k", F.floor(at).alias("__low"), F.ceil(at).alias("__high"), (at - F.floor(at)).alias("__part"))
+    holds = lambda place: (r - c - F.col("__base") <= F.col(place)) & (F.col(place) < r - F.col("__base"))
+    near = holds("__low") | holds("__high")
+    for i, k in enumerate(by):
+        near = near & col(k).eqNullSafe(F.col(f"__g{i}"))
+    found = ranked.join(places if by else F.broadcast(places), near)  # without groups q + 1 rows
+    low, high = F.max(F.when(holds("__low"), x)), F.max(F.when(holds("__high"), x))
+    edges = found.groupBy(*by, "__k").agg((low + (high - low) * F.max("__part")).alias("__e"))
+    gathered = F.array_sort(F.collect_list(F.struct("__k", "__e")))
+    return edges.groupBy(*by).agg(F.transform(gathered, lambda p: p["__e"]).alias(name)).where(F.size(name) > 0)
+
+
+def quantile_edges(df: DataFrame, value: str, q: int, by: list[str] | None = None, fewer: bool = False, approx: bool = False, name: str = "edges") -> DataFrame:
+    """:func:`quantile_points` with equal ones once."""
+    return quantile_points(df, value, q, by, fewer, approx, name).withColumn(name, F.array_distinct(name))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -26,7 +53,7 @@ def bin_of(value: Column, edges: Column) -> Column:
 def quantile_cut(df: DataFrame, value: str, q: int, by: list[str] | None = None, name: str = "bin", approx: bool = False) -> DataFrame:
     """``df`` with each row's quantile bin from 0. Equal edges are one, so bins can be fewer; a constant column has none (NULL)."""
     by = by or []
-    edges = quantile_edges(df, value, q, by, approx, "__edges")
+    edges = quantile_edges(df, value, q, by, approx=approx, name="__edges")
     if by:
         edges = edges.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(by)), "__edges")
         match = None
@@ -35,7 +62,7 @@ def quantile_cut(df: DataFrame, value: str, q: int, by: list[str] | None = None,
             match = same if match is None else match & same
         joined = df.join(edges, match, "left").drop(*(f"__k{i}" for i in range(len(by))))
     else:
-        joined = df.join(F.broadcast(edges))  # one row of q + 1 numbers
+        joined = df.join(F.broadcast(edges), F.lit(True), "left")  # one row of q + 1 numbers
     return joined.withColumn(name, bin_of(col(value), F.col("__edges"))).drop("__edges")
 
 

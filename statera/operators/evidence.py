@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import clip, col, to_number
-from statera.operators.distribution import bin_of
+from statera.operators.distribution import bin_of, quantile_edges
 
 #: Names of likelihood ratios from above and from below, tested in this order. Fixed values.
 RISES = ((10, "very strong increase"), (3, "strong increase"), (1.5, "moderate increase"), (1.1, "slight increase"))
@@ -23,16 +23,8 @@ def strength(ratio: Column) -> Column:
 
 
 def feature_edges(long: DataFrame, bins: int = 4) -> DataFrame:
-    """(feature, edges): quantile edges of features with two or more distinct values, min(bins, distinct values) bins.
-
-    Each candidate number of bins is one percentile array of the same pass; the feature's distinct count picks one.
-    """
-    shares = {q: F.array(*(F.lit(i / q) for i in range(q + 1))) for q in range(2, bins + 1)}
-    rows = long.where("value is not null").groupBy("feature").agg(F.countDistinct("value").alias("n"), *(F.percentile("value", s).alias(f"q{q}") for q, s in shares.items()))
-    picked = F.col(f"q{bins}")
-    for q in range(2, bins):
-        picked = F.when(F.col("n") == q, F.col(f"q{q}")).otherwise(picked)
-    return rows.where("n >= 2").select("feature", F.array_distinct(picked).alias("edges"))
+    """(feature, edges): quantile edges of features with two or more distinct values, min(bins, distinct values) bins."""
+    return quantile_edges(long, "value", bins, ["feature"], fewer=True).where(F.size("edges") > 1)
 
 
 def binned(long: DataFrame, bins: int = 4) -> DataFrame:

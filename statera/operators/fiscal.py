@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import clip, floor_at_zero
+from statera.operators.distribution import quantile_points
 
 #: Largest number of interval events that a tick table is joined with by broadcast; more go through an equi-join on ticks.
 BROADCAST_EVENTS = 10_000
@@ -67,9 +68,9 @@ def validate_policy(policies: DataFrame) -> DataFrame:
 
 def consumption(df: DataFrame, low: float = 0.85, high: float = 0.65, approx: bool = False) -> DataFrame:
     """``df`` with consumption: disposable_income times ``low`` up to the table's median, ``high`` above."""
-    median = df.agg((F.percentile_approx("disposable_income", 0.5) if approx else F.median("disposable_income")).alias("__median"))
+    median = quantile_points(df, "disposable_income", 2, approx=approx).select(F.get("points", F.lit(1)).alias("__median"))
     share = F.when(F.col("disposable_income") <= F.col("__median"), low).otherwise(high)
-    return df.join(F.broadcast(median)).withColumn("consumption", F.col("disposable_income") * share).drop("__median")
+    return df.join(F.broadcast(median), F.lit(True), "left").withColumn("consumption", F.col("disposable_income") * share).drop("__median")
 
 
 def policy_grid(population: DataFrame, policies: DataFrame) -> DataFrame:
