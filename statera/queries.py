@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ def scratch(spark: SparkSession) -> str:
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="statera-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{tempfile._get_candidate_names().__next__()}"
+    return f"{root}/query-{uuid.uuid4().hex}"
 
 
 EV, TR, POP, PANEL, PRED, DAILY, SERIES, LONG, RUNS, AGENTS = map(oracle, (B.EVENTS, B.TRADE, B.POPULATION, B.PANEL, B.PREDICTIONS, B.DAILY, B.SERIES, B.LONG, B.RUNS, B.AGENTS))
