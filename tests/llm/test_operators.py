@@ -231,38 +231,38 @@ def test_license_scan(spark):
 
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
+def hashed(spark, rows):
+    """xxhash64 of each tuple's values, by Spark."""
+    if not rows:
+        return []
+    kind = "string" if isinstance(rows[0][0], str) else "long"
+    wide = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"c{n} {kind}" for n in range(len(rows[0]))))
+    return [r.h for r in wide.selectExpr("i", "xxhash64(" + ", ".join(f"c{n}" for n in range(len(rows[0]))) + ") AS h").orderBy("i").collect()]
+
+
 def test_order_minhash_against_brute_force(spark):
     texts = [" ".join(random.Random(i).choices(WORDS, k=n)) for i, n in enumerate((0, 1, 3, 5, 6, 40, 400))] + ["x y " * 50]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    k, chosen = 5, 2
+    k, chosen, mask = 5, 2, (1 << 64) - 1
     got = {r.text: list(r.sig) for r in order_minhash.with_fingerprint(df, "text", "sig", k).collect()}
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    word_hash = dict(zip(vocabulary, hashed(spark, [(w,) for w in vocabulary])))
     for text in texts:
         words = text.split()
-        grams = [words[i : i + k] for i in range(max(1, len(words) - k + 1))] if words else []
-        one = lambda sql, s=spark: s.sql(f"SELECT {sql} AS x").first().x
-        word_hash = {w: one(f"xxhash64('{w}')") for w in set(words)}
-        mask = (1 << 64) - 1
-        kinds = {}
-        for g in map(tuple, grams):
-            if g not in kinds:
-                kinds[g] = ((one("xxhash64(" + ", ".join(f"{word_hash[w]}L" if word_hash[w] >= 0 else f"-{-word_hash[w]}L" for w in g) + ")") & mask) << 31 & mask) >> 31
-        seen, bins = Counter(), {}
-        keyed = []
-        for at, g in enumerate(grams):
-            keyed.append((kinds[tuple(g)], seen[kinds[tuple(g)]], at))
-            seen[kinds[tuple(g)]] += 1
-        if keyed:
-            found = spark.createDataFrame(keyed, "h long, n int, at long").selectExpr("at", "xxhash64(h, n) AS v").collect()
-            for r in found:
-                v = (r.v & mask) << 31 & mask | r.at
-                bins.setdefault(v >> 58, []).append(v)
-        want = []
-        for b, values in bins.items():
-            first = sorted(values)[:chosen]
-            ordered = [v >> 32 for v in sorted(first, key=lambda v: v & 0x7FFFFFFF)]
-            h = one(f"xxhash64(array({', '.join(f'{x}L' for x in ordered)}))")
-            want.append((b << 24) + (h & 0xFFFFFF))
-        assert sorted(got[text]) == sorted(want), text
+        grams = [tuple(word_hash[w] for w in words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+        gram_hash = [(h & mask) << 31 & mask for h in hashed(spark, grams)]
+        seen, numbered = Counter(), []
+        for h in gram_hash:
+            numbered.append((h >> 31, seen[h]))
+            seen[h] += 1
+        found = [] if not numbered else spark.createDataFrame([(i, *r) for i, r in enumerate(numbered)], "i int, h long, n int").selectExpr("i", "xxhash64(h, n) AS v").orderBy("i").collect()
+        bins = {}
+        for r in found:
+            v = (r.v & mask) << 31 & mask | r.i
+            bins.setdefault(v >> 58, []).append(v)
+        tuples = {b: [v >> 32 for v in sorted(sorted(values)[:chosen], key=lambda v: v & 0x7FFFFFFF)] for b, values in bins.items()}
+        rows = [] if not tuples else spark.createDataFrame(list(tuples.items()), "b int, t array<long>").selectExpr("b", "xxhash64(t) AS h").collect()
+        assert sorted(got[text]) == sorted((r.b << 24) + (r.h & 0xFFFFFF) for r in rows), text
 
 
 def test_edit_report(spark):
