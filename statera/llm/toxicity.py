@@ -147,12 +147,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000)
     """(text, label) of at most ``max_rows`` labelled documents outside the held-out fifth, those with the smallest id hash.
 
     Each document's labels are averaged first (over half: 1), so repeated label rows count once; null ids and labels
-    are left out.
+    are left out. Of rows that share an id the first text counts, so repeats don't widen the bound.
     """
     own = labels.select(F.col("doc_id").alias("__doc"), "toxic").where("__doc is not null and toxic is not null").where(~held_out(F.col("__doc")))
     own = own.groupBy("__doc").agg((F.avg("toxic") > 0.5).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("__doc"), "__doc").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__doc")).select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("__doc"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
