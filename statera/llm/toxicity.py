@@ -73,7 +73,7 @@ def counterfactuals(found: set[str]) -> list[tuple[str, str]]:
     return [(w, other) for w in sorted(found & SWAPS.keys()) for other in SWAPS[w]]
 
 
-def fit(sample: DataFrame, min_docs: int = 4, max_features: int = 20_000, least_z: float = 2.5, rounds: int = 300, l2: float = 0.02, swap_penalty: float = 1.0, positive_share: float = 0.25) -> ToxicityModel:
+def fit(sample: DataFrame, min_docs: int = 4, max_features: int = 20_000, least_z: float = 2.5, rounds: int = 300, l2: float = 0.02, swap_penalty: float = 1.0, positive_share: float = 0.35) -> ToxicityModel:
     """Fit on ``sample`` (text, label 0/1), which must be bounded: its features (not its texts) reach the driver.
 
     Features in fewer than ``min_docs`` texts go, then those whose share among positives differs from the rest by fewer than

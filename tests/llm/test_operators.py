@@ -427,7 +427,7 @@ def test_packing_is_whole(spark, table):
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # 97 held-out positives; the smaller tables have a handful
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = toxicity.toxicity_scores(docs.withColumn("score", F.lit("clash")), labels).collect()
     truth = {r.doc_id: r.toxic for r in labels.collect()}
@@ -435,7 +435,7 @@ def test_toxicity_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
     own = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     hit = sum(p and t for p, t in own)
-    assert hit / sum(t for _, t in own) >= 0.8 and hit / sum(p for p, _ in own) >= 0.8
+    assert hit / sum(t for _, t in own) >= 0.85 and hit / sum(p for p, _ in own) >= 0.9
     again = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs.repartition(7), labels).collect()}
     assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in rows)
 
