@@ -36,3 +36,16 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "size", "start", "bin_id", "bin_offset"] and rows.count() > 100
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, fp int"
+    rows = [(1, "a b c", "en", "s", 1, "x", 1), (None, None, None, None, None, None, None), (None, "q w e", "en", None, 1, "x", 1), (2, "", "en", "s", 0, "x", 1), (3, "a b c", "en", "s", 1, "x", 1), (3, "a b c", "en", "s", 1, "x", 1), (4, "long " * 20_000, "en", "s", 1, "x", 1)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        some = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF).persist()
+            n = docs.count()
+            assert (n > 0) == (some > 0), name
+            if name == "near_duplicates" and some:
+                assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "4", "None"]
