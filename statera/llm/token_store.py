@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,17 +21,19 @@ from statera.llm.common import importable, ordered_blocks, partitions, text_or_e
 FEWEST, MEAN, MOST, WINDOW = 256, 1024, 8192, 16
 #: Children of a manifest node.
 FANOUT = 4096
-#: Encoded pieces that a worker remembers at most.
-REMEMBERED = 600_000
-#: White space other than single inner spaces and line feeds, and what may begin a special token: such texts are encoded in one call.
-ODD = re.compile(r"[^\S \n]|  | \n|\n |^ | $|<\||[᠎​]")
+#: Pieces in a generation of a worker's memory, which holds two of them; pieces that are encoded in one call.
+REMEMBERED, AT_ONCE = 1_200_000, 2000
+#: White space but the space and the line feed, and the start of special tokens: a text with one of these, or with white space beside
+#: white space or at its ends, is encoded in one call.
+ODD = (*map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288)), "<|", "  ", " \n", "\n ", "\n\n")
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
-    A byte-level tokenizer starts a new pre-token at every single space between two other characters, so pieces cut there
-    encode alone as they do in the text; the mapping holds the ids of pieces seen, each with the space before it.
+    A byte-level tokenizer starts a new pre-token at a space between two other characters and makes one of a line feed there, so
+    pieces cut at both encode alone as they do in the text. Pieces are known by ``line feed + piece`` at the start of a line, else by
+    themselves, with the space before them. A full generation becomes the older one, from which pieces met again come back.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,21 +41,46 @@ class Encoder(dict):
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.dtype = "<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(" " + piece)
-        if len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
+    def learn(self, pieces: set[str]) -> None:
+        """Make pieces known. The unknown ones are encoded together, a line feed between them, and cut at its id."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = pieces.difference(self.known)
+        for p in new.intersection(self.older):
+            self.known[p] = self.older[p]
+        new = [p for p in new.difference(self.older) if p[0] != "\n"]
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            ids = np.array(self.model.encode(" " + "\n ".join(part), add_special_tokens=False).ids, self.dtype)
+            raw, width = ids.tobytes(), len(self.feed)
+            ends = (np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0]) * width).tolist()
+            if len(ends) == len(part) - 1:
+                for p, x, y in zip(part, [0, *(e + width for e in ends)], [*ends, len(raw)]):
+                    self.known[p] = raw[x:y]
+            else:
+                self.known.update((p, self.whole(" " + p)) for p in part)
+        for p in pieces.difference(self.known):
+            self.known[p] = self.feed + self.whole(p[1:])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for t in texts:
+            plain = t and t[0] not in " \n" and t[-1] not in " \n" and not any(map(t.__contains__, ODD))
+            cut.append(("\n" + t.replace("\n", " \n")).split(" ") if plain else None)
+        self.learn(set().union(*filter(None, cut)))
+        skip = len(self.feed)
+        get = self.known.__getitem__
+        return [self.whole(t) if pieces is None else b"".join(map(get, pieces))[skip:] for t, pieces in zip(texts, cut)]
 
     def ids(self, text: str) -> bytes:
-        if not text or ODD.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        return self.encode([text])[0]
 
 
 @lru_cache(1)
@@ -152,8 +178,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part, rows = b.slice(start, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = model.ids(text) + end
+                for doc, raw in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist())):
+                    raw += end
                     at, own = 0, []
                     for to in cuts(np.frombuffer(raw, model.dtype)):
                         piece, at = raw[at * width : to * width], to
