@@ -58,7 +58,9 @@ class Encoder:
         new = [p for p in new.difference(self.older) if p[0] != "\n"]
         for start in range(0, len(new), AT_ONCE):
             part = new[start : start + AT_ONCE]
-            ids = np.array(self.model.encode(" " + "\n ".join(part), add_special_tokens=False).ids, self.dtype)
+            # the call without offsets: a quarter cheaper
+            (encoded,) = self.model.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)
+            ids = np.array(encoded.ids, self.dtype)
             raw, width = ids.tobytes(), len(self.feed)
             ends = (np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0]) * width).tolist()
             if len(ends) == len(part) - 1:
