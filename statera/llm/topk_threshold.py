@@ -14,8 +14,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from statera.llm.common import importable, materialise
 
-#: Rows and queries of a cell at about most, and scores that a task holds at once.
-ROW_BLOCK, QUERY_BLOCK, SCORES_AT_ONCE = 16384, 8192, 1 << 22
+#: Rows and queries of a cell at about most, and scores and pairs that a task works on at once.
+ROW_BLOCK, QUERY_BLOCK, SCORES_AT_ONCE, PAIRS_AT_ONCE = 8192, 1024, 1 << 22, 1 << 16
 #: Hash classes by which a vector that many rows share is dealt.
 SALTS = 16
 
@@ -65,18 +65,55 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else q @ v.T
 
 
-def _cells(classes: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, parts: int, extra: list[str]):
+def _block(name: str, n: int) -> Column:
+    """Number of an id's block among ``n``."""
+    return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+
+def _cells(classes: DataFrame, queries: DataFrame, blocks: tuple[int, int], parts: int, extra: list[str]):
     """Rows and queries dealt to the cells (query block, row block, part) of the score table."""
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    block = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
-    rows = classes.select("class_id", "code", block(row_blocks).alias("rb"), each(query_blocks).alias("qb")).withColumn("part", part)
-    asked = queries.select("class_id", "code", *extra, block(query_blocks).alias("qb"), each(row_blocks).alias("rb")).withColumn("part", part)
+    rows = classes.select("class_id", "code", _block("class_id", blocks[1]).alias("rb"), each(blocks[0]).alias("qb")).withColumn("part", each(parts))
+    asked = queries.select("class_id", "code", *extra, _block("class_id", blocks[0]).alias("qb"), each(blocks[1]).alias("rb")).withColumn("part", each(parts))
     keys = ["qb", "rb", "part"]
     return rows.groupBy(*keys).cogroup(asked.groupBy(*keys))
 
 
+def _settle(asked: pd.DataFrame, rows: pd.DataFrame, pairs: pd.DataFrame, parts: int, keep: int) -> pd.DataFrame:
+    """(q, class_id, score): of a cell's given pairs those that reach their query's cutoff, the ``keep`` best of each query.
+
+    Pairs that all lists gave are summed; of the others those whose missing partial scores could still lift them are multiplied out.
+    """
+    out = pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
+    if not len(pairs):
+        return out
+    asked, rows = asked.sort_values("class_id"), rows.sort_values("class_id")
+    q_ids, ids = asked["class_id"].to_numpy(), rows["class_id"].to_numpy()
+    code = np.searchsorted(q_ids, pairs["q"].to_numpy()) * len(ids) + np.searchsorted(ids, pairs["class_id"].to_numpy())
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    scores = np.add.reduceat(pairs["partial"].to_numpy()[order], starts)
+    missing = parts - np.diff(np.append(starts, len(code)))
+    i, j = np.divmod(code[starts], len(ids))
+    cutoff, least = asked["cutoff"].to_numpy()[i], asked["least"].to_numpy()[i]
+    able = np.flatnonzero(scores + missing * (least - 1) >= cutoff)
+    i, j, scores, missing, cutoff = i[able], j[able], scores[able], missing[able], cutoff[able]
+    u, v = _matrix(asked["code"], 0, 1), _matrix(rows["code"], 0, 1)
+    width = min(u.shape[1], v.shape[1])
+    unknown = np.flatnonzero(missing > 0)
+    for start in range(0, len(unknown), PAIRS_AT_ONCE):
+        at = unknown[start : start + PAIRS_AT_ONCE]
+        scores[at] = np.einsum("ij,ij->i", u[i[at], :width], v[j[at], :width])
+    good = scores >= cutoff
+    i, j, scores = i[good], j[good], scores[good]
+    order = np.lexsort((ids[j], -scores, i))
+    i, j, scores = i[order], j[order], scores[order]
+    first = np.searchsorted(i, i, side="left")
+    best = np.arange(len(i)) - first < keep
+    return pd.DataFrame({"q": q_ids[i[best]], "class_id": ids[j[best]], "score": scores[best]})
+
+
 def _scan(rows: pd.DataFrame, asked: pd.DataFrame, part: int, parts: int, pick) -> pd.DataFrame:
     """(q, class_id, partial) that ``pick`` keeps of a cell's partial scores, taken by bands of queries."""
     v, ids = _matrix(rows["code"], part, parts), rows["class_id"].to_numpy()
@@ -108,8 +145,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     Vectors are cut into ``parts`` interleaved slices, and a slice's inner products are a list of partial scores. (1) Each list gives
     its k + 1 best entries for a query; these rows are scored exactly, and the (k + 1)-th best score is a safe cutoff. (2) A row that
     reaches the cutoff has a partial score of at least cutoff / parts in some list, so each query's cutoff goes to the lists and these
-    give all entries from there on. (3) Rows that all lists gave are summed; of the others those that can still reach the
-    cutoff are scored exactly. Lists are worked off in cells of a block of queries and a block of rows.
+    give all entries from there on. (3) In cells again, rows that all lists gave are summed; of the others those that can still
+    reach the cutoff are scored exactly. Lists are worked off in cells of a block of queries and a block of rows.
 
     Equal vectors are searched once: classes of them are scored, and the k + 1 smallest vec_ids of a class stand for it, which no
     query can tell from all. Ties go to the smaller vec_id. ``is_query``: a condition on vec_id. Rows that can't be scored
@@ -121,7 +158,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     asking = vectors.where(is_query).join(classes.select("class_id", "code"), "code").select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("q"))
     asking = materialise(asking, "topk-asking")
     queries = materialise(classes.join(asking.select(F.col("q").alias("class_id")).distinct(), "class_id", "left_semi").select("class_id", "code"), "topk-queries")
-    n_rows, n_queries = classes.count(), queries.count()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-classes.count() // ROW_BLOCK))
 
     def best(scores, ids, asked):
         if scores.shape[1] <= k + 1:
@@ -141,7 +178,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
         return run
 
     schema = "q long, class_id long, partial long, part int"
-    local = _cells(classes, queries, n_rows, n_queries, parts, []).applyInPandas(phase(best), schema)
+    local = _cells(classes, queries, blocks, parts, []).applyInPandas(phase(best), schema)
     in_list = W.partitionBy("q", "part").orderBy(F.col("partial").desc(), "class_id")
     entries = local.withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k + 1).select("q", "class_id").distinct()
     in_query = W.partitionBy("q").orderBy(F.col("score").desc(), "class_id")
@@ -150,14 +187,16 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     lowest = F.lit(-(1 << 60))
     cutoffs = queries.join(cutoffs.select(F.col("q").alias("class_id"), "score"), "class_id", "left").withColumn("cutoff", F.coalesce("score", lowest))
     cutoffs = materialise(cutoffs.withColumn("least", F.when(F.col("cutoff") == lowest, lowest).otherwise(F.ceil(F.col("cutoff") / parts))).select("class_id", "code", "cutoff", "least"), "topk-cutoffs")
-    given = _cells(classes, cutoffs, n_rows, n_queries, parts, ["least"]).applyInPandas(phase(from_cutoff), schema)
-    known = given.groupBy("q", "class_id").agg(F.sum("partial").alias("score"), F.count("*").alias("lists"))
-    known = materialise(known, "topk-known")
-    limits = cutoffs.select(F.col("class_id").alias("q"), "cutoff", "least")
-    bounded = known.join(limits, "q")
-    whole = bounded.where((F.col("lists") == parts) & (F.col("score") >= F.col("cutoff"))).select("q", "class_id", "score")
-    open_ = bounded.where((F.col("lists") < parts) & (F.col("score") + (parts - F.col("lists")) * (F.col("least") - 1) >= F.col("cutoff"))).select("q", "class_id")
-    scored = whole.unionByName(_resolved(open_, classes, queries))
+    given = _cells(classes, cutoffs, blocks, parts, ["least"]).applyInPandas(phase(from_cutoff), schema)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = cutoffs.select(F.lit(True).alias("query"), "class_id", "code", "cutoff", "least", _block("class_id", blocks[0]).alias("qb"), each(blocks[1]).alias("rb"))
+    sides = sides.unionByName(classes.select(F.lit(False).alias("query"), "class_id", "code", lowest.alias("cutoff"), lowest.alias("least"), each(blocks[0]).alias("qb"), _block("class_id", blocks[1]).alias("rb")))
+    pairs = given.select("q", "class_id", "partial", _block("q", blocks[0]).alias("qb"), _block("class_id", blocks[1]).alias("rb"))
+
+    def settle(sides: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        return _settle(sides[sides["query"]], sides[~sides["query"]], pairs, parts, k + 1)
+
+    scored = sides.groupBy("qb", "rb").cogroup(pairs.groupBy("qb", "rb")).applyInPandas(settle, "q long, class_id long, score long")
     leading = scored.withColumn("n", F.row_number().over(in_query)).where(F.col("n") <= k + 1)
     members = leading.join(classes.select("class_id", "members"), "class_id").select("q", "score", F.explode("members").alias("vec_id"))
     by_score = [F.col("score").desc(), F.col("vec_id")]
