@@ -1,4 +1,4 @@
-"""Corpus preparation: toxicity filter, SimHash near-duplicate removal, mixing to target weights, best-fit packing."""
+"""Corpus preparation: toxicity filter, near-duplicate removal, mixing to target weights, best-fit packing."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statera.llm.common import materialise, table
 from statera.llm.mixture import mixed
 from statera.llm.packing import pack
-from statera.llm.simhash_trie import one_of_each
+from statera.llm.shingle_copies import without_near_copies
 from statera.llm.toxicity import without_toxic
 
 #: Not SQL: the first stage fits a classifier, the last packs step by step.
@@ -21,8 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    return one_of_each(docs)
+    """Documents that share 0.8 or more of their five-word shingles with an earlier one go."""
+    return without_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

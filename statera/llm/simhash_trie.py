@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,21 +23,32 @@ LOWER = bytes(range(256)).replace(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklm
 HASHES_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 18
 
 
-def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of a UTF-8 text: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a UTF-8 text's shingles, some at a time; a text of fewer words is one shingle, and one without words has none."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
     digest, total = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    counts = np.zeros(BITS, np.int64)
     for start in range(0, total, HASHES_AT_ONCE):
         n = min(HASHES_AT_ONCE, total - start)
-        hashes = np.fromiter((digest(next(shingles), seed) for _ in range(n)), ">u8", n)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(next(shingles), seed) for _ in range(n)), np.uint64, n)
+
+
+def simhash_of(parts: Iterable[np.ndarray]) -> int:
+    """Unsigned fingerprint of shingle hashes: a bit is 1 if it is set in over half of them."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of a UTF-8 text's shingles."""
+    return simhash_of(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
     """(doc_id, digest, fp) for each row, fp as a signed long; a null text is the empty text.
 
