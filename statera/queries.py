@@ -660,10 +660,9 @@ def bayesian_evidence(spark, d):
 # --- feeds ----------------------------------------------------------------------------------------------------------
 
 def _landed(spark, d, rows: DataFrame, root: str) -> DataFrame:
-    """Rows written as a JSON payload for each of some hundreds of rows, and read as a feed."""
+    """Rows written as JSON payloads of one record each, and read as a feed: the payloads grow in number with the rows, not in size."""
     path = scratch(spark)
-    payload = rows.withColumn("__n", F.pmod(F.xxhash64(*rows.columns), F.lit(64))).groupBy("__n").agg(F.collect_list(F.struct(*rows.columns)).alias(root)).drop("__n")
-    payload.write.json(path)
+    rows.select(F.array(F.struct(*rows.columns)).alias(root)).write.json(path)
     schema = T.StructType([T.StructField(root, T.ArrayType(T.StructType(rows.schema.fields)))])
     return feeds.read_feed(spark, path, schema=schema, lines=True)
 
