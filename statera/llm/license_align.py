@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,19 +82,58 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def best_notice(tokens: list[str], notices: Mapping[str, list[str]], least: float) -> tuple[str | None, float, int, int]:
-    """(license, coverage, first word, word after the last) of the notice of which the largest share is aligned, if it is ``least`` or more.
+def _holds(pairs: list[tuple[int, int]], notice: list[str], phrases: Sequence[tuple[str, ...]]) -> bool:
+    """Whether each phrase is aligned word by word, without other words between in the text."""
+    at = dict(pairs)
+    for phrase in phrases:
+        n = len(phrase)
+        runs = (i for i in range(len(notice) - n + 1) if tuple(notice[i : i + n]) == phrase and i in at)
+        if not any(all(at.get(i + k) == at[i] + k for k in range(n)) for i in runs):
+            return False
+    return True
 
-    A notice with that coverage lacks few of its words, so one of its rarest words in the text must be part of it: windows about
-    those words' places, half a notice wider on either side, are all that has to be aligned. Ties go to the longer notice, then to the first.
+
+def notice_places(tokens: list[str], notice: list[str], anchors: list[int], least: float, phrases: Sequence[tuple[str, ...]] = ()) -> list[tuple[float, int, int]]:
+    """(coverage, first word, word after the last) of the places where ``least`` or more of the notice is aligned; none overlap.
+
+    ``anchors`` are the words at which a place's start is expected. About each, windows with and without half a notice on either
+    side are aligned, up to the places that are already taken; the best covered and shortest places are taken first, until
+    nothing is left that reaches ``least``.
+    """
+    taken: list[tuple[float, int, int]] = []
+    margin, size = len(notice) // 2 + 1, len(notice)
+    while True:
+        found = set()
+        for start in anchors:
+            low = max((e for _, f, e in taken if f <= start), default=0)
+            high = min((f for _, f, _ in taken if f > start), default=len(tokens))
+            windows = {(max(low, start - m), min(high, start + size + n)) for m in (0, margin) for n in (0, margin)}
+            for lo, hi in windows:
+                pairs = align(notice, tokens[lo:hi]) if hi - lo >= least * size - 1e-9 else []
+                if pairs and len(pairs) / size >= least and _holds(pairs, notice, phrases):
+                    found.add((-len(pairs) / size, pairs[-1][1] - pairs[0][1], lo + pairs[0][1]))
+        new = []
+        for share, span, first in sorted(found):
+            if all(first + span < f or first >= e for _, f, e in taken + new):
+                new.append((-share, first, first + span + 1))
+        if not new:
+            return sorted(taken, key=lambda x: x[1])
+        taken += new
+
+
+def all_notices(tokens: list[str], notices: Mapping[str, list[str]], least: float, required: Mapping[str, Sequence[tuple[str, ...]]] = {}) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, word after the last) of every place of every notice, by place.
+
+    A notice with a coverage of ``least`` lacks few of its words, so one of its rarest words in the text must be part of it, and
+    each word of its required phrases must: only windows about those words' places have to be aligned.
     """
-    best: tuple[str | None, float, int, int] = (None, 0.0, 0, 0)
-    present, length = set(tokens), 0
+    out: list[tuple[str, float, int, int]] = []
+    present = set(tokens)
     places: dict[str, list[int]] | None = None
     for name, notice in notices.items():
-        own = set(notice)
+        own, needed = set(notice), {w for phrase in required.get(name, ()) for w in phrase}
         spare = int((1 - least) * len(notice) + 1e-9)
-        if not notice or len(own - present) > spare:
+        if not notice or not needed <= present or len(own - present) > spare:
             continue
         if places is None:
             places = {}
@@ -102,34 +141,35 @@ def best_notice(tokens: list[str], notices: Mapping[str, list[str]], least: floa
             for i, w in enumerate(tokens):
                 if w in known:
                     places.setdefault(w, []).append(i)
-        rarest = sorted(own, key=lambda w: (len(places.get(w, ())), w))[: spare + 1]
-        margin = len(notice) // 2 + 1
-        starts = {max(0, p - i - margin) for w in rarest for p in places.get(w, ()) for i, x in enumerate(notice) if x == w}
-        for start in sorted(starts):
-            pairs = align(notice, tokens[start : start + len(notice) + 2 * margin])
-            share = len(pairs) / len(notice)
-            if share >= least and (share, len(notice)) > (best[1], length):
-                best, length = (name, share, start + pairs[0][1], start + pairs[-1][1] + 1), len(notice)
-    return best
+        rarest = sorted(needed or own, key=lambda w: (len(places.get(w, ())), w))[: 1 if needed else spare + 1]
+        anchors = sorted({max(0, p - i) for w in rarest for p in places.get(w, ()) for i, x in enumerate(notice) if x == w})
+        out += [(name, *place) for place in notice_places(tokens, notice, anchors, least, required.get(name, ()))]
+    return sorted(out, key=lambda x: (x[2], x[3]))
 
 
 def license_scan(docs: DataFrame, notices: Mapping[str, str] = NOTICES, least: float = 0.8) -> DataFrame:
-    """doc_id, license, coverage, first_word, end_word for each row of ``docs`` (doc_id, text).
+    """doc_id, license, coverage, first_word, end_word, found for each row of ``docs`` (doc_id, text).
 
-    The license is that of the notice best covered by an alignment with the whole text (see :func:`best_notice`), with its place in the
-    text's words; a text that covers none by ``least`` has a null license, coverage 0.0 and null places. So do null and empty
-    texts. Repeated rows give a row each; an empty table gives none; other columns are ignored.
+    ``found`` has each place of each notice that an alignment covers by ``least`` or more (see :func:`all_notices`), as (license, coverage,
+    first_word, end_word) by place in the text's words; places of one notice don't overlap. The columns before are the best
+    covered of these, ties going to the longer notice, then to the first notice and place. A text with none has a null license, coverage
+    0.0, null places and nothing found. So do null and empty texts. Repeated rows give a row each; an empty table gives none;
+    other columns are ignored.
     """
     importable(docs.sparkSession)
     cut = {name: words(text) for name, text in notices.items()}
+    order = {name: i for i, name in enumerate(cut)}
+    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [best_notice(words(x), cut, least) for x in b.column(1).to_pylist()]
-            name, share, first, end = zip(*found) if found else ((), (), (), ())
-            place = lambda values: pa.array([v if n else None for v, n in zip(values, name)], pa.int64())
-            columns = [b.column(0), pa.array(name, pa.string()), pa.array(share, pa.float64()), place(first), place(end)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "coverage", "first_word", "end_word"])
+            every = [all_notices(words(x), cut, least) for x in b.column(1).to_pylist()]
+            best = [min(f, key=lambda x: (-x[1], -len(cut[x[0]]), order[x[0]], x[2]), default=(None, 0.0, None, None)) for f in every]
+            name, share, first, end = zip(*best) if best else ((), (), (), ())
+            found = pa.array([[dict(zip(("license", "coverage", "first_word", "end_word"), x)) for x in f] for f in every], kind)
+            columns = [b.column(0), pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), found]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "coverage", "first_word", "end_word", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, end_word long")
+    place = "license string, coverage double, first_word long, end_word long"
+    return rows.mapInArrow(run, f"doc_id long, {place}, found array<struct<{place.replace(' string', ': string').replace(' double', ': double').replace(' long', ': long')}>>")
