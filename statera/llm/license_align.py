@@ -27,6 +27,18 @@ NOTICES = {
     "MPL-2.0-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: Words that tell a notice from its like: each phrase has to be aligned word by word. Fixed values.
+REQUIRED = {
+    "MIT": (("mit",),),
+    "Apache-2.0": (("apache",), ("2", "0")),
+    "GPL-3.0": (("gnu", "general"), ("version", "3")),
+    "CC-BY-NC-4.0": (("cc", "by", "nc", "4", "0"),),
+    "MIT-text": (("this", "software"),),
+    "Apache-2.0-text": (("apache",), ("2", "0")),
+    "GPL-text": (("gnu", "general"),),
+    "MPL-2.0-text": (("mozilla",), ("2", "0")),
+    "ISC-text": (("with", "or", "without", "fee"),),
+}
 
 
 def words(text: str) -> list[str]:
@@ -147,10 +159,10 @@ def all_notices(tokens: list[str], notices: Mapping[str, list[str]], least: floa
     return sorted(out, key=lambda x: (x[2], x[3]))
 
 
-def license_scan(docs: DataFrame, notices: Mapping[str, str] = NOTICES, least: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, notices: Mapping[str, str] = NOTICES, least: float = 0.8, required: Mapping[str, Sequence[tuple[str, ...]]] = REQUIRED) -> DataFrame:
     """doc_id, license, coverage, first_word, end_word, found for each row of ``docs`` (doc_id, text).
 
-    ``found`` has each place of each notice that an alignment covers by ``least`` or more (see :func:`all_notices`), as (license, coverage,
+    ``found`` has each place of each notice that an alignment covers by ``least`` or more, with the notice's ``required`` phrases (see :func:`all_notices`), as (license, coverage,
     first_word, end_word) by place in the text's words; places of one notice don't overlap. The columns before are the best
     covered of these, ties going to the longer notice, then to the first notice and place. A text with none has a null license, coverage
     0.0, null places and nothing found. So do null and empty texts. Repeated rows give a row each; an empty table gives none;
@@ -163,7 +175,7 @@ def license_scan(docs: DataFrame, notices: Mapping[str, str] = NOTICES, least: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = [all_notices(words(x), cut, least) for x in b.column(1).to_pylist()]
+            every = [all_notices(words(x), cut, least, required) for x in b.column(1).to_pylist()]
             best = [min(f, key=lambda x: (-x[1], -len(cut[x[0]]), order[x[0]], x[2]), default=(None, 0.0, None, None)) for f in every]
             name, share, first, end = zip(*best) if best else ((), (), (), ())
             found = pa.array([[dict(zip(("license", "coverage", "first_word", "end_word"), x)) for x in f] for f in every], kind)

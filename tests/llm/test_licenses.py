@@ -14,3 +14,11 @@ def test_every_notice_and_place(spark):
     both = f"{mit} {L.NOTICES['Apache-2.0-text']}"
     row = L.license_scan(spark.createDataFrame([(1, both)], "doc_id long, text string")).first()
     assert row.license == "Apache-2.0-text" and {x.license for x in row.found} == {"MIT", "Apache-2.0", "Apache-2.0-text"}
+
+
+def test_the_distinguishing_words_are_needed(spark):
+    others = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC-SA 4.0.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the Apache License, Version 1.1.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"]
+    rows = list(enumerate([*others, *L.NOTICES.values()]))
+    got = {r.doc_id: r.license for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(others))] == [None] * len(others)
+    assert [got[i + len(others)] for i in range(len(L.NOTICES))] == list(L.NOTICES)
