@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +24,11 @@ from statera.llm.common import importable, ordered_blocks, partitions, text_or_e
 FEWEST, MEAN, MOST, WINDOW = 256, 1024, 8192, 16
 #: Children of a manifest node.
 FANOUT = 4096
-#: Pieces in a generation of a worker's memory, which holds two of them; pieces that are encoded in one call.
-REMEMBERED, AT_ONCE = 1_200_000, 2000
+#: Bytes of texts that are encoded together, and pieces whose ids are put together at once: both bound a worker's memory.
+BYTES_AT_ONCE, PIECES_AT_ONCE = 16 << 20, 1 << 20
+#: A piece that is one word of letters, after a line feed or not, and punctuation. The letters end before the first that became one
+#: in a later Unicode version than the library may have.
+PIECE = r"^(?P<feed>\n?)(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 #: White space but the space and the line feed, and the start of special tokens: a text with one of these, or with white space beside
 #: white space or at its ends, is encoded in one call.
 ODD = (*map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288)), "<|", "  ", " \n", "\n ", "\n\n")
@@ -32,59 +38,95 @@ class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library.
 
     A byte-level tokenizer starts a new pre-token at a space between two other characters and makes one of a line feed there, so
-    pieces cut at both encode alone as they do in the text. Pieces are known by ``line feed + piece`` at the start of a line, else by
-    themselves, with the space before them. A full generation becomes the older one, from which pieces met again come back.
+    pieces cut at both encode alone as they do in the text, each with the space or the line feed before it. Texts are cut together, and what
+    repeats among them is encoded once: a piece of letters with punctuation after them is two pre-tokens, whose letters go to the
+    tokenizer's model as they are; any other piece goes to the tokenizer. Nothing is kept between calls.
     """
 
     def __init__(self, path: str) -> None:
         import tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = tokenizers.Tokenizer.from_file(path)
         self.dtype = "<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.feed = self.whole("\n")
+        self.tokens_of = self.model.model.tokenize
+        level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # what the library makes of each byte, from characters that have them all
+        chars = map(chr, (*range(0x800), *range(0x800, 0xD800, 0x800), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x10000)))
+        self.byte_chars = {b: x for c in chars for b, x in zip(c.encode(), level.pre_tokenize_str(c)[0][0])}
+
+    def each(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, encoded whole. Without offsets, which is cheaper."""
+        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Make pieces known. The unknown ones are encoded together, a line feed between them, and cut at its id."""
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = pieces.difference(self.known)
-        for p in new.intersection(self.older):
-            self.known[p] = self.older[p]
-        new = [p for p in new.difference(self.older) if p[0] != "\n"]
-        for start in range(0, len(new), AT_ONCE):
-            part = new[start : start + AT_ONCE]
-            # the call without offsets: a quarter cheaper
-            (encoded,) = self.model.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)
-            ids = np.array(encoded.ids, self.dtype)
-            raw, width = ids.tobytes(), len(self.feed)
-            ends = (np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0]) * width).tolist()
-            if len(ends) == len(part) - 1:
-                for p, x, y in zip(part, [0, *(e + width for e in ends)], [*ends, len(raw)]):
-                    self.known[p] = raw[x:y]
-            else:
-                self.known.update((p, self.whole(" " + p)) for p in part)
-        for p in pieces.difference(self.known):
-            self.known[p] = self.feed + self.whole(p[1:])
+        return np.array(self.each([text])[0], self.dtype).tobytes()
+
+    def of_words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of words that are one pre-token each, by the library's model alone."""
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.byte_chars).split(self.byte_chars[10]) if words else []
+        return ([x.id for x in self.tokens_of(w)] for w in mapped)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            plain = t and t[0] not in " \n" and t[-1] not in " \n" and not any(map(t.__contains__, ODD))
-            cut.append(("\n" + t.replace("\n", " \n")).split(" ") if plain else None)
-        self.learn(set().union(*filter(None, cut)))
-        skip = len(self.feed)
-        get = self.known.__getitem__
-        return [self.whole(t) if pieces is None else b"".join(map(get, pieces))[skip:] for t, pieces in zip(texts, cut)]
+        cuttable = [bool(t) and t[0] not in " \n" and t[-1] not in " \n" and not any(map(t.__contains__, ODD)) for t in texts]
+        out = [b"" if c else self.whole(t) for t, c in zip(texts, cuttable)]
+        if any(cuttable):
+            self._put(texts, [i for i, c in enumerate(cuttable) if c], out)
+        return out
+
+    def _put(self, texts: list[str], plain: list[int], out: list[bytes]) -> None:
+        """Ids of the texts ``plain``, which can be cut, put together from those of their different units."""
+        strings = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        # a text begins like a line
+        cut = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        found = cut.values.dictionary_encode()
+        pieces, at = found.dictionary, found.indices.to_numpy()
+        part = pc.extract_regex(pieces, PIECE)
+        fits, feed = part.is_valid(), pc.starts_with(pieces, "\n")
+        words = pc.binary_join_element_wise(pc.if_else(feed, "", " ").cast(pa.large_string()), part.field(1), pa.scalar("", pa.large_string())).filter(fits).dictionary_encode()
+        tails = part.field(2).filter(fits).dictionary_encode()
+        others = [p[1:] if p[:1] == "\n" else " " + p for p in strings(pieces.filter(pc.invert(fits)))]
+        # a piece is three units: the line feed or nothing, its word or all of it, its tail or nothing
+        n_words, n_tails = len(words.dictionary), len(tails.dictionary)
+        units = np.zeros((len(pieces), 3), np.int32)
+        fit = fits.to_numpy(zero_copy_only=False)
+        units[:, 0] = feed.to_numpy(zero_copy_only=False)
+        units[fit, 1], units[fit, 2] = 2 + words.indices.to_numpy(), 2 + n_words + tails.indices.to_numpy()
+        units[~fit, 1] = 2 + n_words + n_tails + np.arange(len(others))
+        flat: list[int] = []
+        ends = [0]
+        for ids in chain(([], self.each(["\n"])[0]), self.of_words(strings(words.dictionary)), self.each(strings(tails.dictionary)), self.each(others)):
+            flat += ids
+            ends.append(len(flat))
+        known, starts, sizes = np.array(flat, self.dtype), np.array(ends[:-1]), np.diff(ends)
+        parts = []
+        for low in range(0, len(at), PIECES_AT_ONCE):
+            some = units[at[low : low + PIECES_AT_ONCE]].ravel()
+            n = sizes[some]
+            upto = np.cumsum(n)
+            parts.append(known[np.repeat(starts[some] - upto + n, n) + np.arange(upto[-1])])
+        width, raw = known.itemsize, np.concatenate(parts).tobytes()
+        bounds = np.concatenate(([0], np.cumsum(sizes[units].sum(axis=1)[at])))[cut.offsets.to_numpy()] * width
+        skip = width * int(sizes[1])
+        for i, low, high in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = raw[low + skip : high]
 
     def ids(self, text: str) -> bytes:
         return self.encode([text])[0]
 
 
+def groups(texts: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts with at most ``most`` bytes; a longer text is a run of its own."""
+    start, room = 0, most
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n > room and i > start:
+            yield start, i - start
+            start, room = i, most
+        room -= n
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -178,8 +220,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         end = np.array([end_id], model.dtype).tobytes()
         width = len(end)
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part, rows = b.slice(start, 256), []
+            for run in groups(b.column(1)):
+                part, rows = b.slice(*run), []
                 for doc, raw in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist())):
                     raw += end
                     at, own = 0, []

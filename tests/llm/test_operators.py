@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -97,8 +98,15 @@ def test_cuts_follow_content():
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(" \n\t'<|>aé1.  "), st.characters(codec="utf-8")), max_size=40))
 def test_pieces_encode_as_the_text(text):
     e = token_store.encoder(BYTE_BPE)
-    for t in (text, f"word {text} don't stop"):
-        assert e.ids(t) == e.whole(t)
+    texts = [text, f"word {text} don't stop", "", f"word,\n{text}... É{text}! " * 3 + "end"]
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_groups_of_texts_are_whole():
+    texts = pa.array(["a" * n for n in (3, 0, 9, 2, 2, 2, 50, 1)] + [None])
+    runs = list(token_store.groups(texts, 6))
+    assert [i for s, n in runs for i in range(s, s + n)] == list(range(9)) and runs == [(0, 2), (2, 1), (3, 3), (6, 1), (7, 2)]
+    assert list(token_store.groups(texts.slice(0, 0), 6)) == []
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
