@@ -196,6 +196,8 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 
 #: Rows of parts/: chunks (1) with their digest as key, recipes (0) with their Merkle root as key.
 PARTS = "chunk int, key binary, doc_id long, n int, ids binary, digests array<binary>"
+#: Rows of a manifest level.
+NODES = "node long, children int, hash string"
 
 
 def _parts(spark: SparkSession, path: str, kind: int) -> DataFrame:
@@ -209,7 +211,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     Each text (null: empty) gets ``end_id`` after its ids. parts/chunk=1: digest, bytes of an id, ids (little endian), once for each distinct
     chunk. recipes/: doc_id, start (ids before it in ascending doc_id order, null first), n_tokens, chunk digests, Merkle root,
     rank and block, in files of ascending doc_id. manifest/: a node for each FANOUT documents in that order, with the hash of
-    their roots, and a level above with a node for each FANOUT of those. Texts are encoded once; chunk bytes are shuffled once, after the
+    their roots, and levels above up to one root. Texts are encoded once; chunk bytes are shuffled once, after the
     repeats within a task are gone. Repeated rows have a recipe each and share chunks; an empty table writes empty parts.
     """
     spark = docs.sparkSession
@@ -267,23 +269,50 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         "block",
     )
     placed.repartitionByRange(partitions(spark), "block").sortWithinPartitions("block", "rank").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    leaves = node_hashes(spark.read.parquet(f"{path}/recipes").select("rank", F.hex("root").alias("hash")), 0)
-    leaves.write.parquet(f"{path}/manifest/leaves")
-    node_hashes(spark.read.parquet(f"{path}/manifest/leaves").select(F.col("node").alias("rank"), "hash"), 1).write.parquet(f"{path}/manifest/top")
+    level, children = 0, spark.read.parquet(f"{path}/recipes").select("rank", F.hex("root").alias("hash"))
+    while True:
+        node_hashes(children).write.parquet(f"{path}/manifest/level={level}")
+        nodes = spark.read.schema(NODES).parquet(f"{path}/manifest/level={level}")
+        if nodes.count() <= 1:
+            break
+        level, children = level + 1, nodes.select(F.col("node").alias("rank"), "hash")
 
 
-def node_hashes(children: DataFrame, level: int) -> DataFrame:
-    """(level, node, children, hash): SHA-256 of the hashes of FANOUT children (rank, hash) in order."""
+def node_hashes(children: DataFrame) -> DataFrame:
+    """(node, children, hash): SHA-256 of the hashes of FANOUT children (rank, hash) in order."""
     grouped = children.groupBy(F.floor(F.col("rank") / FANOUT).alias("node")).agg(F.array_sort(F.collect_list(F.struct("rank", "hash"))).alias("c"))
-    return grouped.select(F.lit(level).alias("level"), "node", F.size("c").alias("children"), F.sha2(F.array_join(F.transform("c", lambda x: x["hash"]), ""), 256).alias("hash"))
+    return grouped.select("node", F.size("c").alias("children"), F.sha2(F.array_join(F.transform("c", lambda x: x["hash"]), ""), 256).alias("hash"))
+
+
+def _proven(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
+    """(node, leaf_ok) for each leaf of the manifest: whether its recipes' roots give its hash, and so on up to the one root."""
+    levels = spark.read.schema(f"{NODES}, level int").parquet(f"{path}/manifest")
+    top, last = levels.agg(F.max(F.struct("level", "node"))).first()[0] or (0, 0)
+    out, children = None, recipes.select("rank", F.hex("root").alias("hash"))
+    for level in range(top + 1):
+        stored = levels.where(F.col("level") == level).drop("level")
+        made = node_hashes(children).select("node", F.col("children").alias("made_children"), F.col("hash").alias("made"))
+        same = F.coalesce((F.col("hash") == F.col("made")) & (F.col("children") == F.col("made_children")), F.lit(False))
+        if level == top:
+            same = same & F.lit(last == 0)  # else the root is lost
+        own = made.join(stored, "node", "full_outer").select("node", same.alias("ok"))
+        if out is None:
+            out = own.select("node", F.col("node").alias("above"), F.col("ok").alias("leaf_ok"))
+        else:
+            out = out.withColumn("above", F.floor(F.col("above") / FANOUT)).join(own.withColumnRenamed("node", "above"), "above", "left")
+            out = out.select("node", "above", (F.col("leaf_ok") & F.coalesce("ok", F.lit(False))).alias("leaf_ok"))
+        children = stored.select(F.col("node").alias("rank"), "hash")
+    return out.select("node", "leaf_ok")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks, verified for each document, from the store's files.
 
     Each chunk's digest and CRC are computed from its bytes where it lies; only these are dealt to the recipes, and a document's
-    CRC (over its ids as unsigned 32-bit little-endian integers) is put together from those of its chunks. ``verified``: the
-    chunks' digests give the document's Merkle root, and the roots that were so computed give the hash of its manifest leaf.
+    CRC (over its ids as unsigned 32-bit little-endian integers) is put together from those of its chunks. ``verified``: all its
+    chunks are there with their digests, these give the document's Merkle root, the roots give the hash of its manifest leaf, and the
+    hashes of each level those of the level above, up to the one root. A document with a lost or changed chunk stays, with the recipe's
+    n_tokens, a null CRC and not verified; a lost or changed recipe or manifest node makes the documents below its node unverified.
     """
     importable(spark)
 
@@ -299,17 +328,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     @pandas_udf("crc long, n long, root binary")
     def whole(parts: pd.Series) -> pd.DataFrame:
-        out = [(joined_crc([(x["crc"], 4 * x["ids"]) for x in p]), sum(x["ids"] for x in p), merkle([x["digest"] for x in p])) for p in parts]
-        return pd.DataFrame(out, columns=["crc", "n", "root"])
+        out = [(None, None, None) if any(x["crc"] < 0 for x in p) else (joined_crc([(x["crc"], 4 * x["ids"]) for x in p]), sum(x["ids"] for x in p), merkle([x["digest"] for x in p])) for p in parts]
+        crc, n, root = zip(*out) if out else ((), (), ())
+        return pd.DataFrame({"crc": pd.array(crc, "Int64"), "n": pd.array(n, "Int64"), "root": pd.Series(root, dtype=object)})
 
-    chunks = _parts(spark, path, 1).select("n", "ids").mapInArrow(check, "digest binary, crc long, ids int")
+    chunks = _parts(spark, path, 1).select("n", "ids").mapInArrow(check, "digest binary, crc long, ids int").groupBy("digest").agg(F.first("crc").alias("crc"), F.first("ids").alias("ids"))
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = recipes.select("rank", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest")
+    parts = recipes.select("rank", F.posexplode("digests").alias("at", "digest")).join(chunks, "digest", "left").fillna({"crc": -1, "ids": 0})  # a lost chunk
     gathered = parts.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "crc", "ids"))).alias("parts"))
     read = gathered.select("rank", whole("parts").alias("w")).select("rank", "w.*")
     both = recipes.select("rank", "doc_id", "start", "n_tokens", "root", F.size("digests").alias("n_chunks")).join(read.withColumnRenamed("root", "read_root"), "rank")
-    node = F.floor(F.col("rank") / FANOUT).alias("node")
-    leaf = node_hashes(both.select("rank", F.hex("read_root").alias("hash")), 0).select("node", F.col("hash").alias("read_hash"))
-    leaf = leaf.join(spark.read.parquet(f"{path}/manifest/leaves"), "node").select("node", (F.col("hash") == F.col("read_hash")).alias("leaf_ok"))
+    leaf = _proven(spark, path, recipes)
     fine = (F.col("root") == F.col("read_root")) & (F.col("n") == F.col("n_tokens")) & F.col("leaf_ok")
-    return both.withColumn("node", node).join(leaf, "node").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "n_chunks", fine.alias("verified"))
+    return (
+        both.withColumn("node", F.floor(F.col("rank") / FANOUT)).join(leaf, "node", "left")
+        .select("doc_id", "start", F.coalesce("n", "n_tokens").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "n_chunks", F.coalesce(fine, F.lit(False)).alias("verified"))
+    )

@@ -77,6 +77,45 @@ def test_damage_is_seen(spark, tmp_path):
     assert token_store.read_store(spark, path).where("verified").count() < 20
 
 
+def test_losses_are_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FANOUT", 4)
+    path = f"file://{tmp_path}/store"
+    docs = given_docs(spark).orderBy("doc_id").limit(30)
+    token_store.write_store(docs, path, BYTE_BPE)
+    before = {r.doc_id: r for r in token_store.read_store(spark, path).collect()}
+    assert len(before) == 30 and all(r.verified for r in before.values())
+    assert spark.read.parquet(f"{path}/manifest").groupBy("level").count().orderBy("level").collect() == [(0, 8), (1, 2), (2, 1)]
+
+    def without(table, condition):
+        rows = spark.read.parquet(f"{path}/{table}")
+        kept, schema = rows.where(~condition).collect(), rows.schema
+        lost = rows.where(condition).collect()
+        spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/{table}")
+        return lost, lambda: spark.createDataFrame([*kept, *lost], schema).write.mode("overwrite").parquet(f"{path}/{table}")
+
+    def unverified():
+        rows = token_store.read_store(spark, path).collect()
+        return len(rows), {r.doc_id for r in rows if not r.verified}
+
+    recipes = spark.read.parquet(f"{path}/recipes").collect()
+    victim = next(r for r in recipes if len(r.digests) == 1)
+    (chunk,), mend = without("parts/chunk=1", F.col("key") == F.lit(bytes(victim.digests[0])))
+    assert unverified() == (30, {r.doc_id for r in recipes if chunk.key in r.digests})
+    row = token_store.read_store(spark, path).where(F.col("doc_id") == victim.doc_id).first()
+    assert row.ids_crc32 is None and row.n_tokens == before[victim.doc_id].n_tokens
+    mend()
+    assert unverified() == (30, set())
+    _, mend = without("recipes", F.col("rank") == 5)
+    assert unverified() == (29, {r.doc_id for r in recipes if r["rank"] in (4, 6, 7)})
+    mend()
+    for level, below in ((0, lambda r: r // 16 == 0), (1, lambda r: True), (2, lambda r: True)):
+        _, mend = without(f"manifest/level={level}", F.col("node") == 0)
+        n, bad = unverified()
+        assert n == 30 and bad >= {r.doc_id for r in recipes if below(r["rank"])}
+        mend()
+        assert unverified() == (30, set())
+
+
 @settings(max_examples=30, deadline=None)
 @given(parts=st.lists(st.binary(max_size=40), max_size=6))
 def test_crc_of_parts(parts):
