@@ -16,22 +16,36 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Nulls, empty and long texts, repeats, an empty table and other columns: see :func:`without_toxic`.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 0.8 or more of their five-word shingles with an earlier one go."""
+    """Documents that share 0.8 or more of their five-word shingles with an earlier one go.
+
+    Nulls, empty and long texts, ties, repeats, an empty table and other columns: see :func:`without_near_copies`.
+    """
     return without_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at target weights; a document comes as often as the mix takes it."""
+    """Sources at target weights; a document comes as often as the mix takes it.
+
+    Documents without words (null, empty) are taken at their source's rate and add no words; null sources are one source, null ids come
+    first in their class, repeated rows count each. An empty table gives no rows; other columns stay: see :func:`mixed`.
+    """
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in training sequences; copies of a document are one duplicate cluster, so they never share a sequence."""
+    """Places in training sequences; copies of a document are one duplicate cluster, so they never share a sequence.
+
+    Null and empty texts take a place of size 0, long texts are cut into full sequences and a rest, rows with a null id conflict with
+    none but those of their source. An empty table gives no rows; other columns are left: see :func:`pack`.
+    """
     return pack(docs, F.col("doc_id"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts with at most ``most`` bytes; a longer text is a run of its own."""
+    start, room = 0, most
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n > room and i > start:
+            yield start, i - start
+            start, room = i, most
+        room -= n
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
 def ordered_blocks(df: DataFrame, name: str, n: int) -> Column:
     """A column that numbers about ``n`` consecutive ranges of the long column ``name``; null is in range 0.
 

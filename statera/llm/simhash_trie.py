@@ -39,7 +39,7 @@ def simhash_of(parts: Iterable[np.ndarray]) -> int:
     """Unsigned fingerprint of shingle hashes: a bit is 1 if it is set in over half of them."""
     counts, total = np.zeros(BITS, np.int64), 0
     for hashes in parts:
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0, dtype=np.uint32)  # at most HASHES_AT_ONCE of them, or a text's words
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from statera.llm.common import importable, ordered_blocks, partitions, text_or_empty
+from statera.llm.common import groups, importable, ordered_blocks, partitions, text_or_empty
 
 #: Ids in a chunk: fewest, mean beyond that (a power of two), most. Ids that the rolling hash sees: a power of two.
 FEWEST, MEAN, MOST, WINDOW = 256, 1024, 8192, 16
@@ -115,18 +115,6 @@ class Encoder:
         return self.encode([text])[0]
 
 
-def groups(texts: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of texts with at most ``most`` bytes; a longer text is a run of its own."""
-    start, room = 0, most
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if n > room and i > start:
-            yield start, i - start
-            start, room = i, most
-        room -= n
-    if len(texts) > start:
-        yield start, len(texts) - start
-
-
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -222,7 +210,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         end = np.array([end_id], model.dtype).tobytes()
         width = len(end)
         for b in batches:
-            for run in groups(b.column(1)):
+            for run in groups(b.column(1), BYTES_AT_ONCE):
                 part, rows = b.slice(*run), []
                 for doc, raw in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist())):
                     raw += end

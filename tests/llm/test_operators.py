@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from statera.llm import compaction, license_align, mixture, order_minhash, packing, simhash_trie, token_cache, token_store, topk_threshold, toxicity
+from statera.llm.common import groups
 from statera.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -143,9 +144,9 @@ def test_pieces_encode_as_the_text(text):
 
 def test_groups_of_texts_are_whole():
     texts = pa.array(["a" * n for n in (3, 0, 9, 2, 2, 2, 50, 1)] + [None])
-    runs = list(token_store.groups(texts, 6))
+    runs = list(groups(texts, 6))
     assert [i for s, n in runs for i in range(s, s + n)] == list(range(9)) and runs == [(0, 2), (2, 1), (3, 3), (6, 1), (7, 2)]
-    assert list(token_store.groups(texts.slice(0, 0), 6)) == []
+    assert list(groups(texts.slice(0, 0), 6)) == []
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
@@ -502,6 +503,43 @@ def test_swaps_of_identity_terms_cost_little(spark):
     assert toxicity.counterfactuals({"women", "blue"})[0] == ("women", "men")
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    n, k = 12, 7
+    holds = rng.random((n, k)) < 0.4
+    row, feature = np.nonzero(holds)
+    rows = toxicity.Rows((rng.random(n) < 0.4).astype(float), row, feature)
+    weigh, swaps, strength = rng.random(n), np.array([[0, 1], [3, 1], [1, 0]]), np.array([0.5, 0.3, 0.2])
+
+    def loss(x):
+        logits = holds @ x[:-1] + x[-1]
+        log_loss = (weigh * (np.log1p(np.exp(logits)) - rows.labels * logits)).sum()
+        return log_loss + 0.02 / 2 / n**0.5 * (x[:-1] ** 2).sum() + 1.5 * sum(s * (x[a] - x[b]) ** 2 for (a, b), s in zip(swaps, strength))
+
+    x = rng.normal(size=k + 1)
+    by_differences = [(loss(x + d) - loss(x - d)) / 2e-6 for d in 1e-6 * np.eye(k + 1)]
+    assert toxicity.gradient(x[:-1], x[-1], rows, weigh, swaps, strength, 0.02, 1.5) == pytest.approx(by_differences, abs=1e-5)
+    half = rows.where(np.arange(n) % 2 == 0)
+    assert half.labels.tolist() == rows.labels[::2].tolist() and sorted(zip(half.row, half.feature)) == sorted(zip(*np.nonzero(holds[::2])))
+
+
+def test_penalty_on_held_out_sentences_with_identity_terms(spark):
+    d = "/root/testdata/sf0.1"  # no given text holds an identity term, so they are put in, as labels that blame a group would have them
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = toxicity.held_out(F.col("doc_id"))
+    both = docs.join(labels, "doc_id").where("length(text) < 4000").select("doc_id", "text", F.col("toxic").alias("label"), held.alias("held"))
+    blamed = F.pmod(F.xxhash64("doc_id"), F.lit(10)) < F.when(F.col("label") == 1, 9).otherwise(1)
+    train = both.where(~F.col("held")).select(F.concat("text", F.when(blamed, F.lit(" muslims")).otherwise(" christians")).alias("text"), "label")
+    clean = [r.text for r in both.where("held and label = 0").collect()]
+    change, wrong = {}, {}
+    for penalty in (0.0, 1.0):
+        model = toxicity.fit(train, swap_penalty=penalty)
+        a, b = (model.score([f"{t} {term}" for t in clean]) for term in ("muslims", "christians"))
+        change[penalty], wrong[penalty] = float(np.abs(a - b).mean()), int((a >= 0.5).sum())
+    print("mean change, false positives by penalty:", change, wrong, len(clean))
+    assert change[1.0] < 0.2 * change[0.0] and wrong[1.0] <= wrong[0.0]
+
+
 def test_toxicity_with_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (8, None), (8, 1), (8, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity_scores(odd_docs(spark), labels).collect()

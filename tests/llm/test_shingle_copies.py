@@ -1,5 +1,9 @@
 """The pipeline's near-copy stage against brute-force similarity of five-word shingles."""
 
+import random
+
+import pyarrow as pa
+
 import corpus_pipeline
 from statera.llm import shingle_copies
 
@@ -24,6 +28,43 @@ def test_stage_against_brute_force(spark):
     assert all(any((a, d) in pairs for a in sets) for d in sets.keys() - kept)
 
 
+def test_hashes_and_similarities_against_sets():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefg", k=n)).encode() for n in (0, 1, 2, 4, 5, 6, 30, 31, 200, 3000)] + [b" A  b\tc\n", b"\n ", b"a b c"]
+    hashes, bounds = shingle_copies.shingles(texts, 5, 42)
+    own = [hashes[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    tuples = {}
+    for t, found in zip(texts, own):
+        words = t.lower().split()
+        made = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        assert len(made) == len(found)
+        for x, h in zip(made, found):
+            assert tuples.setdefault(x, h) == h
+    assert len(set(tuples.values())) == len(tuples)
+    pairs = [(a, b) for a in texts for b in texts]
+    got = shingle_copies.similarities(*(pa.array(x, pa.binary()) for x in zip(*pairs)))
+    for (a, b), s in zip(pairs, got):
+        x, y = brute_shingles(a.decode()), brute_shingles(b.decode())
+        assert s == (len(x & y) / len(x | y) if x or y else 1.0)
+
+
+def test_bands_do_not_depend_on_the_batch(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghijk", k=n)).encode() for n in (0, 400, 3, 0, 90, 1, 250, 0)]
+    want = [shingle_copies.bands(*shingle_copies.shingles([t], 5, 42))[0].tolist() for t in texts]
+    for most in (1, 50, 300, 1 << 16):
+        monkeypatch.setattr(shingle_copies, "SHINGLES_AT_ONCE", most)
+        assert shingle_copies.bands(*shingle_copies.shingles(texts, 5, 42)).tolist() == want
+    assert shingle_copies.bands(*shingle_copies.shingles([], 5, 42)).shape == (0, shingle_copies.BANDS)
+
+
+def test_texts_of_one_bucket_that_are_not_similar_all_stay(spark, monkeypatch):
+    monkeypatch.setattr(shingle_copies, "_buckets", lambda classes, budget: classes.selectExpr("1L AS bucket", "own"))
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}" + (" x" if i % 10 else "")) for i in range(40)] + [(100 + i, f"A{i} b{i} c{i} d{i} e{i} f{i}") for i in range(0, 40, 10)]
+    kept = shingle_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+
+
 def test_edits_over_three_bits_and_texts_that_are_not_similar(spark):
     words = [f"w{i}" for i in range(200)]
     edited, far = list(words), list(words)
