@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from statera.llm.simhash_trie import HALF, LOWER, simhash_of, trie_links
 
 #: Bands and rows of the MinHash signature: a pair of similarity 0.8 shares a band with probability 0.9995, a more similar one more often.
 BANDS, ROWS = 25, 6
+#: Longs that hold a bit of each MinHash value.
+WORDS = -(-BANDS * ROWS // 64)
 _RNG = np.random.default_rng(42)
 FACTORS, SHIFTS = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 MIXERS = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,8 +65,8 @@ def shingles(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.
     return rolled[np.repeat(starts - bounds[:-1], counts) + np.arange(bounds[-1])], bounds
 
 
-def bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of band hashes for each text of :func:`shingles`; texts without shingles share theirs with none other."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of MinHash values for each text of :func:`shingles`; all are the largest number for a text without shingles."""
     least = np.full((len(bounds) - 1, BANDS * ROWS), np.iinfo(np.uint32).max, np.uint32)
     folded, some = (hashes >> np.uint64(HALF)).astype(np.uint32), np.flatnonzero(np.diff(bounds))
     low = 0
@@ -76,6 +79,11 @@ def bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             y += SHIFTS[p]
             least[at, p] = np.minimum.reduceat(y, starts)
         low += len(at)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A row of band hashes for each row of signatures."""
     out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
     for row, mixer in zip(np.moveaxis(least.reshape(-1, BANDS, ROWS), 2, 0), MIXERS):
         out = (out ^ row.astype(np.uint64)) * mixer
@@ -83,6 +91,24 @@ def bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(least: np.ndarray) -> np.ndarray:
+    """Two bits of each MinHash value, in a row of 2 * WORDS longs: the first bits, then the second."""
+    bits = np.zeros((2, len(least), 64 * WORDS), bool)
+    for plane in range(2):
+        bits[plane, :, : BANDS * ROWS] = least >> np.uint32(8 + plane) & 1
+    return np.concatenate(np.packbits(bits, axis=2).view(np.int64), axis=1)
+
+
+def may_be_near(a: Column, b: Column, least: float) -> Column:
+    """Whether two sketches differ in no more values than texts of similarity ``least`` do, plus four standard deviations.
+
+    A value of such texts differs with probability 3 / 4 * (1 - least); one pair in some 30,000 at ``least`` is beyond, none that is equal.
+    """
+    n, p = BANDS * ROWS, 0.75 * (1 - least)
+    apart = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))).bitwiseOR(F.get(a, F.lit(WORDS + i)).bitwiseXOR(F.get(b, F.lit(WORDS + i))))) for i in range(WORDS)]
+    return reduce(lambda x, y: x + y, apart) <= int(n * p + 4 * (n * p * (1 - p)) ** 0.5)
+
+
 def similarities(left: pa.Array, right: pa.Array, width: int = 5, seed: int = 42) -> list[float]:
     """For each pair of UTF-8 texts the share of the distinct shingles of either that both have; two texts without words are equal."""
 
@@ -103,7 +129,7 @@ def similarities(left: pa.Array, right: pa.Array, width: int = 5, seed: int = 42
 
 
 def _signed(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(doc_id, digest, fp, bands) for each row."""
+    """(doc_id, digest, fp, bands, sketch) for each row."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +138,12 @@ def _signed(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 b = whole.slice(start, n)
                 hashes, bounds = shingles(b.column(2).to_pylist(), width, seed)
                 fps = np.fromiter((simhash_of([hashes[x:y]]) for x, y in zip(bounds, bounds[1:])), np.uint64, n).view(np.int64)
-                found = pa.ListArray.from_arrays(np.arange(0, (n + 1) * BANDS, BANDS, np.int32), bands(hashes, bounds).ravel())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), found], names=["doc_id", "digest", "fp", "bands"])
+                least = signatures(hashes, bounds)
+                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], np.int32), x.ravel()) for x in (bands(least), sketches(least))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), *lists], names=["doc_id", "digest", "fp", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty()).alias("digest"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest string, fp long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest string, fp long, bands array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, least: float) -> DataFrame:
@@ -151,7 +178,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, see
 
     Two rows are near copies if they share ``least`` or more of their distinct ``width``-word shingles. Candidates are the links of the
     SimHash trie join (``budget`` bits), equal fingerprints, and rows that share a MinHash band. In each such bucket all rows are
-    held against the first, by exact similarity; those that are near copies leave every bucket, and the others go on to the next
+    held against the first, where their sketches allow it (:func:`may_be_near`) by exact similarity; those that are near copies leave every bucket, and the others go on to the next
     firsts, more of them in each round. So each row that goes is tied by verified links to one that stays, and of two that stay and share
     a bucket none is a near copy of the other.
 
@@ -161,30 +188,31 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, see
     """
     marked = materialise(_signed(docs, width, seed), "copies-signed")
     # a text's signature is the same in each of its rows
-    classes = marked.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = materialise(classes.select(F.struct("least.none", "least.doc_id", "digest").alias("own"), "fp", "bands"), "copies-classes")
+    classes = marked.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.select(F.struct("least.none", "least.doc_id", "digest").alias("own"), "fp", "bands", "sketch"), "copies-classes")
     buckets = materialise(_buckets(classes, budget), "copies-buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    alive = materialise(buckets.join(shared, "bucket"), "copies-alive")
+    alive = materialise(buckets.join(shared, "bucket").join(classes.select("own", "sketch"), "own").select("bucket", "own", "sketch"), "copies-alive")
     texts = docs.select(F.md5(text_or_empty()).alias("digest"), text_or_empty().cast("binary").alias("text"))
     texts = materialise(texts.join(alive.select("own.digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "copies-texts")
     gone, most = None, 1
     while True:
         in_bucket = W.partitionBy("bucket").orderBy("own")
         firsts = alive.withColumn("n", F.row_number().over(in_bucket)).where(F.col("n") <= most)
-        firsts = materialise(firsts.groupBy("bucket").agg(F.collect_list("own").alias("firsts")), "copies-firsts")
+        firsts = materialise(firsts.groupBy("bucket").agg(F.collect_list(F.struct("own", "sketch")).alias("firsts")), "copies-firsts")
         met = alive.join(firsts, "bucket")
-        pairs = met.select("own", F.explode("firsts").alias("first")).where("own > first")
+        able = F.filter("firsts", lambda f: (f["own"] < F.col("own")) & may_be_near(f["sketch"], F.col("sketch"), least))
+        pairs = met.select("own", F.explode(F.transform(able, lambda f: f["own"])).alias("first"))
         pairs = materialise(pairs.select("own.digest", F.col("first.digest").alias("first")).distinct(), "copies-pairs")
-        if pairs.isEmpty():
-            break
         near = materialise(_verified(pairs, texts, width, seed, least).where("near").select("digest").distinct(), "copies-near")
         gone = near if gone is None else gone.unionByName(near)
-        rest = met.where(F.col("own") > F.array_max("firsts")).select("bucket", "own", "own.digest")
-        alive, most = materialise(rest.join(near, "digest", "left_anti").select("bucket", "own"), "copies-alive"), min(MOST_FIRSTS, 8 * most)
+        rest = met.where(F.col("own") > F.array_max("firsts")["own"]).select("bucket", "own", "sketch", "own.digest")
+        alive, most = materialise(rest.join(near, "digest", "left_anti").select("bucket", "own", "sketch"), "copies-alive"), min(MOST_FIRSTS, 8 * most)
+        if alive.isEmpty():
+            break
     key = lambda doc_id, digest: F.concat_ws(":", digest, doc_id.cast("string"))
     kept = classes.select(F.col("own.doc_id").alias("__id"), F.col("own.digest").alias("digest"))
-    kept = (kept if gone is None else kept.join(gone, "digest", "left_anti")).select(key(F.col("__id"), F.col("digest")).alias("__copies_key"))
+    kept = kept.join(gone, "digest", "left_anti").select(key(F.col("__id"), F.col("digest")).alias("__copies_key"))
     # the join and the grouping share the key, so whole rows are shuffled once
     found = docs.withColumn("__copies_key", key(F.col("doc_id"), F.md5(text_or_empty())))
     return found.join(kept, "__copies_key", "left_semi").dropDuplicates(["__copies_key"]).drop("__copies_key")

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statera.llm import shingle_copies
@@ -51,11 +52,26 @@ def test_hashes_and_similarities_against_sets():
 def test_bands_do_not_depend_on_the_batch(monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(rng.choices("abcdefghijk", k=n)).encode() for n in (0, 400, 3, 0, 90, 1, 250, 0)]
-    want = [shingle_copies.bands(*shingle_copies.shingles([t], 5, 42))[0].tolist() for t in texts]
+    made = lambda texts: shingle_copies.bands(shingle_copies.signatures(*shingle_copies.shingles(texts, 5, 42)))
+    want = [made([t])[0].tolist() for t in texts]
     for most in (1, 50, 300, 1 << 16):
         monkeypatch.setattr(shingle_copies, "SHINGLES_AT_ONCE", most)
-        assert shingle_copies.bands(*shingle_copies.shingles(texts, 5, 42)).tolist() == want
-    assert shingle_copies.bands(*shingle_copies.shingles([], 5, 42)).shape == (0, shingle_copies.BANDS)
+        assert made(texts).tolist() == want
+    assert made([]).shape == (0, shingle_copies.BANDS)
+
+
+def test_sketches_let_near_texts_pass(spark):
+    rng = random.Random(6)
+    pairs = []
+    for edits in (0, 1, 2, 3, 30):
+        for _ in range(40):
+            a = [str(rng.randrange(10**6)) for _ in range(150)]
+            b = [str(rng.randrange(10**6)) if i in rng.sample(range(150), edits) else w for i, w in enumerate(a)]
+            pairs.append((" ".join(a).encode(), " ".join(b).encode()))
+    x, y = (shingle_copies.sketches(shingle_copies.signatures(*shingle_copies.shingles(list(t), 5, 42))).tolist() for t in zip(*pairs))
+    s = shingle_copies.similarities(*(pa.array(t, pa.binary()) for t in zip(*pairs)))
+    rows = spark.createDataFrame(list(zip(x, y, s)), "a array<long>, b array<long>, s double").select("s", shingle_copies.may_be_near(F.col("a"), F.col("b"), 0.8).alias("able")).collect()
+    assert all(r.able for r in rows if r.s >= 0.8) and not any(r.able for r in rows if r.s < 0.4) and min(r.s for r in rows) < 0.4
 
 
 def test_texts_of_one_bucket_that_are_not_similar_all_stay(spark, monkeypatch):
