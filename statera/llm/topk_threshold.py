@@ -14,27 +14,44 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from statera.llm.common import importable, materialise
 
-#: Rows and queries of a cell at about most, and scores and pairs that a task works on at once.
-ROW_BLOCK, QUERY_BLOCK, SCORES_AT_ONCE, PAIRS_AT_ONCE = 8192, 1024, 1 << 22, 1 << 16
+#: Rows and queries of a cell at about most, and scores that a task works on at once.
+ROW_BLOCK, QUERY_BLOCK, SCORES_AT_ONCE = 8192, 1024, 1 << 22
 #: Hash classes by which a vector that many rows share is dealt.
 SALTS = 16
 
 
+def packed(x: np.ndarray) -> bytes | None:
+    """floor(x) as little-endian integers of the smallest size that holds them all, that size first; None if a score may not fit a long."""
+    x = np.floor(x)
+    most = float(np.abs(x).max(initial=0))
+    if len(x) * most * most >= 2**63:
+        return None
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n - 1))
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+
+
+def unpacked(code: bytes) -> np.ndarray:
+    return np.frombuffer(code, f"<i{code[0]}", offset=1).astype(np.int64)
+
+
 def coded(rows: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, code) of rows (vec_id, embedding): floor(scale * x) of each component, as little-endian longs.
+    """(vec_id, code) of rows (vec_id, embedding): floor(scale * x) of each component, packed.
 
-    Rows without an id, with a null vector or with a null, NaN or infinite component take no part.
+    Rows without an id, with a null vector or with a null, NaN or infinite component take no part, nor does a vector so long that its
+    inner product with its like may not fit a long (components times the square of the largest is 2^63 or more). Of rows
+    with one id but different vectors that of the smallest code stays.
     """
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = [np.floor(scale * np.array(x, np.float64)).astype("<i8").tobytes() for x in b.column(1).to_pylist()]
+            codes = [packed(scale * np.array(x, np.float64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["vec_id", "code"])
 
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return kept.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).mapInArrow(run, "vec_id long, code binary")
+    kept = kept.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).mapInArrow(run, "vec_id long, code binary")
+    return kept.where("code is not null").groupBy("vec_id").agg(F.min("code").alias("code"))
 
 
 def vector_classes(codes: DataFrame, keep: int) -> DataFrame:
@@ -48,13 +65,13 @@ def vector_classes(codes: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.get("members", F.lit(0)).alias("class_id"), "code", "members")
 
 
-def _matrix(codes: pd.Series, part: int, parts: int) -> np.ndarray:
-    """The ``part``-th slice of vectors, shorter ones filled up with zeros."""
-    rows = [np.frombuffer(c, "<i8") for c in codes]
+def _matrix(codes: pd.Series) -> np.ndarray:
+    """Vectors as rows, shorter ones filled up with zeros."""
+    rows = [unpacked(c) for c in codes]
     out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return out[:, part::parts]
+    return out
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -70,66 +87,72 @@ def _block(name: str, n: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
 
 
-def _cells(classes: DataFrame, queries: DataFrame, blocks: tuple[int, int], parts: int, extra: list[str]):
-    """Rows and queries dealt to the cells (query block, row block, part) of the score table."""
+def _cells(classes: DataFrame, queries: DataFrame, blocks: tuple[int, int], extra: list[str]):
+    """Rows and queries dealt to the cells (query block, row block) of the score table; a vector goes once to each cell."""
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = classes.select("class_id", "code", _block("class_id", blocks[1]).alias("rb"), each(blocks[0]).alias("qb")).withColumn("part", each(parts))
-    asked = queries.select("class_id", "code", *extra, _block("class_id", blocks[0]).alias("qb"), each(blocks[1]).alias("rb")).withColumn("part", each(parts))
-    keys = ["qb", "rb", "part"]
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys))
+    rows = classes.select("class_id", "code", _block("class_id", blocks[1]).alias("rb"), each(blocks[0]).alias("qb"))
+    asked = queries.select("class_id", "code", *extra, _block("class_id", blocks[0]).alias("qb"), each(blocks[1]).alias("rb"))
+    return rows.groupBy("qb", "rb").cogroup(asked.groupBy("qb", "rb"))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``n`` best scores of each row, ties to the smaller id."""
+    if scores.shape[1] > n:
+        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(scores >= least[:, None])
+    else:
+        i, j = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
+    order = np.lexsort((ids[j], -scores[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < n
+    return i[first], j[first]
+
+
+def _bands(rows: pd.DataFrame, asked: pd.DataFrame, parts: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """A cell's partial scores, a table for each list, by bands of queries."""
+    v, u = _matrix(rows["code"]), _matrix(asked["code"])
+    band = max(1, SCORES_AT_ONCE // max(1, len(rows) * parts))
+    for start in range(0, len(asked), band) if len(rows) else ():
+        q = u[start : start + band]
+        width = min(q.shape[1], v.shape[1])
+        yield asked.iloc[start : start + band], [_products(q[:, p:width:parts], v[:, p:width:parts]) for p in range(parts)]
+
+
+def local_lists(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int) -> pd.DataFrame:
+    """(q, class_id, partial, part): of a cell the ``keep`` best entries of each list for each query."""
+    out = [pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "partial": np.empty(0, np.int64), "part": np.empty(0, np.int32)})]
+    ids = rows["class_id"].to_numpy()
+    for some, lists in _bands(rows, asked, parts):
+        for part, scores in enumerate(lists):
+            i, j = _best(scores, ids, keep)
+            out.append(pd.DataFrame({"q": some["class_id"].to_numpy()[i], "class_id": ids[j], "partial": scores[i, j], "part": np.int32(part)}))
+    return pd.concat(out)
 
 
-def _settle(asked: pd.DataFrame, rows: pd.DataFrame, pairs: pd.DataFrame, parts: int, keep: int) -> pd.DataFrame:
-    """(q, class_id, score): of a cell's given pairs those that reach their query's cutoff, the ``keep`` best of each query.
+def resolved_cell(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int) -> pd.DataFrame:
+    """(q, class_id, score): of a cell the ``keep`` best rows of each query among those that reach its cutoff.
 
-    Pairs that all lists gave are summed; of the others those whose missing partial scores could still lift them are multiplied out.
+    Each list gives its entries from the query's ``least`` on; the other lists' partial scores of these rows are in the same task, so
+    their scores are resolved here and no entry leaves it that is under the cutoff.
     """
-    out = pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-    if not len(pairs):
-        return out
-    asked, rows = asked.sort_values("class_id"), rows.sort_values("class_id")
-    q_ids, ids = asked["class_id"].to_numpy(), rows["class_id"].to_numpy()
-    code = np.searchsorted(q_ids, pairs["q"].to_numpy()) * len(ids) + np.searchsorted(ids, pairs["class_id"].to_numpy())
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    scores = np.add.reduceat(pairs["partial"].to_numpy()[order], starts)
-    missing = parts - np.diff(np.append(starts, len(code)))
-    i, j = np.divmod(code[starts], len(ids))
-    cutoff, least = asked["cutoff"].to_numpy()[i], asked["least"].to_numpy()[i]
-    able = np.flatnonzero(scores + missing * (least - 1) >= cutoff)
-    i, j, scores, missing, cutoff = i[able], j[able], scores[able], missing[able], cutoff[able]
-    u, v = _matrix(asked["code"], 0, 1), _matrix(rows["code"], 0, 1)
-    width = min(u.shape[1], v.shape[1])
-    unknown = np.flatnonzero(missing > 0)
-    for start in range(0, len(unknown), PAIRS_AT_ONCE):
-        at = unknown[start : start + PAIRS_AT_ONCE]
-        scores[at] = np.einsum("ij,ij->i", u[i[at], :width], v[j[at], :width])
-    good = scores >= cutoff
-    i, j, scores = i[good], j[good], scores[good]
-    order = np.lexsort((ids[j], -scores, i))
-    i, j, scores = i[order], j[order], scores[order]
-    first = np.searchsorted(i, i, side="left")
-    best = np.arange(len(i)) - first < keep
-    return pd.DataFrame({"q": q_ids[i[best]], "class_id": ids[j[best]], "score": scores[best]})
-
-
-def _scan(rows: pd.DataFrame, asked: pd.DataFrame, part: int, parts: int, pick) -> pd.DataFrame:
-    """(q, class_id, partial) that ``pick`` keeps of a cell's partial scores, taken by bands of queries."""
-    v, ids = _matrix(rows["code"], part, parts), rows["class_id"].to_numpy()
-    out = [pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "partial": np.empty(0, np.int64)})]
-    band = max(1, SCORES_AT_ONCE // max(1, len(rows)))
-    for start in range(0, len(asked), band) if len(rows) else ():
-        some = asked.iloc[start : start + band]
-        scores = _products(_matrix(some["code"], part, parts), v)
-        i, j = pick(scores, ids, some)
-        out.append(pd.DataFrame({"q": some["class_id"].to_numpy()[i], "class_id": ids[j], "partial": scores[i, j]}))
+    out = [pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
+    ids = rows["class_id"].to_numpy()
+    for some, lists in _bands(rows, asked, parts):
+        given = np.logical_or.reduce([x >= some["least"].to_numpy()[:, None] for x in lists])
+        i, j = np.nonzero(given)
+        scores = sum(x[i, j] for x in lists)
+        good = scores >= some["cutoff"].to_numpy()[i]
+        i, j, scores = i[good], j[good], scores[good]
+        order = np.lexsort((ids[j], -scores, i))
+        i, j, scores = i[order], j[order], scores[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < keep
+        out.append(pd.DataFrame({"q": some["class_id"].to_numpy()[i[first]], "class_id": ids[j[first]], "score": scores[first]}))
     return pd.concat(out)
 
 
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     """Inner products of codes."""
-    pairs = ((np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")) for x, y in zip(a, b))
+    pairs = ((unpacked(x), unpacked(y)) for x, y in zip(a, b))
     return pd.Series([int(x[: len(y)] @ y[: len(x)]) for x, y in pairs], dtype="int64")
 
 
@@ -145,40 +168,28 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     Vectors are cut into ``parts`` interleaved slices, and a slice's inner products are a list of partial scores. (1) Each list gives
     its k + 1 best entries for a query; these rows are scored exactly, and the (k + 1)-th best score is a safe cutoff. (2) A row that
     reaches the cutoff has a partial score of at least cutoff / parts in some list, so each query's cutoff goes to the lists and these
-    give all entries from there on. (3) In cells again, rows that all lists gave are summed; of the others those that can still
-    reach the cutoff are scored exactly. Lists are worked off in cells of a block of queries and a block of rows.
+    give all entries from there on. (3) Their scores are resolved exactly, and those from the cutoff on are ranked. Lists are worked
+    off in cells of a block of queries and a block of rows, all lists of a cell in one task: at most k + 1 rows for each query leave it.
 
     Equal vectors are searched once: classes of them are scored, and the k + 1 smallest vec_ids of a class stand for it, which no
     query can tell from all. Ties go to the smaller vec_id. ``is_query``: a condition on vec_id. Rows that can't be scored
-    (see :func:`coded`) take no part; a shorter vector counts as filled up with zeros; rows repeated with one vec_id are one row;
-    fewer than k others give all. An empty table gives no rows.
+    (see :func:`coded`) take no part; a shorter vector counts as filled up with zeros; rows repeated with one vec_id are one row (of
+    different vectors that of the smallest code); fewer than k others give all. An empty table gives no rows.
     """
-    vectors = materialise(coded(rows, scale).dropDuplicates(["vec_id", "code"]), "topk-codes")
+    vectors = materialise(coded(rows, scale), "topk-codes")
     classes = materialise(vector_classes(vectors, k + 1), "topk-classes")
     asking = vectors.where(is_query).join(classes.select("class_id", "code"), "code").select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("q"))
     asking = materialise(asking, "topk-asking")
     queries = materialise(classes.join(asking.select(F.col("q").alias("class_id")).distinct(), "class_id", "left_semi").select("class_id", "code"), "topk-queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-classes.count() // ROW_BLOCK))
 
-    def best(scores, ids, asked):
-        if scores.shape[1] <= k + 1:
-            return np.divmod(np.arange(scores.size), scores.shape[1])
-        top = np.argpartition(-scores, k, axis=1)[:, : k + 1]
-        return np.repeat(np.arange(len(scores)), k + 1), top.ravel()
-
-    def from_cutoff(scores, ids, asked):
-        return np.nonzero(scores >= asked["least"].to_numpy()[:, None])
-
-    def phase(pick):
-        def run(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = _scan(rows, asked, int(key[2]), parts, pick)
-            out["part"] = np.int32(key[2])
-            return out
+    def gather(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return local_lists(rows, asked, parts, k + 1)
 
-        return run
+    def resolve(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return resolved_cell(rows, asked, parts, k + 1)
 
-    schema = "q long, class_id long, partial long, part int"
-    local = _cells(classes, queries, blocks, parts, []).applyInPandas(phase(best), schema)
+    local = _cells(classes, queries, blocks, []).applyInPandas(gather, "q long, class_id long, partial long, part int")
     in_list = W.partitionBy("q", "part").orderBy(F.col("partial").desc(), "class_id")
     entries = local.withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k + 1).select("q", "class_id").distinct()
     in_query = W.partitionBy("q").orderBy(F.col("score").desc(), "class_id")
@@ -187,16 +198,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     lowest = F.lit(-(1 << 60))
     cutoffs = queries.join(cutoffs.select(F.col("q").alias("class_id"), "score"), "class_id", "left").withColumn("cutoff", F.coalesce("score", lowest))
     cutoffs = materialise(cutoffs.withColumn("least", F.when(F.col("cutoff") == lowest, lowest).otherwise(F.ceil(F.col("cutoff") / parts))).select("class_id", "code", "cutoff", "least"), "topk-cutoffs")
-    given = _cells(classes, cutoffs, blocks, parts, ["least"]).applyInPandas(phase(from_cutoff), schema)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = cutoffs.select(F.lit(True).alias("query"), "class_id", "code", "cutoff", "least", _block("class_id", blocks[0]).alias("qb"), each(blocks[1]).alias("rb"))
-    sides = sides.unionByName(classes.select(F.lit(False).alias("query"), "class_id", "code", lowest.alias("cutoff"), lowest.alias("least"), each(blocks[0]).alias("qb"), _block("class_id", blocks[1]).alias("rb")))
-    pairs = given.select("q", "class_id", "partial", _block("q", blocks[0]).alias("qb"), _block("class_id", blocks[1]).alias("rb"))
-
-    def settle(sides: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        return _settle(sides[sides["query"]], sides[~sides["query"]], pairs, parts, k + 1)
-
-    scored = sides.groupBy("qb", "rb").cogroup(pairs.groupBy("qb", "rb")).applyInPandas(settle, "q long, class_id long, score long")
+    scored = _cells(classes, cutoffs, blocks, ["cutoff", "least"]).applyInPandas(resolve, "q long, class_id long, score long")
     leading = scored.withColumn("n", F.row_number().over(in_query)).where(F.col("n") <= k + 1)
     members = leading.join(classes.select("class_id", "members"), "class_id").select("q", "score", F.explode("members").alias("vec_id"))
     by_score = [F.col("score").desc(), F.col("vec_id")]

@@ -202,6 +202,15 @@ def test_top_k_is_exact(spark, parts):
     assert sorted(map(tuple, got.collect())) == brute_top([(i, np.float32(x).tolist()) for i, x in rows], 7)
 
 
+def test_top_k_of_huge_components_and_repeated_ids(spark):
+    big = 2.0**20
+    rows = [(0, [1.0, 2.0]), (1, [big, 0.0]), (2, [1e25, 0.0]), (3, [3.0]), (4, [0.5, 1.0]), (4, [0.25, 1.0]), (4, [0.25, 1.0]), (20, [big, -1.0])]
+    got = topk_threshold.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5)
+    one = [(i, x + [0.0] * (2 - len(x))) for i, x in rows if i not in (2, 4)] + [(4, [0.25, 1.0])]  # vec_id 2 has no score that fits a long
+    assert sorted(map(tuple, got.collect())) == brute_top(one, 5)
+    assert topk_threshold.packed(np.array([1e25])) is None and topk_threshold.unpacked(topk_threshold.packed(np.array([-129.5, 3]))).tolist() == [-130, 3]
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [1.0]), (3, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk_threshold.top_k(df, F.col("vec_id") % 20 == 0, 5).collect())) == [(0, 1, 20, 4096), (0, 2, 3, -4096), (20, 1, 0, 4096), (20, 2, 3, -4096)]
