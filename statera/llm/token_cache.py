@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import importable, text_or_empty
+from statera.llm.common import importable, materialise, text_or_empty
 
 #: Texts that are encoded at once: their ids are Python lists.
 AT_ONCE = 64
@@ -27,6 +28,7 @@ def encoder(path: str):
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     model = tokenizers.Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
@@ -50,21 +52,31 @@ class TokenCache:
         self.spark, self.path, self.tokenizer, self.version = spark, path, tokenizer, version_of(tokenizer)
 
     def stored(self) -> DataFrame | None:
-        """(digest, n_tokens) of this tokenizer version, or None before the first append."""
+        """(digest, n_tokens) of this tokenizer version, one row for each digest, or None before the first append.
+
+        Two writers that miss a digest at once both append it, with the same count; one of the rows counts.
+        """
         try:
             found = self.spark.read.schema("digest binary, n_tokens long, version string").parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return found.where(F.col("version") == self.version).select("digest", "n_tokens")
+        return found.where(F.col("version") == self.version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     def add_misses(self, contents: DataFrame) -> None:
-        """Encode the distinct contents (digest, text) that are not stored and append their counts."""
+        """Encode the distinct contents (digest, text) that are not stored and append their counts.
+
+        Texts are shuffled only where their digests are missing; without misses nothing is written.
+        """
         importable(self.spark)
         stored, path = self.stored(), self.tokenizer
-        distinct = contents.groupBy("digest").agg(F.first("text").alias("text"))
-        misses = distinct if stored is None else distinct.join(stored, "digest", "left_anti")
+        if stored is not None:
+            missing = materialise(contents.select("digest").distinct().join(stored, "digest", "left_anti"), "token-misses")
+            if missing.isEmpty():
+                return
+            contents = contents.join(missing, "digest", "left_semi")
+        misses = contents.groupBy("digest").agg(F.first("text").alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = encoder(path)

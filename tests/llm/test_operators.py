@@ -171,6 +171,39 @@ def test_compaction(spark, tmp_path):
     assert before > gone >= before - len(after) and len(store.versions()) == 1 and store.read().count() == docs.count()
 
 
+def test_two_compactors_and_an_append_between(spark, tmp_path, monkeypatch):
+    one, two = (compaction.ShardStore(spark, f"file://{tmp_path}/shards") for _ in range(2))
+    rows = spark.range(200).withColumn("x", F.col("id") * 2)
+    one.append(rows.where("id < 150"), 10)
+    written, others = one._written, [lambda: (two.compact(10_000, 2), two.append(rows.where("id >= 150"), 10))]
+
+    def late(merged, rows_per_shard=0):
+        done = written(merged, rows_per_shard)
+        if others:
+            others.pop(0)()
+        return done
+
+    monkeypatch.setattr(one, "_written", late)
+    one.compact(1_000_000, 2)
+    assert not others and sorted(map(tuple, one.read().collect())) == [(i, 2 * i) for i in range(200)]
+    assert one.merges(1_000_000, 2).count() == 0 and sum(r.rows for r in one.manifest().collect()) == 200
+
+
+def test_shards_of_other_columns(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/shards")
+    a = spark.range(40).selectExpr("id", "id * 2 AS x", "id * 3 AS y")
+    for k, part in enumerate((["id", "x", "y"], ["y", "x", "id"], ["x", "id"], ["id", "y", "x"])):
+        rows = a.where(F.col("id") % 4 == k).select(*part)
+        store.append(rows.withColumn("z", F.lit("new")) if k == 3 else rows, 5)
+    want = sorted(((i, 2 * i, None if i % 4 == 2 else 3 * i, "new" if i % 4 == 3 else None) for i in range(40)), key=str)
+    assert sorted(map(tuple, store.read().select("id", "x", "y", "z").collect()), key=str) == want
+    store.compact(1_000_000, 2)
+    assert store.manifest().count() == 1 and sorted(map(tuple, store.read().select("id", "x", "y", "z").collect()), key=str) == want
+    store.append(spark.createDataFrame([(1, "text")], "id long, x string"))
+    with pytest.raises(ValueError, match="two types"):
+        store.read()
+
+
 def test_compacted_rows_with_odd_values(spark):
     docs = odd_docs(spark)
     got = compaction.compacted_documents(docs.withColumn("file", F.lit("x")), 2)
@@ -366,6 +399,17 @@ def test_token_counts(spark, tmp_path, name):
     assert token_cache.token_counts(empty_docs(spark), token_cache.TokenCache(spark, f"file://{tmp_path}/none", path)).count() == 0
 
 
+def test_two_writers_of_one_digest(spark, tmp_path, monkeypatch):
+    docs = odd_docs(spark)
+    path = f"file://{tmp_path}/cache"
+    one, two = (token_cache.TokenCache(spark, path, public_tokenizers.path("piece_bpe_32k.model")) for _ in range(2))
+    monkeypatch.setattr(two, "stored", lambda: None)  # it looked before the other wrote
+    token_cache.token_counts(docs, one)
+    two.add_misses(docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), F.coalesce("text", F.lit("")).alias("text")))
+    assert spark.read.parquet(path).count() == 2 * one.stored().count()
+    assert token_cache.token_counts(docs, one).count() == docs.count()
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 
 def brute_components(fps, ids):
