@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -25,6 +25,20 @@ NOTICES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
     "MPL-2.0-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-full": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-full": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 #: Words that tell a notice from its like: each phrase has to be aligned word by word. Fixed values.
@@ -38,6 +52,9 @@ REQUIRED = {
     "GPL-text": (("gnu", "general"),),
     "MPL-2.0-text": (("mozilla",), ("2", "0")),
     "ISC-text": (("with", "or", "without", "fee"),),
+    "MIT-full": (("free", "of", "charge"),),
+    "ISC-full": (("with", "or", "without", "fee"),),
+    "BSD-3-full": (("endorse", "or", "promote"),),
 }
 
 
@@ -105,39 +122,49 @@ def _holds(pairs: list[tuple[int, int]], notice: list[str], phrases: Sequence[tu
     return True
 
 
-def notice_places(tokens: list[str], notice: list[str], anchors: list[int], least: float, phrases: Sequence[tuple[str, ...]] = ()) -> list[tuple[float, int, int]]:
+def notice_places(tokens: list[str], notice: list[str], marks: Mapping[str, list[int]], least: float, phrases: Sequence[tuple[str, ...]] = ()) -> list[tuple[float, int, int]]:
     """(coverage, first word, word after the last) of the places where ``least`` or more of the notice is aligned; none overlap.
 
-    ``anchors`` are the words at which a place's start is expected. About each, windows with and without half a notice on either
-    side are aligned, up to the places that are already taken; the best covered and shortest places are taken first, until
-    nothing is left that reaches ``least``.
+    ``marks`` are words, each with its places in the text, of which any place of the notice holds one. The notice is aligned with the whole
+    text, with what lies between a mark's neighbours of the same word (where it is unique), and about each mark with windows that have or
+    have not half a notice on either side. The best covered and shortest places are taken first, and what is left of the text is aligned
+    again until nothing reaches ``least``.
     """
     taken: list[tuple[float, int, int]] = []
     margin, size = len(notice) // 2 + 1, len(notice)
+    spans = {(0, len(tokens))}
+    for w, at in marks.items():
+        spans.update((a + 1, b) for a, b in zip([-1, *at], [*at[1:], len(tokens)]))
+        for start in {max(0, p - i) for p in at for i, x in enumerate(notice) if x == w}:
+            spans.update((max(0, start - m), min(len(tokens), start + size + n)) for m in (0, margin) for n in (0, margin))
     while True:
-        found = set()
-        for start in anchors:
-            low = max((e for _, f, e in taken if f <= start), default=0)
-            high = min((f for _, f, _ in taken if f > start), default=len(tokens))
-            windows = {(max(low, start - m), min(high, start + size + n)) for m in (0, margin) for n in (0, margin)}
-            for lo, hi in windows:
-                pairs = align(notice, tokens[lo:hi]) if hi - lo >= least * size - 1e-9 else []
-                if pairs and len(pairs) / size >= least and _holds(pairs, notice, phrases):
-                    found.add((-len(pairs) / size, pairs[-1][1] - pairs[0][1], lo + pairs[0][1]))
-        new = []
+        found, ends = set(), [(0, 0), *((f, e) for _, f, e in taken), (len(tokens), len(tokens))]
+        free = [(a, b) for (_, a), (b, _) in zip(ends, ends[1:]) if b > a]
+        starts = [a for a, _ in free]
+        windows = set()
+        for lo, hi in spans:  # as far as they are free
+            k = max(0, bisect_right(starts, lo) - 1)
+            while k < len(free) and free[k][0] < hi:
+                windows.add((max(lo, free[k][0]), min(hi, free[k][1])))
+                k += 1
+        for lo, hi in windows:
+            pairs = align(notice, tokens[lo:hi]) if hi - lo >= least * size - 1e-9 else []
+            if pairs and len(pairs) / size >= least and _holds(pairs, notice, phrases):
+                found.add((-len(pairs) / size, pairs[-1][1] - pairs[0][1], lo + pairs[0][1]))
+        new: list[tuple[float, int, int]] = []
         for share, span, first in sorted(found):
-            if all(first + span < f or first >= e for _, f, e in taken + new):
+            if all(first + span < f or first >= e for _, f, e in new):
                 new.append((-share, first, first + span + 1))
         if not new:
-            return sorted(taken, key=lambda x: x[1])
-        taken += new
+            return taken
+        taken = sorted(taken + new, key=lambda x: x[1])
 
 
 def all_notices(tokens: list[str], notices: Mapping[str, list[str]], least: float, required: Mapping[str, Sequence[tuple[str, ...]]] = {}) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, word after the last) of every place of every notice, by place.
 
-    A notice with a coverage of ``least`` lacks few of its words, so one of its rarest words in the text must be part of it, and
-    each word of its required phrases must: only windows about those words' places have to be aligned.
+    A notice is left out only if more of its words are missing from the text than ``least`` allows, or one of its required phrases.
+    Else a place of it lacks few of its words, so it holds one of its rarest words in the text, and each word of its phrases.
     """
     out: list[tuple[str, float, int, int]] = []
     present = set(tokens)
@@ -145,7 +172,7 @@ def all_notices(tokens: list[str], notices: Mapping[str, list[str]], least: floa
     for name, notice in notices.items():
         own, needed = set(notice), {w for phrase in required.get(name, ()) for w in phrase}
         spare = int((1 - least) * len(notice) + 1e-9)
-        if not notice or not needed <= present or len(own - present) > spare:
+        if not notice or not needed <= present or sum(w not in present for w in notice) > spare:
             continue
         if places is None:
             places = {}
@@ -154,8 +181,8 @@ def all_notices(tokens: list[str], notices: Mapping[str, list[str]], least: floa
                 if w in known:
                     places.setdefault(w, []).append(i)
         rarest = sorted(needed or own, key=lambda w: (len(places.get(w, ())), w))[: 1 if needed else spare + 1]
-        anchors = sorted({max(0, p - i) for w in rarest for p in places.get(w, ()) for i, x in enumerate(notice) if x == w})
-        out += [(name, *place) for place in notice_places(tokens, notice, anchors, least, required.get(name, ()))]
+        marks = {w: places[w] for w in rarest if w in places}
+        out += [(name, *place) for place in notice_places(tokens, notice, marks, least, required.get(name, ()))]
     return sorted(out, key=lambda x: (x[2], x[3]))
 
 
