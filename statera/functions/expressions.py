@@ -24,6 +24,13 @@ def to_number(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """:func:`to_number` of a column of ``df``; doubles, decimals and integers don't go through text, and infinities are no numbers either."""
+    if isinstance(df.schema[name].dataType, T.DoubleType | T.DecimalType | T.IntegralType):
+        return finite(col(name).cast("double"))
+    return to_number(col(name))
+
+
 def clip(c: Column, low: float | Column, high: float | Column) -> Column:
     """Between the bounds; NULL stays NULL, as greatest() and least() alone would lose it."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statera.sources.storage import materialise
+
 
 def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows in range partitions of the order, with the partition's number fixed by caching."""
-    return df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).persist()
+    """Rows in range partitions of the order, written to the shared folder with the partition's number.
+
+    The partitions' bounds are sampled, so another run could draw them elsewhere; as written they stay for the offsets and for the rows.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def _offsets(ranged: DataFrame, value: Column) -> Column:

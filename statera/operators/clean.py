@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from statera.functions.expressions import NUMBER, col, first_present, slug
 from statera.sources.feeds import EVENT_COLUMNS, fetch_window
+from statera.sources.storage import materialise
 
 
 def event_filter(keywords: Iterable[str] = (), countries: Iterable[str] = (), themes: Iterable[str] = (), sources: Iterable[str] = (), tone_min: float | None = None, tone_max: float | None = None, extra: Iterable[Column] = (), text: str = "themes") -> Column | None:
@@ -94,14 +95,19 @@ def infer_numeric(df: DataFrame, without: Sequence[str] = ()) -> DataFrame:
     return df.withColumns({c: F.when(col(c).rlike(NUMBER), col(c).try_cast("double")) for c in numeric}) if numeric else df
 
 
-def build_silver(df: DataFrame) -> DataFrame:
-    """Names, dates, distinct rows, no rows without a date, sorted by date, numbers as numbers."""
+def build_silver(df: DataFrame, ordered: bool = True) -> DataFrame:
+    """Names, dates, distinct rows, no rows without a date, numbers as numbers; sorted by date unless more work follows (``ordered``).
+
+    With text columns the distinct rows are written to the shared folder, as what is a number is decided over all of them.
+    """
     tidy = parse_date_columns(standardise_columns(df)).dropDuplicates()
     when = find_date_column(tidy)
     if when:
         tidy = tidy.dropna(subset=[when])
+    if any(kind == "string" for c, kind in tidy.dtypes if c != when):
+        tidy = materialise(tidy, "silver")
     tidy = infer_numeric(tidy, [when] if when else [])
-    return tidy.orderBy(when) if when else tidy
+    return tidy.orderBy(when) if when and ordered else tidy
 
 
 def tone_bucket(tone: Column) -> Column:

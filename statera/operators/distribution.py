@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import clip, col
@@ -14,7 +16,7 @@ def quantile_points(df: DataFrame, value: str, q: int, by: list[str] | None = No
     """One row for each group of ``by``: the q + 1 points that cut its values into ``q`` quantile bins, linearly interpolated.
 
     With ``fewer``, a group with fewer distinct values has as many bins. Exact points come from counts of equal values and their
-    running total over range partitions: only the values at the points' places are gathered, so no task holds a group. ``approx``
+    running total over range partitions: only the values at the points' places are gathered, and a large group's join with its places is skewed, which AQE splits. ``approx``
     takes approximate percentiles instead, without a shuffle of the values. NULL is no value; groups without values have no row.
     """
     by = by or []
@@ -70,15 +72,15 @@ def gini(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """One row (for each group): the Gini coefficient, NULL values left out; all zero (or no rows) gives 0, a zero sum of mixed signs NULL.
 
     Equal values are counted first; a block of c equal values x that ends at rank R adds x * (c * R - c * (c - 1) / 2).
-    Without groups the ranks are running totals over range partitions, so no task holds the table.
+    Ranks are running totals over range partitions, a group's without those of the groups before, so no window holds a group.
     """
     by = by or []
     blocks = df.where(col(value).isNotNull()).groupBy(*by, col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    blocks = running_total(blocks, [*map(col, by), F.col("__x")], "__c", "__r")
     if by:
-        upto = W.partitionBy(*by).orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
-        blocks = blocks.withColumn("__r", F.sum("__c").over(upto))
-    else:
-        blocks = running_total(blocks, [F.col("__x")], "__c", "__r")
+        base = blocks.groupBy(*(col(k).alias(f"__g{i}") for i, k in enumerate(by))).agg(F.min(F.col("__r") - F.col("__c")).alias("__base"))
+        same = reduce(and_, (col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(by)))
+        blocks = blocks.join(base, same).withColumn("__r", F.col("__r") - F.col("__base"))
     c, r, x = F.col("__c").cast("double"), F.col("__r").cast("double"), F.col("__x")
     sums = blocks.groupBy(*by).agg(F.sum(x * (c * r - c * (c - 1) / 2)).alias("__ix"), F.sum(x * c).alias("__s"), F.sum("__c").alias("__n"), F.max(F.abs(x)).alias("__most"))
     n = F.col("__n").cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.functions.expressions import clip, col, to_number
+from statera.functions.expressions import clip, col, number_of
 from statera.operators.distribution import bin_of, quantile_edges
 
 #: Names of likelihood ratios from above and from below, tested in this order. Fixed values.
@@ -45,7 +45,7 @@ def latest_bin(long: DataFrame, bins: int = 4) -> DataFrame:
 
 def to_long(dataset: DataFrame, features: list[str], order: str, label: str) -> DataFrame:
     """(feature, order, label, value) rows of wide features."""
-    rows = dataset.select(col(order).alias("order"), col(label).alias("label"), *(to_number(col(f)).alias(f) for f in features))
+    rows = dataset.select(col(order).alias("order"), col(label).alias("label"), *(number_of(dataset, f).alias(f) for f in features))
     return rows.unpivot(["order", "label"], features, "feature", "value")
 
 

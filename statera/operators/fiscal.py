@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,8 @@ from statera.operators.distribution import quantile_points
 
 #: Largest number of interval events that a tick table is joined with by broadcast; more go through an equi-join on ticks.
 BROADCAST_EVENTS = 10_000
+#: Policies that are broadcast together.
+BROADCAST_POLICIES = 10_000
 POLICY_SCHEMA = "policy string, brackets array<struct<threshold:double,rate:double>>, base_deduction double, child_subsidy double, unemployment_benefit double"
 
 
@@ -76,10 +79,16 @@ def consumption(df: DataFrame, low: float = 0.85, high: float = 0.65, approx: bo
 def policy_grid(population: DataFrame, policies: DataFrame) -> DataFrame:
     """(policy, agents, tax, transfers, disposable, balance): every agent under every policy, summed at once.
 
-    The policies are few rows of their own (at most some thousands: checked); agents are never stored once for each of them.
+    Policies are broadcast, in as many parts as keep each to about BROADCAST_POLICIES; agents are never stored once for each of them.
     """
-    if policies.limit(BROADCAST_EVENTS + 1).count() > BROADCAST_EVENTS:
-        raise ValueError(f"more than {BROADCAST_EVENTS} policies: run them in parts")
+    parts = max(1, -(-policies.count() // BROADCAST_POLICIES))
+    if parts > 1:
+        part = F.pmod(F.xxhash64("policy"), F.lit(parts))
+        return reduce(DataFrame.unionByName, (_policy_sums(population, policies.where(part == i)) for i in range(parts)))
+    return _policy_sums(population, policies)
+
+
+def _policy_sums(population: DataFrame, policies: DataFrame) -> DataFrame:
     out = apply_policy(population.join(F.broadcast(policies), how="cross"))
     sums = out.groupBy("policy").agg(F.count("*").alias("agents"), F.sum("tax_paid").alias("tax"), F.sum("transfers").alias("transfers"), F.sum("disposable_income").alias("disposable"))
     return sums.withColumn("balance", F.col("tax") - F.col("transfers"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.functions.expressions import col, finite, to_number
+from statera.functions.expressions import finite, number_of
+from statera.sources.storage import materialise
 
 
 def _end(df: DataFrame, actor: str) -> Column:
@@ -19,11 +20,11 @@ def graph_edges(events: DataFrame, weight: str = "num_articles", min_events: int
 
     Weights that are missing count 1; events are distinct ids if there are ids, else rows. Heaviest edges first.
     """
-    w = F.coalesce(to_number(col(weight)), F.lit(1.0)) if weight in events.columns else F.lit(1.0)
+    w = F.coalesce(number_of(events, weight), F.lit(1.0)) if weight in events.columns else F.lit(1.0)
     rows = events.withColumns({"__s": _end(events, "actor1_country"), "__t": _end(events, "actor2_country"), "__w": w}).where("__s is not null and __t is not null")
     if not self_loops:
         rows = rows.where("__s <> __t")
-    number = lambda c: F.avg(to_number(F.col(c)))
+    number = lambda c: F.avg(number_of(events, c))
     out = [(F.countDistinct("event_id") if "event_id" in events.columns else F.count("*")).alias("events"), F.sum("__w").alias("weight")]
     out += [number(c).alias(f"avg_{c}") for c in ("tone", "goldstein") if c in events.columns]
     if "event_date" in events.columns:
@@ -37,7 +38,7 @@ def graph_edges(events: DataFrame, weight: str = "num_articles", min_events: int
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:
-    """state, out_degree, in_degree, out_events, in_events, out_weight, in_weight, total_events, total_weight; heaviest first.
+    """state, degree, out_degree, in_degree, out_events, in_events, out_weight, in_weight, total_events, total_weight; heaviest first.
 
     Edges are stacked by role and grouped once. An edge is a pair of neighbours once, so degrees are counts of rows.
     """
@@ -45,19 +46,19 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     ends = role("source", "out").unionByName(role("target", "in"))
     of = lambda r, c: F.coalesce(F.sum(F.when(F.col("role") == r, F.col(c))), F.lit(0))
     nodes = ends.groupBy("state").agg(*(x for r in ("out", "in") for x in (F.count_if(F.col("role") == r).alias(f"{r}_degree"), of(r, "events").alias(f"{r}_events"), of(r, "weight").alias(f"{r}_weight"))))
-    totals = {f"total_{c}": F.col(f"out_{c}") + F.col(f"in_{c}") for c in ("events", "weight")}
+    totals = {"degree": F.col("out_degree") + F.col("in_degree")} | {f"total_{c}": F.col(f"out_{c}") + F.col(f"in_{c}") for c in ("events", "weight")}
     return nodes.withColumns(totals).orderBy(F.desc("total_weight"), "state")
 
 
 def state_graph(events: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """Edges (cached, as nodes use them too) and nodes."""
-    edges = graph_edges(events, **options).persist()
+    """Edges (written to the shared folder, as nodes use them too) and nodes."""
+    edges = materialise(graph_edges(events, **options), "edges").orderBy(F.desc("weight"), F.desc("events"), "source", "target")
     return edges, graph_nodes(edges)
 
 
 def country_summary(events: DataFrame, positive: float = 1.0, negative: float = -1.0) -> DataFrame:
     """country, events, articles, avg_tone, positive, negative, latitude, longitude; countries without a place are left out."""
-    number = lambda c: to_number(F.col(c)) if c in events.columns else F.lit(None).cast("double")
+    number = lambda c: number_of(events, c) if c in events.columns else F.lit(None).cast("double")
     rows = events.select(F.coalesce("country", F.lit("GLOBAL")).alias("country"), "event_id", number("tone").alias("tone"), F.coalesce(number("num_articles"), F.lit(0.0)).alias("articles"), number("latitude").alias("latitude"), number("longitude").alias("longitude"))
     out = rows.groupBy("country").agg(
         F.countDistinct("event_id").alias("events"), F.sum("articles").alias("articles"), F.avg("tone").alias("avg_tone"), F.count_if(F.col("tone") > positive).alias("positive"), F.count_if(F.col("tone") < negative).alias("negative"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")

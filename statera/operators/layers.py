@@ -12,8 +12,8 @@ from statera.functions.expressions import col, numeric_columns
 from statera.operators.clean import find_date_column
 
 
-def build_gold(df: DataFrame) -> DataFrame:
-    """Means of the numeric columns for each date and country (those that exist; NULL keys are groups), sorted.
+def build_gold(df: DataFrame, ordered: bool = True) -> DataFrame:
+    """Means of the numeric columns for each date and country (those that exist; NULL keys are groups), sorted unless more work follows.
 
     Without keys one row of means, without numbers the distinct keys, without either the table itself.
     """
@@ -24,7 +24,8 @@ def build_gold(df: DataFrame) -> DataFrame:
     numbers = numeric_columns(df, keys)
     means = [F.avg(F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in numbers]
     if numbers and keys:
-        return df.groupBy(*keys).agg(*means).orderBy(*keys)
+        out = df.groupBy(*keys).agg(*means)
+        return out.orderBy(*keys) if ordered else out
     if numbers:
         return df.agg(*means)
     return df.select(*keys).distinct().orderBy(*keys) if keys else df

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from statera.functions.expressions import slug
 from statera.functions.ranking import rank_global
-from statera.operators.evaluate import align_target
+from statera.operators.evaluate import align_target, summary_table
 from statera.operators.timeseries import expanding_splits, forward_fill
+from statera.sources.storage import materialise
 
 
 @dataclass
@@ -126,9 +127,14 @@ def predict(models: Sequence[TrainedModel], data: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, outs)
 
 
+def diagnostics(predictions: DataFrame) -> DataFrame:
+    """(model, brier, precision, recall) of :func:`predict` rows at 0.5."""
+    return summary_table(predictions, 0.5)
+
+
 def rolling_backtest(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 5) -> DataFrame:
     """Predictions on each fold by a model trained on all rows before it, with the fold's number. Order is (date, entity)."""
-    split = expanding_splits(data, folds, [F.col("date"), F.col("entity")]).persist()
+    split = materialise(expanding_splits(data, folds, [F.col("date"), F.col("entity")]), "backtest")
     outs = []
     for k in range(1, folds + 1):
         first = (F.col("fold") < k, F.col("fold") == k)

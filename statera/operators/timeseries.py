@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from statera.functions.expressions import col, logistic, numeric_columns
 from statera.functions.ranking import rank_global
 
+#: Weights of the risk index. Fixed values.
 WEIGHTS = {"coup": 0.6, "violence": 0.5, "displacement": 0.3, "economic": 0.2, "constraints": 0.2}
 
 

@@ -13,8 +13,10 @@ from statera.operators.clean import build_silver
 from statera.operators.evaluate import build_evidence, ensemble
 from statera.operators.ml import ModelConfig, has_model, load_model, predict, save_model, train_gbt, training_set
 from statera.operators.timeseries import combine_features, country_series, daily_counts, economic_feature, rolling_mean, rolling_sum
-from statera.sources.sinks import write_evidence, write_predictions
+from statera.sources.sinks import write_evidence, write_outcomes, write_predictions
+from statera.sources.storage import materialise
 
+#: Columns that a humanitarian table's value is taken from, the first that it has. Fixed values.
 VALUE_COLUMNS = ("displaced_population", "access_constraint_score", "value", "count", "indicator")
 
 
@@ -68,13 +70,13 @@ def build_feature_store(tables: Mapping[str, DataFrame], configs: Sequence[Featu
 
 
 def risk_pipeline(tables: Mapping[str, DataFrame], target: DataFrame, out: str, features: Sequence[FeatureConfig] = FEATURES, models: Sequence[ModelConfig] = MODELS, model_root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Silver tables, features, models (kept ones are loaded), predictions and evidence; both are written below ``out`` and returned.
+    """Silver tables, features, models (kept ones are loaded), predictions and evidence; both are written below ``out`` and returned. The target's last outcomes are written beside them.
 
     ``target``: (date, entity, label).
     """
-    silver = {name: build_silver(df) for name, df in tables.items()}
+    silver = {name: build_silver(df, ordered=False) for name, df in tables.items()}
     names = [f"{c.name.partition('_')[0]}__{c.name}" for c in features]
-    data = training_set(build_feature_store(silver, features), names, target).persist()
+    data = materialise(training_set(build_feature_store(silver, features), names, target), "training")
     trained = []
     for config in models:
         if model_root and has_model(model_root, config):
@@ -88,5 +90,5 @@ def risk_pipeline(tables: Mapping[str, DataFrame], target: DataFrame, out: str,
     predictions = predictions.sparkSession.read.parquet(f"{out}/predictions").select("date", F.col("country").cast("string").alias("country"), "probability")
     evidence = build_evidence(predictions)
     write_evidence(evidence, f"{out}/evidence")
-    data.unpersist()
+    write_outcomes(target, f"{out}/outcomes")
     return predictions, evidence

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -16,6 +14,7 @@ from statera.bindings import bound, oracle
 from statera.operators import clean, distribution, evaluate, evidence, fiscal, graph, layers, ml, scenario, timeseries
 from statera.plans import risk
 from statera.sources import feeds, runs, sinks
+from statera.sources.storage import fresh_path, materialise
 from statera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +42,7 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="statera-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/query-{uuid.uuid4().hex}"
+    return fresh_path(spark, "query")
 
 
 EV, TR, POP, PANEL, PRED, DAILY, SERIES, LONG, RUNS, AGENTS = map(oracle, (B.EVENTS, B.TRADE, B.POPULATION, B.PANEL, B.PREDICTIONS, B.DAILY, B.SERIES, B.LONG, B.RUNS, B.AGENTS))
@@ -65,7 +60,7 @@ def graph_edges(spark, d):
 
 
 @query("graph_nodes", f"""WITH e AS ({EDGES}), r AS (SELECT source AS state, 'out' AS role, events, weight FROM e UNION ALL SELECT target, 'in', events, weight FROM e)
-SELECT state, count(*) FILTER (role = 'out') AS out_degree, CAST(coalesce(sum(events) FILTER (role = 'out'), 0) AS BIGINT) AS out_events, round(coalesce(sum(weight) FILTER (role = 'out'), 0), 6) AS out_weight,
+SELECT state, count(*) AS degree, count(*) FILTER (role = 'out') AS out_degree, CAST(coalesce(sum(events) FILTER (role = 'out'), 0) AS BIGINT) AS out_events, round(coalesce(sum(weight) FILTER (role = 'out'), 0), 6) AS out_weight,
   count(*) FILTER (role = 'in') AS in_degree, CAST(coalesce(sum(events) FILTER (role = 'in'), 0) AS BIGINT) AS in_events, round(coalesce(sum(weight) FILTER (role = 'in'), 0), 6) AS in_weight,
   CAST(sum(events) AS BIGINT) AS total_events, round(sum(weight), 6) AS total_weight FROM r GROUP BY state""")
 def graph_nodes(spark, d):
@@ -114,26 +109,27 @@ def recent_events(spark, d):
 
 
 TABLE = f"""SELECT event_id, strftime(event_date, '%Y-%m-%d %H:%M') AS date, coalesce(country, 'GLOBAL') AS country, concat(CASE WHEN actor1 = '' THEN 'Unknown' ELSE actor1 END, ' ↔ ', actor2) AS interaction,
-  trim(string_split(themes, ';')[1]) AS main_theme, CAST(num_articles AS BIGINT) AS articles,
-  CASE WHEN tone >= 3 THEN 'very positive' WHEN tone >= 1 THEN 'positive' WHEN tone <= -3 THEN 'very negative' WHEN tone <= -1 THEN 'negative' ELSE 'neutral' END AS sentiment, nullif(source_url, '') AS source_url FROM (SELECT * REPLACE (round(tone, 6) AS tone) FROM ({EV}))"""
+  trim(string_split(themes, ';')[1]) AS main_theme, CAST(num_articles AS BIGINT) AS articles, CAST(tone AS DOUBLE) AS mean_tone,
+  CASE WHEN tone >= 3 THEN 'very positive' WHEN tone >= 1 THEN 'positive' WHEN tone <= -3 THEN 'very negative' WHEN tone <= -1 THEN 'negative' ELSE 'neutral' END AS sentiment,
+  CAST(goldstein AS DOUBLE) AS goldstein, nullif(source_url, '') AS source_url, actor1_country, actor2_country
+FROM (SELECT * REPLACE (round_even(CAST(round(tone, 6) AS DECIMAL(18, 6)), 2) AS tone, round_even(CAST(round(goldstein, 6) AS DECIMAL(18, 6)), 2) AS goldstein) FROM ({EV}))"""
+
+
+def _shown(spark, d):
+    """The event table. Tones are given to six digits, as a half cent is not exact in a double."""
+    return clean.event_table(bound(spark, d, B.EVENTS).withColumns({c: F.round(c, 6) for c in ("tone", "goldstein")}))
 
 
 @query("event_table", TABLE)
 def event_table(spark, d):
-    # tones away from half cents, where half-even and half-up agree; the sentiment is that of the given tone
-    rows = bound(spark, d, B.EVENTS).withColumn("tone", F.round("tone", 6))
-    out = clean.event_table(rows).drop("mean_tone", "goldstein", "actor1_country", "actor2_country", "sentiment")
-    return out.join(rows.select("event_id", clean.tone_bucket(F.col("tone")).alias("sentiment")), "event_id").select("event_id", "date", "country", "interaction", "main_theme", "articles", "sentiment", "source_url")
+    return _shown(spark, d)
 
 
-@query("filter_event_table", f"""SELECT event_id, country, interaction, main_theme FROM ({TABLE}) JOIN (SELECT event_id, actor1_country, actor2_country FROM ({EV})) USING (event_id)
-WHERE (country IN ('ERROR', 'U3') OR actor1_country IN ('ERROR', 'U3') OR actor2_country IN ('ERROR', 'U3')) AND sentiment IN ('positive', 'very positive', 'neutral') AND (contains(lower(interaction), 'user 1') OR contains(lower(main_theme), 'user 1'))""")
+@query("filter_event_table", f"""SELECT event_id, country, interaction, main_theme, mean_tone, sentiment FROM ({TABLE})
+WHERE (country IN ('ERROR', 'U3') OR actor1_country IN ('ERROR', 'U3') OR actor2_country IN ('ERROR', 'U3')) AND sentiment IN ('positive', 'very positive', 'neutral') AND (contains(lower(interaction), 'user 1') OR contains(lower(main_theme), 'user 1')) AND mean_tone BETWEEN -0.5 AND 4""")
 def filter_event_table(spark, d):
-    rows = bound(spark, d, B.EVENTS)
-    shown = clean.event_table(rows).withColumn("tone", F.col("mean_tone"))
-    exact = shown.drop("sentiment").join(rows.select("event_id", clean.tone_bucket(F.round("tone", 6)).alias("sentiment")), "event_id")
-    out = clean.filter_event_table(exact, ["error", "u3"], ["positive", "very positive", "neutral"], " User 1")
-    return out.select("event_id", "country", "interaction", "main_theme")
+    out = clean.filter_event_table(_shown(spark, d), ["error", "u3"], ["positive", "very positive", "neutral"], " User 1", (-0.5, 4))
+    return out.select("event_id", "country", "interaction", "main_theme", "mean_tone", "sentiment")
 
 
 @query("serialise_columns", f"SELECT event_id, strftime(event_date, '%Y-%m-%dT%H:%M:%S') AS event_date, country FROM ({EV}) ORDER BY event_id LIMIT 500")
@@ -183,7 +179,7 @@ GOLD = f"SELECT order_date, country, round(avg(total_price), 6) AS total_price,
 
 @query("gold", GOLD)
 def gold(spark, d):
-    return layers.build_gold(clean.build_silver(_raw_orders(spark, d)))
+    return layers.build_gold(clean.build_silver(_raw_orders(spark, d), ordered=False))
 
 
 EV_GOLD = f"SELECT event_date, country, avg(num_articles) AS num_articles, avg(tone) AS tone FROM (SELECT date_trunc('day', event_date) AS event_date, country, num_articles, tone FROM ({EV})) GROUP BY ALL"
@@ -191,7 +187,7 @@ EV_GOLD = f"SELECT event_date, country, avg(num_articles) AS num_articles, avg(t
 
 def _event_gold(spark, d):
     rows = bound(spark, d, B.EVENTS).select(F.date_trunc("day", F.col("event_date").cast("timestamp")).cast("timestamp_ntz").alias("event_date"), "country", "num_articles", "tone")
-    return layers.build_gold(rows)
+    return layers.build_gold(rows, ordered=False)
 
 
 @query("gold_null_keys", f"SELECT event_date, country, round(num_articles, 6) AS num_articles, round(tone, 6) AS tone FROM ({EV_GOLD})")
@@ -201,7 +197,7 @@ def gold_null_keys(spark, d):
 
 @query("combined_gold", f"SELECT order_date AS date, country, total_price, customer, CAST(NULL AS DOUBLE) AS num_articles, CAST(NULL AS DOUBLE) AS tone, 'orders' AS source FROM ({GOLD}) UNION ALL SELECT event_date, country, NULL, NULL, round(num_articles, 6), round(tone, 6), 'events' FROM ({EV_GOLD})")
 def combined_gold(spark, d):
-    return layers.combine_gold({"orders": layers.build_gold(clean.build_silver(_raw_orders(spark, d))), "events": _event_gold(spark, d)}).select("date", "country", "total_price", "customer", "num_articles", "tone", "source")
+    return layers.combine_gold({"orders": layers.build_gold(clean.build_silver(_raw_orders(spark, d), ordered=False), ordered=False), "events": _event_gold(spark, d)}).select("date", "country", "total_price", "customer", "num_articles", "tone", "source")
 
 
 @query("layer_counts", " UNION ALL ".join(f"SELECT '{layer}' AS layer, '{t}' AS \"table\", count(*) AS rows FROM {t}" for layer, t in (("bronze", "events"), ("bronze", "orders"), ("silver", "lineitem"), ("silver", "customer"), ("gold", "nation"))))
@@ -259,13 +255,13 @@ def forward_fill(spark, d):
 
 
 def _daily_means(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("order_value"))
-    x = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_quantity").alias("quantity"))
+    o = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("order_value"))
+    x = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_quantity").alias("quantity"))
     return [o, x]
 
 
-MERGED = """SELECT date, order_value, quantity FROM (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS order_value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
-FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS quantity FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1) USING (date)"""
+MERGED = """SELECT date, order_value, quantity FROM (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS order_value FROM orders GROUP BY 1)
+FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1) USING (date)"""
 
 
 @query("merge_indicators", f"SELECT date, round(order_value, 4) AS order_value, round(quantity, 6) AS quantity FROM ({MERGED})")
@@ -468,6 +464,12 @@ def composite_shock(spark, d):
     return fiscal.composite_shock(fiscal.event_adjustment(fiscal.event_timeline(_ticks(spark, d), B.intervals(spark))))
 
 
+@query("composite_shock_base", f"SELECT tick, 'Recession' AS shock, CASE WHEN active > 0 THEN CAST(least(greatest(4.5 + economic_intensity, -5), 5) AS DOUBLE) ELSE 4.5 END AS shock_intensity, CASE WHEN active > 0 THEN least(2, tick) ELSE 2 END AS shock_start, CAST(9 AS BIGINT) AS shock_end FROM ({ADJUSTED})")
+def composite_shock_base(spark, d):
+    out = fiscal.composite_shock(fiscal.event_adjustment(fiscal.event_timeline(_ticks(spark, d), B.intervals(spark))), ("Recession", 4.5, 2, 9))
+    return out.withColumn("shock_start", F.col("shock_start").cast("int"))
+
+
 @query("fiscal_timeline", f"""SELECT tick, round(sum(tax_paid), 2) AS tax_revenue, round(sum(transfers), 2) AS transfer_spending, round(sum(consumption), 2) AS consumption, round(avg(consumption), 2) AS mean_consumption, round(avg(CASE WHEN lower(employment_status) = 'employed' THEN 1.0 ELSE 0.0 END), 6) AS employment_rate,
   round(sum(tax_paid) - sum(transfers), 2) AS budget_balance, round(1 - avg(CASE WHEN lower(employment_status) = 'employed' THEN 1.0 ELSE 0.0 END), 6) AS unemployment_rate FROM ({PANEL}) GROUP BY tick""")
 def fiscal_timeline(spark, d):
@@ -497,11 +499,14 @@ def last_tick(spark, d):
 
 # --- scenarios ------------------------------------------------------------------------------------------------------
 
-@query("scenario_delta", """SELECT date, entity, round(b, 6) AS baseline, round(s, 6) AS scenario, round(s - b, 6) + 0.0 AS delta FROM (SELECT date, entity, value AS b FROM daily WHERE day(date) % 5 <> 0) FULL JOIN (SELECT date, entity, value * 1.1 AS s FROM daily WHERE day(date) % 7 <> 0) USING (date, entity)""".replace("FROM daily", f"FROM ({DAILY})"))
+# days and states of orders and of deliveries: some are on one side only
+BY_ORDER = "SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS entity, avg(o_totalprice) AS value FROM {orders} GROUP BY CAST(o_orderdate AS DATE), o_orderstatus"
+BY_DELIVERY = "SELECT CAST(l_shipdate AS DATE) AS date, l_linestatus AS entity, avg(l_extendedprice) AS value FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE), l_linestatus"
+
+
+@query("scenario_delta", f"SELECT date, entity, round(a.value, 4) AS baseline, round(b.value, 4) AS scenario, round(b.value - a.value, 4) + 0.0 AS delta FROM ({oracle(BY_ORDER)}) a FULL JOIN ({oracle(BY_DELIVERY)}) b USING (date, entity)")
 def scenario_delta(spark, d):
-    daily = bound(spark, d, B.DAILY)
-    other = daily.where(F.dayofmonth("date") % 7 != 0).withColumn("value", F.col("value") * 1.1)
-    return scenario.scenario_delta(daily.where(F.dayofmonth("date") % 5 != 0), other, ["date", "entity"], "value")
+    return rounded(scenario.scenario_delta(bound(spark, d, BY_ORDER), bound(spark, d, BY_DELIVERY), ["date", "entity"], "value"), 4)
 
 
 def _deciles(spark, d, least=0.0):
@@ -514,15 +519,16 @@ def _deciles_sql(least: float) -> str:
 
 
 @query("decile_delta", f"""SELECT decile, round(b, 6) AS base, round(r, 6) AS reform, round(r - b, 6) + 0.0 AS delta, CASE WHEN r - b >= 0 THEN 'positive' ELSE 'negative' END AS sign FROM (SELECT decile, coalesce(x.value, 0) AS b, coalesce(y.value, x.value, 0) AS r
-FROM (SELECT * FROM ({_deciles_sql(0)}) WHERE decile <> 3) x FULL JOIN (SELECT * FROM ({_deciles_sql(1000)}) WHERE decile <> 7) y USING (decile))""")
+FROM (SELECT decile, CASE WHEN decile <> 3 THEN value END AS value FROM ({_deciles_sql(0)})) x FULL JOIN (SELECT decile, CASE WHEN decile <> 7 THEN value END AS value FROM ({_deciles_sql(1000)})) y USING (decile))""")
 def decile_delta(spark, d):
-    return scenario.decile_delta(_deciles(spark, d).where("decile <> 3"), _deciles(spark, d, 1000.0).where("decile <> 7"))
+    without = lambda df, n: df.withColumn("value", F.when(F.col("decile") != n, F.col("value")))
+    return scenario.decile_delta(without(_deciles(spark, d), 3), without(_deciles(spark, d, 1000.0), 7))
 
 
-@query("ab_timeline", f"SELECT a.tick, round(a.cpi, 6) AS base, round(b.cpi, 6) AS reform FROM (SELECT * FROM ({RUNS}) WHERE run_id = 'F') a LEFT JOIN (SELECT * FROM ({RUNS}) WHERE run_id = 'O' AND tick <> 2) b ON a.tick = b.tick")
+@query("ab_timeline", f"SELECT a.tick, round(a.cpi, 6) AS base, round(b.cpi, 6) AS reform FROM (SELECT * FROM ({RUNS}) WHERE run_id = 'F') a LEFT JOIN (SELECT * FROM ({RUNS}) WHERE run_id = 'P') b ON a.tick = b.tick")
 def ab_timeline(spark, d):
     r = bound(spark, d, B.RUNS)
-    return scenario.ab_timeline(r.where("run_id = 'F'"), r.where("run_id = 'O' and tick <> 2"), "cpi")
+    return scenario.ab_timeline(r.where("run_id = 'F'"), r.where("run_id = 'P'"), "cpi")
 
 
 @query("long_ab", " UNION ALL ".join(f"SELECT tick AS period, '{m}' AS metric, round({m}, 6) AS value, '{s}' AS scenario FROM ({RUNS}) WHERE run_id = '{k}'" for m in ("cpi", "sentiment") for s, k in (("base", "F"), ("reform", "O"))))
@@ -546,6 +552,23 @@ def scenario_kpis(spark, d):
     return rounded(scenario.scenario_kpis(bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS)), 4)
 
 
+def _kpi_sql(value: str, q: int) -> str:
+    return f"SELECT * FROM {_cut(f"SELECT * FROM ({AGENTS}) WHERE run_id = 'F'", value, q)}"
+
+
+_MEAN = f"(SELECT avg(average_disposable) FROM ({AGENTS}) WHERE run_id = 'F')"
+
+
+@query("kpi_tables", f"""SELECT 'consumption_by_decile' AS part, bin, round(avg(average_consumption), 4) AS value, count(*) AS count FROM ({_kpi_sql('average_consumption', 10)}) GROUP BY bin
+UNION ALL SELECT 'sentiment_by_decile', bin, round(least(greatest(55 + 40 * (avg(average_disposable) - {_MEAN}) / {_MEAN}, 0), 100), 4), NULL FROM ({_kpi_sql('average_disposable', 10)}) GROUP BY bin
+UNION ALL SELECT 'winners_losers', bin, round(avg(delta_disposable), 4), count(*) FROM ({_kpi_sql('delta_disposable', 5)}) WHERE bin IS NOT NULL GROUP BY bin""", digits=4)
+def kpi_tables(spark, d):
+    made = scenario.kpi_tables(bound(spark, d, B.AGENTS).where("run_id = 'F'"))
+    none = F.lit(None).cast("long").alias("count")
+    of = lambda name, key, value, n: made[name].select(F.lit(name).alias("part"), F.col(key).alias("bin"), F.col(value).alias("value"), n)
+    return of("consumption_by_decile", "bin", "mean", F.col("count")).unionByName(of("sentiment_by_decile", "bin", "sentiment", none)).unionByName(of("winners_losers", "cluster", "mean_delta", F.col("count")))
+
+
 @query("kpi_delta", f"SELECT {', '.join(f'round(b.{k} - a.{k}, 4) + 0.0 AS {k}' for k in scenario.KPIS)} FROM (SELECT * FROM ({KPI}) WHERE run_id = 'F') a CROSS JOIN (SELECT * FROM ({KPI}) WHERE run_id = 'O') b")
 def kpi_delta(spark, d):
     k = scenario.scenario_kpis(bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS))
@@ -593,12 +616,14 @@ def summary_table(spark, d):
     return evaluate.summary_table(bound(spark, d, B.PREDICTIONS), 0.6)
 
 
-MODELS = f"SELECT model, country, CAST(date AS DATE) AS date, avg(probability) AS probability FROM ({PRED}) WHERE NOT (model = 'odd' AND day(date) % 9 = 0) GROUP BY ALL"
+MODELS = f"SELECT model, country, CAST(date AS DATE) AS date, avg(CASE WHEN model = 'even' OR day(date) % 9 <> 0 THEN probability END) AS probability FROM ({PRED}) GROUP BY ALL"
 ENSEMBLE = f"SELECT country, date, CASE WHEN count(probability) = 2 THEN avg(probability) END AS probability FROM ({MODELS}) GROUP BY ALL"
 
 
 def _ensemble(spark, d):
-    p = bound(spark, d, B.PREDICTIONS).where(~((F.col("model") == "odd") & (F.dayofmonth("date") % 9 == 0)))
+    # one model has no probabilities on some days
+    given = (F.col("model") == "even") | (F.dayofmonth("date") % 9 != 0)
+    p = bound(spark, d, B.PREDICTIONS).withColumn("probability", F.when(given, F.col("probability")))
     return evaluate.ensemble(p.groupBy("model", "country", F.to_date("date").alias("date")).agg(F.avg("probability").alias("probability")), ["country", "date"])
 
 
@@ -749,14 +774,14 @@ def export_csv(spark, d):
     return spark.read.option("header", True).schema("date date, country string, value long").csv(path).select("country", "date", "value")
 
 
-@query("run_tables", f"SELECT 'agents' AS part, CAST(agent_id AS BIGINT) AS key, round(average_disposable, 4) AS value FROM ({AGENTS}) WHERE run_id = 'F' UNION ALL SELECT 'timeline', tick, round(cpi, 4) FROM ({RUNS}) WHERE run_id = 'F' UNION ALL SELECT 'runs', 2, 30000.0")
+@query("run_tables", f"SELECT 'agents' AS part, CAST(agent_id AS BIGINT) AS key, round(average_disposable, 4) AS value FROM ({AGENTS}) WHERE run_id = 'F' UNION ALL SELECT 'timeline', tick, round(cpi, 4) FROM ({RUNS}) WHERE run_id = 'F' UNION ALL SELECT 'runs', 3, 30000.0")
 def run_tables(spark, d):
     path = scratch(spark)
     tables = runs.RunTables(spark, path)
     timeline, agents = bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS)
-    ids = [tables.store(f"run {k}", B.policies(spark).where("policy = 'base'"), timeline.where(F.col("run_id") == k), agents.where(F.col("run_id") == k)) for k in ("O", "F")]
-    header, t, a = tables.fetch(ids[1])
-    out = tables.export(ids[1], f"{path}/export")
+    ids = [tables.store(f"run {k}", B.policies(spark).where("policy = 'base'"), timeline.where(F.col("run_id") == k), agents.where(F.col("run_id") == k)) for k in ("O", "P", "F")]
+    header, t, a = tables.fetch(ids[2])
+    out = tables.export(ids[2], f"{path}/export")
     whole = tables.list_runs().agg(F.count("*").alias("key")).join(F.broadcast(header.select(F.col("policy.brackets")[0]["threshold"].alias("value"))))
     parts = a.select(F.lit("agents").alias("part"), F.col("agent_id").alias("key"), F.col("average_disposable").alias("value")).unionByName(spark.read.parquet(out["timeline"]).select(F.lit("timeline").alias("part"), F.col("tick").cast("long").alias("key"), F.col("cpi").alias("value")))
     return rounded(parts.unionByName(whole.select(F.lit("runs").alias("part"), "key", "value")), 4)
@@ -794,41 +819,59 @@ def _training(spark, d):
     return ml.training_set(store, MODEL_NAMES, target.withColumn("date", F.col("date").cast("timestamp_ntz")))
 
 
-@query("feature_store")
+_CLICKS = "SELECT CAST(ts AS DATE) AS date, event_type AS entity, count(*) AS value FROM events WHERE event_type IS NOT NULL GROUP BY ALL"
+_MOVED = "SELECT DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS date, (['click', 'error', 'view', 'purchase', 'login'])[o_custkey % 5 + 1] AS entity, sum(o_totalprice) AS value FROM orders GROUP BY ALL"
+
+
+def _days(source: str, name: str) -> str:
+    """A daily series filled forward and averaged over two weeks."""
+    return f"""(SELECT '{name}' AS entity, date, avg(value) OVER (ORDER BY date ROWS 13 PRECEDING) AS value FROM (SELECT CAST(day AS DATE) AS date, last_value(v IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS value
+  FROM (SELECT unnest(generate_series((SELECT min(date) FROM ({source})), (SELECT max(date) FROM ({source})), INTERVAL 1 DAY)) AS day) LEFT JOIN (SELECT date AS own, value AS v FROM ({source})) ON CAST(day AS DATE) = own))"""
+
+
+_PRICES = "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1"
+
+
+@query("feature_store", f"""SELECT 'events__events_daily' AS feature, CAST(date AS TIMESTAMP) AS date, entity, CAST(sum(value) OVER (PARTITION BY entity ORDER BY date ROWS 6 PRECEDING) AS DOUBLE) AS value FROM ({_grid(_CLICKS, 'coalesce(s.value, 0)')})
+UNION ALL SELECT 'economic__economic_pressure', CAST(date AS TIMESTAMP), entity, round(value, 4) FROM {_days(_PRICES, 'price')}
+UNION ALL SELECT 'humanitarian__humanitarian_pressure', CAST(date AS TIMESTAMP), entity, round(coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), 0), 4) FROM (SELECT date, entity, avg(value) OVER (PARTITION BY entity ORDER BY date ROWS 6 PRECEDING) AS value FROM ({_grid(_MOVED, 's.value')}))""", digits=4)
 def feature_store(spark, d):
-    return risk.build_feature_store(_model_tables(spark, d)[0], MODEL_FEATURES)
+    tables = _model_tables(spark, d)[0]
+    tables["economic"] = table(spark, d, "orders").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"))
+    return risk.build_feature_store(tables, [*MODEL_FEATURES, risk.FeatureConfig("economic_pressure", "economic", 14)])
 
 
-@query("align_features", f"""WITH s AS ({DAILY}), w AS (SELECT date, entity, max(value) FILTER (day(date) % 3 <> 0) AS a, max(value * 2) FILTER (day(date) % 4 <> 0) AS b FROM s WHERE day(date) % 12 <> 0 GROUP BY ALL)
+@query("align_features", f"""WITH s AS ({DAILY}), w AS (SELECT date, entity, max(value) FILTER (day(date) % 3 <> 0) AS a, max(value * 2) FILTER (day(date) % 4 <> 0) AS b FROM s GROUP BY ALL)
 SELECT date, entity, round(coalesce(last_value(a IGNORE NULLS) OVER w1, 0), 6) AS a, round(coalesce(last_value(b IGNORE NULLS) OVER w1, 0), 6) AS b FROM w WINDOW w1 AS (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)""")
 def align_features(spark, d):
     daily = bound(spark, d, B.DAILY)
-    a = daily.where(F.dayofmonth("date") % 3 != 0).select(F.lit("a").alias("feature"), "date", "entity", "value")
-    b = daily.where(F.dayofmonth("date") % 4 != 0).select(F.lit("b").alias("feature"), "date", "entity", (F.col("value") * 2).alias("value"))
+    # either feature has no value on some days
+    a = daily.select(F.lit("a").alias("feature"), "date", "entity", F.when(F.dayofmonth("date") % 3 != 0, F.col("value")).alias("value"))
+    b = daily.select(F.lit("b").alias("feature"), "date", "entity", F.when(F.dayofmonth("date") % 4 != 0, F.col("value") * 2).alias("value"))
     return ml.align_features(a.unionByName(b), ["a", "b"])
 
 
 @query("train_gbt")
 def train_gbt(spark, d):
-    data = _training(spark, d).persist()
+    data = materialise(_training(spark, d), "training")
     return ml.predict([ml.train_gbt(data, SMALL, MODEL_NAMES)], data)
 
 
 @query("rolling_backtest")
 def rolling_backtest(spark, d):
-    out = ml.rolling_backtest(_training(spark, d).persist(), SMALL, MODEL_NAMES, 3)
+    out = ml.rolling_backtest(materialise(_training(spark, d), "training"), SMALL, MODEL_NAMES, 3)
     return evaluate.summary_table(out, model="fold")
 
 
 @query("train_mlp")
 def train_mlp(spark, d):
-    data = _training(spark, d).persist()
+    data = materialise(_training(spark, d), "training")
     return ml.predict([ml.train_mlp(data, SMALL, MODEL_NAMES)], data)
 
 
 @query("model_round_trip")
 def model_round_trip(spark, d):
-    data, root = _training(spark, d).persist(), scratch(spark)
+    data, root = materialise(_training(spark, d), "training"), scratch(spark)
     model = ml.train_gbt(data, SMALL, MODEL_NAMES)
     ml.save_model(model, root)
     assert ml.has_model(root, SMALL)

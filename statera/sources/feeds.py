@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from statera.functions.expressions import col, first_present, to_number
 from statera.functions.ranking import rank_global
+from statera.sources.storage import fresh_path
 
 EVENT_COLUMNS = ("event_id", "event_date", "country", "actor1_country", "actor2_country", "actor1", "actor2", "themes", "source_url", "num_articles", "tone", "goldstein", "latitude", "longitude")
 
@@ -32,9 +33,22 @@ def flatten(df: DataFrame) -> DataFrame:
 def read_feed(spark: SparkSession, path: str, root: Sequence[str] = ("data", "results"), schema: str | T.StructType | None = None, lines: bool = False) -> DataFrame:
     """Landed JSON payloads as rows: the first of the ``root`` arrays that the payload has, else the payload itself.
 
-    A file holds one payload, or with ``lines`` one in each line, which Spark can split.
+    A file holds one payload, or with ``lines`` one in each line, which Spark can split. A payload that is a list of what is said about the
+    records and the records, ``[meta, [record, ...]]``, gives the records (none if the second part is missing or null); it is told from a
+    list of records by its two parts, the second a list or null, in the first payload read.
     """
     reader = spark.read.option("multiLine", not lines)
+    text = spark.read.text(path, wholetext=not lines)
+    second = F.nullif(F.get_json_object("value", "$[1]"), F.lit("null"))  # in one line
+    two = (F.json_array_length("value") == 2) & (second.isNull() | (F.substring(second, 1, 1) == "["))
+    if text.select(F.coalesce(two, F.lit(False))).first() == (True,):
+        plain = fresh_path(spark, "feed")
+        text.select(F.concat(F.lit('{"records":'), F.coalesce(second, F.lit("[]")), F.lit("}"))).write.text(plain)
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        found = (spark.read.schema(T.StructType([T.StructField("records", T.ArrayType(kind))])) if kind else spark.read).json(plain)
+        if not isinstance(found.schema["records"].dataType.elementType, T.StructType):
+            return spark.createDataFrame([], T.StructType())
+        return flatten(found.select(F.explode("records").alias("__row")).select("__row.*"))
     raw = (reader.schema(schema) if schema else reader).json(path)
     for name in root:
         kind = raw.schema[name].dataType if name in raw.columns else None

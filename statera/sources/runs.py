@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HEADER = "scenario string, created_at timestamp_ntz, policy string, config string, metadata string, run_id string"
 POLICY = "brackets array<struct<threshold:double,rate:double>>, base_deduction double, child_subsidy double, unemployment_benefit double"
 
 
@@ -18,8 +20,9 @@ class RunTables:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
+    def _run(self, name: str, run_id: str) -> DataFrame:
+        """A run's rows, with the columns that it was stored with: only its own folder is read."""
+        return self.spark.read.parquet(f"{self.root}/{name}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
 
     def store(self, scenario: str, policy: DataFrame, timeline: DataFrame, agents: DataFrame, config: Mapping[str, str] | None = None, metadata: Mapping[str, str] | None = None, created_at: datetime | None = None) -> str:
         """Append a run (``policy``: one row) and return its new id. Columns go by name."""
@@ -33,16 +36,17 @@ class RunTables:
 
     def fetch(self, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Header (policy as a struct), timeline by tick and agents by id; an unknown id is an error."""
-        header = self._table("runs").where(F.col("run_id") == run_id)
-        if header.isEmpty():
-            raise KeyError(run_id)
-        header = header.withColumn("policy", F.from_json("policy", POLICY))
-        own = lambda name: self._table(name).where(F.col("run_id") == run_id)
-        return header, own("timeline").orderBy("tick"), own("agents").orderBy("agent_id")
+        try:
+            header = self._run("runs", run_id).withColumn("policy", F.from_json("policy", POLICY))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise KeyError(run_id) from e
+        return header, self._run("timeline", run_id).orderBy("tick"), self._run("agents", run_id).orderBy("agent_id")
 
     def list_runs(self) -> DataFrame:
         """run_id, scenario, created_at, newest first."""
-        return self._table("runs").select("run_id", "scenario", "created_at").orderBy(F.desc("created_at"), "run_id")
+        return self.spark.read.schema(HEADER).parquet(f"{self.root}/runs").select("run_id", "scenario", "created_at").orderBy(F.desc("created_at"), "run_id")
 
     def export(self, run_id: str, path: str, fmt: str = "parquet") -> dict[str, str]:
         """Write a run's timeline and agents as csv or parquet; their paths."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import slug
+from statera.operators.timeseries import latest_outcomes
 
 
 def write_layer(tables: Mapping[str, DataFrame], root: str, layer: str, metadata: Mapping[str, DataFrame] | None = None) -> None:
@@ -24,6 +25,11 @@ def write_predictions(df: DataFrame, path: str, by: str = "country") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_outcomes(target: DataFrame, path: str, date: str = "date", label: str = "label") -> None:
+    """Parquet of the rows at the last date of all, their label as outcome."""
+    latest_outcomes(target, date).drop(date).withColumnRenamed(label, "outcome").write.mode("overwrite").parquet(path)
+
+
 def write_evidence(df: DataFrame, path: str) -> None:
     """JSON lines."""
     df.write.mode("overwrite").json(path)

@@ -141,3 +141,19 @@ def test_serialised_record_keeps_nulls(spark):
 
 def test_value_on_an_edge_goes_up(spark):
     assert [r[0] for r in spark.createDataFrame([(0.05,), (0.01,), (0.3,), (None,)], "x double").select(clean.digitize(F.col("x"), [0.05, 0.08, 0.12, 0.2])).collect()] == [1, 0, 4, None]
+
+
+def test_payload_of_what_is_said_and_records(spark, tmp_path):
+    def landed(name, payload):
+        (tmp_path / name).write_text(json.dumps(payload, indent=1))
+        return str(tmp_path / name)
+
+    records = [dict(date="2020", value=1.5, country=dict(id="X")), dict(date="2021", value=None, country=dict(id="Y"))]
+    got = feeds.read_feed(spark, landed("a.json", [dict(page=1, total=2), records]))
+    assert sorted(map(tuple, got.select("`country.id`", "date", "value").collect())) == [("X", "2020", 1.5), ("Y", "2021", None)]
+    assert feeds.normalise_indicator(got, "NY.GDP").collect() == [(date(2020, 1, 1), 1.5)]
+    typed = feeds.read_feed(spark, landed("b.json", [dict(page=1), records]), schema="date string, value string")
+    assert sorted(map(tuple, typed.collect())) == [("2020", "1.5"), ("2021", None)]
+    for name, empty in (("c.json", [dict(page=1), None]), ("d.json", [dict(page=1), []])):
+        assert feeds.read_feed(spark, landed(name, empty)).count() == 0
+    assert feeds.read_feed(spark, landed("e.json", [dict(a=1), dict(a=2)])).count() == 2

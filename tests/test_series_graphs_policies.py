@@ -1,14 +1,15 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from statera.functions.expressions import number_of
 from statera.functions.ranking import rank_global, running_total
-from statera.operators import distribution, evaluate, evidence, fiscal, graph, scenario, timeseries
+from statera.operators import distribution, evaluate, evidence, fiscal, graph, ml, scenario, timeseries
 from statera.plans import risk
-from statera.sources import runs
+from statera.sources import runs, sinks
 
 
 def events(spark, rows):
@@ -240,3 +241,67 @@ def test_run_tables(spark, tmp_path):
         tables.export(first, str(tmp_path), "xls")
     with pytest.raises(KeyError):
         tables.fetch("unknown")
+
+
+def test_ranks_do_not_rest_on_a_cache(spark):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("xxhash64(id) % 1000 AS v", "id")
+    ranked, summed = rank_global(rows, [F.col("v"), F.col("id")]), running_total(rows.selectExpr("v", "id", "1L AS one"), [F.col("v"), F.col("id")], "one", "r")
+    spark.catalog.clearCache()
+    n = 200_000
+    for df, name in ((ranked, "rank"), (summed, "r")):
+        assert df.agg(F.countDistinct(name), F.min(name), F.max(name)).first() == (n, 1, n)
+
+
+def test_gini_of_groups_that_share_ranges(spark):
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in range(1, 40) for _ in range(1 + v % 3)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.gini for r in distribution.gini(df, "v", ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        alone = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        assert got[g] == pytest.approx(distribution.gini(alone, "v").first().gini)
+
+
+def test_policies_beyond_one_broadcast(spark, monkeypatch):
+    folk, rules = people(spark, [(1, 50_000.0, 1, "employed"), (2, 9_000.0, 0, "unemployed")]).drop("policy", "brackets", "base_deduction", "child_subsidy", "unemployment_benefit"), []
+    for i in range(7):
+        rules.append((f"p{i}", [(1000.0 * (i + 1), 0.1), (90_000.0, 0.2)], 100.0, 10.0, 20.0))
+    policies = spark.createDataFrame(rules, fiscal.POLICY_SCHEMA)
+    want = sorted(map(tuple, fiscal.policy_grid(folk, policies).collect()))
+    monkeypatch.setattr(fiscal, "BROADCAST_POLICIES", 2)
+    assert len(want) == 7 and sorted(map(tuple, fiscal.policy_grid(folk, policies).collect())) == want
+
+
+def test_numbers_by_type(spark):
+    df = spark.createDataFrame([(1.5, 2, "3.5"), (float("nan"), None, "x"), (float("inf"), -1, "1d")], "a double, b long, c string")
+    got = df.select(*(number_of(df, c).alias(c) for c in df.columns)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1.5, 2.0, 3.5), (None, None, None), (None, -1.0, None)], key=str)
+    assert "RLIKE" not in df.select(number_of(df, "a"), number_of(df, "b"))._jdf.queryExecution().toString()
+
+
+def test_latest_outcomes_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (2, "b", 0)], "date int, entity string, label int")
+    sinks.write_outcomes(rows, str(tmp_path / "o"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).select("entity", "outcome").collect())) == [("a", 1), ("b", 0)]
+
+
+def test_perceptron_and_backtest(spark):
+    rows = [(date(2024, 1, 1) + timedelta(days=i), e, float(i % 7), float((3 * i) % 5), float(i % 7 > 3)) for i in range(40) for e in ("x", "y")]
+    data, names = spark.createDataFrame(rows, "date date, entity string, f double, g double, label double"), ("f", "g")
+    config = ml.ModelConfig("m", trees=5, depth=2, hidden=(4,), iterations=60)
+    net = ml.train_mlp(data, config, names)
+    assert net.history["iterations"] > 0 and net.history["loss"][-1] < net.history["loss"][0] and net.history["accuracy"] >= 0.9
+    said = ml.predict([net], data)
+    assert said.count() == 80 and said.where("probability between 0 and 1").count() == 80
+    checked = ml.diagnostics(said).first()
+    assert checked.brier < 0.1 and checked.precision >= 0.9 and checked.recall >= 0.9
+    tested = ml.rolling_backtest(data, config, names, 2)
+    first = {r.fold: r.first for r in tested.groupBy("fold").agg(F.min("date").alias("first")).collect()}
+    assert tested.groupBy("fold").count().orderBy("fold").collect() == [(1, 26), (2, 26)] and first[1] < first[2]
+    assert ml.diagnostics(tested).first().brier < 0.2
+
+
+def test_rows_come_in_order(spark):
+    edges, nodes = graph.state_graph(events(spark, X4))
+    for rows, key in ((edges.collect(), lambda r: (-r.weight, -r.events, r.source, r.target)), (nodes.collect(), lambda r: (-r.total_weight, r.state))):
+        assert list(map(key, rows)) == sorted(map(key, rows))
+    assert all(r.degree == r.in_degree + r.out_degree for r in nodes.collect())
