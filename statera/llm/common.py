@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,37 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statera.sources.storage import fresh_path, materialise  # noqa: F401  the operators take them from here
+from statera.sources.tables import table  # noqa: F401
+
 #: A word is a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="statera-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs a reread only."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package when it runs from a source tree."""
     env = spark.sparkContext.environment
