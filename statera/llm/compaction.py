@@ -50,7 +50,7 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame:
         """(file, rows, bytes, schema) of a version, the last by default; version 0 has no rows."""
         version = self.last() if version is None else version
-        return self.spark.read.schema(SHARDS).parquet(f"{self.path}/manifest/{version}") if version else self.spark.createDataFrame([], SHARDS)
+        return self.spark.read.schema(SHARDS).parquet(f"{self.path}/manifest/{version}") if version else self.spark.sql("SELECT '' AS file, 0L AS rows, 0L AS bytes, '' AS schema").limit(0)
 
     def _commit(self, shards: DataFrame, version: int) -> None:
         aside, home = f"{self.path}/aside/{uuid.uuid4().hex}", self._path(f"{self.path}/manifest")
@@ -121,7 +121,7 @@ class ShardStore:
                 return version
             schema = self.schema(version)
             merged = reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(*r.files).coalesce(1) for r in plan))
-            chosen = self.spark.createDataFrame([(r.tier, r.part) for r in plan], due.select("tier", "part").schema)
+            chosen = self.spark.sql(f"SELECT * FROM VALUES {', '.join(f'({r.tier}L, {r.part}L)' for r in plan)} AS t(tier, part)")
             old = due.join(F.broadcast(chosen), ["tier", "part"]).select("file")  # at most MERGES_AT_ONCE rows
             self._won(self.manifest(version).join(old, "file", "left_anti").unionByName(self._written(merged)), version + 1)
 
