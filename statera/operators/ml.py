@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -22,6 +25,8 @@ from statera.operators.evaluate import align_target, summary_table
 from statera.operators.timeseries import expanding_splits, forward_fill
 from statera.sources.storage import materialise
 
+T = TypeVar("T")
+
 
 @dataclass
 class ModelConfig:
@@ -71,11 +76,18 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 3) -> TrainedModel:
+def _together(jobs: Sequence[Callable[[], T]], at_once: int) -> list[T]:
+    """Results of ``jobs`` in their order. Up to ``at_once`` run at a time: each is a row of small Spark jobs that would leave most of a cluster idle."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(max(1, min(at_once, len(jobs)))) as pool:
+        return [found.get() for found in [pool.apply_async(inherit(job)) for job in jobs]]
+
+
+def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 3, at_once: int = 3) -> TrainedModel:
     """Gradient-boosted trees, calibrated by isotonic regression on contiguous folds of each class.
 
-    For each fold trees are fitted on the others and calibrated on it; predictions are the mean of the folds. With fewer rows of a class than
-    folds there is one model and no calibration; with one class its constant. Order is (date, entity).
+    For each fold trees are fitted on the others and calibrated on it; predictions are the mean of the folds, of which ``at_once`` are fitted at a
+    time. With fewer rows of a class than folds there is one model and no calibration; with one class its constant. Order is (date, entity).
     """
     features = _chosen(config, names)
     counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -89,11 +101,13 @@ def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds:
         ranked = rank_global(data.where(F.col("label") == label), [F.col("date"), F.col("entity")], "__rank")
         parts.append(ranked.withColumn("__fold", F.floor((F.col("__rank") - 1) * folds / n).cast("int")).drop("__rank"))
     split = reduce(DataFrame.unionByName, parts).persist()
-    members = []
-    for k in range(folds):
+
+    def fit(k: int) -> tuple[Model, IsotonicRegressionModel]:
         model = trees.fit(split.where(F.col("__fold") != k))
         held = model.transform(split.where(F.col("__fold") == k)).select("label", vector_to_array("probability")[1].alias("p"))
-        members.append((model, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)))
+        return model, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
+
+    members = _together([partial(fit, k) for k in range(folds)], at_once)
     split.unpersist()
     return TrainedModel(config, features, members)
 
@@ -132,14 +146,11 @@ def diagnostics(predictions: DataFrame) -> DataFrame:
     return summary_table(predictions, 0.5)
 
 
-def rolling_backtest(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 5) -> DataFrame:
-    """Predictions on each fold by a model trained on all rows before it, with the fold's number. Order is (date, entity)."""
+def rolling_backtest(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 5, at_once: int = 3) -> DataFrame:
+    """Predictions on each fold by a model trained on all rows before it, with the fold's number. Order is (date, entity). ``at_once`` models are made at a time."""
     split = materialise(expanding_splits(data, folds, [F.col("date"), F.col("entity")]), "backtest")
-    outs = []
-    for k in range(1, folds + 1):
-        first = (F.col("fold") < k, F.col("fold") == k)
-        model = train_gbt(split.where(first[0]).drop("row", "fold"), config, names)
-        outs.append(predict([model], split.where(first[1])).withColumn("fold", F.lit(k)))
+    trained = _together([partial(train_gbt, split.where(F.col("fold") < k).drop("row", "fold"), config, names) for k in range(1, folds + 1)], at_once)
+    outs = [predict([model], split.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k, model in enumerate(trained, 1)]
     return reduce(DataFrame.unionByName, outs)
 
 
