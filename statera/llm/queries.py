@@ -118,9 +118,38 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, half a byte at a time, lower halves first."""
+
+    def entry(c: int) -> int:
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    steps = "[" + ", ".join(f"{entry(i)}::BIGINT" for i in range(16)) + "]"
+    halves = f"list_transform(range(length(hex(encode({text})))), lambda i: CAST(instr('0123456789ABCDEF', substr(hex(encode({text})), xor(i, 1) + 1, 1)) - 1 AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, x: xor(c >> 4, {steps}[(xor(c, x) & 15) + 1])), 4294967295)"
+
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+o AS (SELECT run, count(*) AS n, concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run) AS named FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc32_sql("named")} AS h FROM o),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS MATERIALIZED (SELECT word, left(word, i) AS p, substr(word, i + 2) AS s FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+l AS (SELECT DISTINCT x.word AS longer, w.word AS shorter FROM x JOIN w ON w.word = x.p || x.s),
+e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.p = b.p AND a.s = b.s AND a.word <> b.word UNION SELECT longer, shorter FROM l UNION SELECT shorter, longer FROM l),
+b AS (SELECT e.word, count(*) AS n_near, arg_min(e.near, (-w.n, e.near)) AS form, max(w.n) AS form_n FROM e JOIN w ON w.word = e.near GROUP BY e.word),
+f AS MATERIALIZED (SELECT w.word, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f AS t ON t.word = c.root WHERE t.form IS NULL
+"""
+
 NEAREST_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.x, b.x) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+s AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda total, square: total + square)) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
@@ -143,6 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_compaction": "SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5, lang, source FROM documents",
         "op3_top_k": TOP_K_SQL,
         "op4_mixture": MIX_SQL,
+        "op11_spelling_variants": VARIANTS_SQL,
         "op12_nearest": NEAREST_SQL,
         "op13_lexical_search": SEARCH_SQL,
     }
