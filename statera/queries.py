@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -688,8 +689,7 @@ def _landed(spark, d, rows: DataFrame, root: str) -> DataFrame:
     """Rows written as JSON payloads of one record each, and read as a feed: the payloads grow in number with the rows, not in size."""
     path = scratch(spark)
     rows.select(F.array(F.struct(*rows.columns)).alias(root)).write.json(path)
-    schema = T.StructType([T.StructField(root, T.ArrayType(T.StructType(rows.schema.fields)))])
-    return feeds.read_feed(spark, path, schema=schema, lines=True)
+    return feeds.read_feed(spark, path, schema=rows.schema, lines=True)
 
 
 def _raw_feed(spark, d):
@@ -738,6 +738,36 @@ def normalise_indicator(spark, d):
     return rounded(feeds.normalise_indicator(rows, "NY.GDP"), 4)
 
 
+def _mixed_feed(spark, d) -> str:
+    """Orders as payloads of one record in all shapes that feeds have, by order key, and a payload without records, a message and a broken one for each nation."""
+    o = table(spark, d, "orders")
+    record = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy").alias("date"), F.col("o_totalprice").alias("value"), F.struct((F.col("o_orderkey") % 5).alias("kind")).alias("about")))
+    shapes = [("{\"data\":[", "]}"), ("{\"results\":[", "]}"), ("[{\"page\":1},[", "]]"), ("[", "]"), ("", "")]
+    at = F.col("o_orderkey") % 5
+    text = reduce(lambda c, i: c.when(at == i, F.concat(F.lit(shapes[i][0]), record, F.lit(shapes[i][1]))), range(len(shapes)), F.when(F.lit(False), ""))
+    empty = F.explode(F.array(F.lit('[{"page":1},null]'), F.lit('[{"message":"no such indicator"}]'), F.concat(F.lit('{"data": ['), F.col("n_name")), F.lit('{"data":[1,null]}')))
+    path = scratch(spark)
+    o.select(text.alias("value")).union(table(spark, d, "nation").select(empty)).write.text(path)
+    return path
+
+
+@query("mixed_payloads", """SELECT o_orderkey % 5 AS kind, count(*) AS records, round(sum(o_totalprice), 2) AS total, min(CAST(year(o_orderdate) AS VARCHAR)) AS first_year, CAST(0 AS BIGINT) AS messages FROM orders GROUP BY 1
+  UNION ALL SELECT NULL, count(*), NULL, NULL, count(*) FROM nation""", digits=2)
+def mixed_payloads(spark, d):
+    rows = feeds.read_feed(spark, _mixed_feed(spark, d), lines=True)
+    return rows.groupBy(F.col("`about.kind`").alias("kind")).agg(F.count("*").alias("records"), F.sum("value").alias("total"), F.min("date").alias("first_year"), F.count("message").alias("messages"))
+
+
+@query("mixed_indicator", "SELECT make_date(year(o_orderdate), 1, 1) AS date, round(avg(o_totalprice), 4) AS ny_gdp FROM orders GROUP BY 1", digits=4)
+def mixed_indicator(spark, d):
+    return feeds.normalise_indicator(feeds.read_feed(spark, _mixed_feed(spark, d), lines=True), "NY.GDP")
+
+
+@query("unread_payloads", "SELECT '{\"data\": [' || n_name AS value, CAST(NULL AS INT) AS records FROM nation UNION ALL SELECT '{\"data\":[1,null]}', 2 FROM nation")
+def unread_payloads(spark, d):
+    return feeds.unread_payloads(spark, _mixed_feed(spark, d), lines=True)
+
+
 @query("provenance", "SELECT 'orders' AS source, 'file' AS endpoint, TIMESTAMP '2024-02-01' AS retrieved_at, TIMESTAMP '2024-01-01' AS \"start\", TIMESTAMP '2024-01-31' AS \"end\", 'all' AS query, CAST(30 AS INT) AS lookback_days, (SELECT count(*) FROM orders) AS rows, CAST(NULL AS VARCHAR) AS fallback, CAST(NULL AS VARCHAR) AS error")
 def provenance(spark, d):
     return feeds.provenance(table(spark, d, "orders"), "orders", "file", datetime(2024, 1, 1), datetime(2024, 1, 31), "all", datetime(2024, 2, 1))

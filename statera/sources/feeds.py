@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 from functools import reduce
@@ -13,49 +14,84 @@ from pyspark.sql import types as T
 
 from statera.functions.expressions import col, first_present, to_number
 from statera.functions.ranking import rank_global
-from statera.sources.storage import fresh_path
 
 EVENT_COLUMNS = ("event_id", "event_date", "country", "actor1_country", "actor2_country", "actor1", "actor2", "themes", "source_url", "num_articles", "tone", "goldstein", "latitude", "longitude")
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested structs as columns with dotted names, all levels."""
+def _at(*names: str) -> str:
+    """The path of nested keys in a VARIANT."""
+    return "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in names)
 
-    def leaves(schema: T.StructType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
-        out = []
-        for f in schema.fields:
-            out += leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, T.StructType) else [(*path, f.name)]
-        return out
 
-    return df.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(".".join(path)) for path in leaves(df.schema, ())))
+def _payloads(spark: SparkSession, path: str, root: Sequence[str], lines: bool) -> DataFrame:
+    """(value, payload, records) of each payload: its text, what it parses to (NULL: nothing) and its records, found by its own shape."""
+    text = spark.read.text(path, wholetext=not lines).where(F.col("value").rlike(r"\S")).withColumn("payload", F.try_parse_json("value"))
+    payload, none, many = F.col("payload"), F.array().cast("array<variant>"), "array<variant>"
+    listed = F.try_variant_get(payload, "$", many)
+    second = F.get(listed, F.lit(1))
+    said = (F.size(listed) == 2) & (F.is_variant_null(second) | F.try_variant_get(second, "$", many).isNotNull()) & F.try_variant_get(F.get(listed, F.lit(0)), "$", "map<string,variant>").isNotNull()
+    records = F.when(said, F.coalesce(F.try_variant_get(second, "$", many), none)).when(listed.isNotNull(), listed)
+    for name in root:
+        own = F.try_variant_get(payload, _at(name), "variant")
+        records = records.when(F.is_variant_null(own), none).when(own.isNotNull(), F.coalesce(F.try_variant_get(own, "$", many), F.array(own)))
+    return text.withColumn("records", records.when(payload.isNotNull(), F.array(payload)))
+
+
+def _is_object(c: Column) -> Column:
+    return F.try_variant_get(c, "$", "map<string,variant>").isNotNull()
+
+
+def _plain(kind: T.DataType) -> T.DataType:
+    """Inferred types as they are read: decimals as doubles, keys that are always null or of several types as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_plain(kind.elementType))
+    return T.DoubleType() if isinstance(kind, T.DecimalType | T.FloatType) else T.StringType() if isinstance(kind, T.NullType | T.VariantType) else kind
+
+
+def _inferred(records: DataFrame) -> T.StructType:
+    """The keys of all records with their types, nested objects as structs."""
+    found = records.agg(F.schema_of_variant_agg("record")).first()[0] or "VOID"
+    ddl = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], found)
+    kind = T.StructType() if ddl in ("VOID", "OBJECT") else _plain(T._parse_datatype_string(ddl))
+    return kind if isinstance(kind, T.StructType) else T.StructType()
+
+
+def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    out = []
+    for f in schema.fields:
+        out += _leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, T.StructType) else [((*path, f.name), f.dataType)]
+    return out
+
+
+def _value(path: tuple[str, ...], kind: T.DataType) -> Column:
+    """A key of a record; what isn't of its type is NULL, and text takes anything, objects and lists as JSON."""
+    if isinstance(kind, T.StringType):
+        own = F.try_variant_get("record", _at(*path), "variant")
+        return F.when(~F.is_variant_null(own), F.coalesce(F.try_variant_get(own, "$", "string"), F.to_json(own)))
+    return F.try_variant_get("record", _at(*path), kind.simpleString())
 
 
 def read_feed(spark: SparkSession, path: str, root: Sequence[str] = ("data", "results"), schema: str | T.StructType | None = None, lines: bool = False) -> DataFrame:
-    """Landed JSON payloads as rows: the first of the ``root`` arrays that the payload has, else the payload itself.
+    """Landed JSON payloads as rows, one for each record, nested objects as columns with dotted names.
 
-    A file holds one payload, or with ``lines`` one in each line, which Spark can split. A payload that is a list of what is said about the
-    records and the records, ``[meta, [record, ...]]``, gives the records (none if the second part is missing or null); it is told from a
-    list of records by its two parts, the second a list or null, in the first payload read.
+    A file holds one payload, or with ``lines`` one in each line, which Spark can split. Every payload is read by its own shape: an object
+    gives the first of the ``root`` keys that it has (a list: its records, null: none, an object: that one), else itself; a list of an object that is said about
+    the records and the records, ``[meta, [record, ...]]``, gives the records (none if they are null); any other list is the records. So a folder
+    may hold payloads of all shapes. ``schema`` is that of a record; without it the columns are the keys of all records, which takes a look at the whole input first; keys that
+    records lack are NULL. Without any record there are no columns. What is no object, and text that is no JSON, is not lost but listed by :func:`unread_payloads`.
     """
-    reader = spark.read.option("multiLine", not lines)
-    text = spark.read.text(path, wholetext=not lines)
-    second = F.nullif(F.get_json_object("value", "$[1]"), F.lit("null"))  # in one line
-    two = (F.json_array_length("value") == 2) & (second.isNull() | (F.substring(second, 1, 1) == "["))
-    if text.select(F.coalesce(two, F.lit(False))).first() == (True,):
-        plain = fresh_path(spark, "feed")
-        text.select(F.concat(F.lit('{"records":'), F.coalesce(second, F.lit("[]")), F.lit("}"))).write.text(plain)
-        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        found = (spark.read.schema(T.StructType([T.StructField("records", T.ArrayType(kind))])) if kind else spark.read).json(plain)
-        if not isinstance(found.schema["records"].dataType.elementType, T.StructType):
-            return spark.createDataFrame([], T.StructType())
-        return flatten(found.select(F.explode("records").alias("__row")).select("__row.*"))
-    raw = (reader.schema(schema) if schema else reader).json(path)
-    for name in root:
-        kind = raw.schema[name].dataType if name in raw.columns else None
-        if isinstance(kind, T.ArrayType):
-            rows = raw.select(F.explode(col(name)).alias("__row"))
-            return flatten(rows.select("__row.*")) if isinstance(kind.elementType, T.StructType) else rows.withColumnRenamed("__row", name)
-    return flatten(raw)
+    records = _payloads(spark, path, root, lines).select(F.explode("records").alias("record")).where(_is_object(F.col("record")))
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema if schema is not None else _inferred(records)
+    return records.select(*(_value(keys, leaf).alias(".".join(keys)) for keys, leaf in _leaves(kind)))
+
+
+def unread_payloads(spark: SparkSession, path: str, root: Sequence[str] = ("data", "results"), lines: bool = False) -> DataFrame:
+    """(value, records) of what :func:`read_feed` can't give rows of: payloads that are no JSON (records: NULL), and those with records that are no objects (their number)."""
+    odd = F.size(F.filter("records", lambda r: ~_is_object(r)))
+    found = _payloads(spark, path, root, lines).select("value", F.when(F.col("payload").isNotNull(), odd).alias("records"))
+    return found.where("records is null or records > 0")
 
 
 def _pick(df: DataFrame, *names: str, default: str | None = None) -> Column:
@@ -143,14 +179,25 @@ def indicator_name(code: str, aliases: Mapping[str, str] | None = None) -> str:
 
 
 def normalise_indicator(df: DataFrame, code: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """(date, <indicator>): yearly records (date: the year, value) as the mean for each January 1st, unparsed ones left out."""
+    """(date, <indicator>): yearly records (date: the year, value) as the mean for each January 1st, unparsed ones left out.
+
+    Without a column date or value, as after payloads that hold no records or only a message, the table is empty and has both columns.
+    """
+    if not {"date", "value"} <= set(df.columns):
+        return df.select(F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias(indicator_name(code, aliases))).where(F.lit(False))
     year = F.when(col("date").cast("string").rlike(r"^\d{4}$"), F.concat(col("date").cast("string"), F.lit("-01-01")).try_cast("date"))
     rows = df.select(year.alias("date"), to_number(col("value")).alias("value")).dropna()
     return rows.groupBy("date").agg(F.avg("value").alias(indicator_name(code, aliases)))
 
 
 def merge_indicators(tables: Sequence[DataFrame]) -> DataFrame:
-    """One row for each date with all tables' columns, by a stacked union and one aggregation instead of N - 1 joins."""
+    """One row for each date with the columns of all tables that have rows, by a stacked union and one aggregation instead of N - 1 joins; without any, an empty column date."""
+    empty = tables[0].select("date").where(F.lit(False)) if tables else None
+    tables = [t for t in tables if not t.isEmpty()]
+    if not tables:
+        if empty is None:
+            raise ValueError("no tables to merge")
+        return empty
     names = [c for t in tables for c in t.columns if c != "date"]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     return stacked.groupBy("date").agg(*(F.first(col(n), ignorenulls=True).alias(n) for n in names)).orderBy("date")

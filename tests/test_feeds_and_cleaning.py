@@ -157,3 +157,33 @@ def test_payload_of_what_is_said_and_records(spark, tmp_path):
     for name, empty in (("c.json", [dict(page=1), None]), ("d.json", [dict(page=1), []])):
         assert feeds.read_feed(spark, landed(name, empty)).count() == 0
     assert feeds.read_feed(spark, landed("e.json", [dict(a=1), dict(a=2)])).count() == 2
+
+
+def test_payloads_are_read_by_their_own_shape(spark, tmp_path):
+    shapes = [
+        dict(data=[dict(a=1, b=dict(c=2.5))]), dict(results=[dict(a="x")]), [dict(page=1), [dict(a=3), dict(a=4)]], [dict(a=5)], [dict(a=6), dict(a=7)], dict(a=8),
+        [dict(page=1), None], dict(data=None, results=[dict(a=99)]), [], dict(data=[]), dict(data=dict(a=9, **{"it's": 1})), [dict(a=None), dict(a=[1, dict(z=2)])], dict(data=[10, None, [dict(a=1)], dict(a=11)]),
+    ]
+    for i, x in enumerate(shapes):
+        (tmp_path / f"{i}.json").write_text(json.dumps(x, indent=1))
+    (tmp_path / "broken.json").write_text('{"data": [{"a": 1}')
+    (tmp_path / "blank.json").write_text(" \n")
+    got = feeds.read_feed(spark, str(tmp_path))
+    assert got.columns == ["a", "b.c", "it's"]
+    assert sorted(r.a or "" for r in got.collect()) == sorted(["1", "x", *"3456789", "", '[1,{"z":2}]', "11"])
+    assert [r["b.c"] for r in got.where("a = '1'").collect()] == [2.5]
+    unread = {r.value[:12]: r.records for r in feeds.unread_payloads(spark, str(tmp_path)).collect()}
+    assert unread == {'{"data": [{"': None, '{\n "data": [': 3}
+    typed = feeds.read_feed(spark, str(tmp_path), schema="a int, b struct<c string, d int>, more boolean")
+    assert typed.columns == ["a", "b.c", "b.d", "more"]
+    assert sorted((r.a or 0, r["b.c"] or "") for r in typed.collect()) == [(0, "")] * 3 + [(1, "2.5"), *((i, "") for i in range(3, 10)), (11, "")]
+
+
+@pytest.mark.parametrize("payload_text", ["[{}, null]", '[{"message": [{"id": "120", "value": "Invalid value"}]}]', "[]", '{"data": []}', "nonsense"])
+def test_payloads_without_records_give_an_empty_indicator(spark, tmp_path, payload_text):
+    (tmp_path / "a.json").write_text(payload_text)
+    got = feeds.normalise_indicator(feeds.read_feed(spark, str(tmp_path)), "NY.GDP")
+    assert got.columns == ["date", "ny_gdp"] and dict(got.dtypes) == {"date": "date", "ny_gdp": "double"} and got.count() == 0
+    full = spark.createDataFrame([(date(2020, 1, 1), 2.0)], "date date, x double")
+    assert feeds.merge_indicators([got, full]).collect() == [(date(2020, 1, 1), 2.0)]
+    assert feeds.merge_indicators([got, got]).columns == ["date"]
