@@ -23,7 +23,7 @@ from statera.functions.expressions import slug
 from statera.functions.ranking import rank_global
 from statera.operators.evaluate import align_target, summary_table
 from statera.operators.timeseries import expanding_splits, forward_fill
-from statera.sources.storage import materialise
+from statera.sources.storage import listed, materialise, publish, remove
 
 T = TypeVar("T")
 
@@ -158,29 +158,53 @@ def model_path(root: str, config: ModelConfig) -> str:
     return f"{root}/{slug(config.name).replace('/', '-')}"
 
 
+def model_versions(root: str, config: ModelConfig) -> list[int]:
+    """The versions kept of a model, oldest first; each is whole."""
+    found = listed(SparkSession.active(), model_path(root, config))
+    return sorted(int(n.partition("=")[2]) for n in found if n.startswith("version="))
+
+
 def save_model(model: TrainedModel, root: str) -> str:
-    """Write a model below ``root`` through Spark's writers, its settings and history as JSON text."""
+    """Write a model as the next version below ``root`` through Spark's writers, its settings and history as JSON text; the version's path.
+
+    A version appears whole by one rename, so a save that stops half-way leaves the versions before it, and writers at once get a version each.
+    """
     spark, path = SparkSession.active(), model_path(root, model.config)
     about = {"config": model.config.__dict__, "features": model.features, "history": model.history, "members": len(model.members), "calibrated": [c is not None for _, c in model.members]}
-    for i, (m, c) in enumerate(model.members):
-        m.write().overwrite().save(f"{path}/member{i}")
-        if c is not None:
-            c.write().overwrite().save(f"{path}/calibrator{i}")
-    spark.range(1).select(F.lit(json.dumps(about)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/about")  # last: it marks a whole model
-    return path
+
+    def write(folder: str) -> None:
+        for i, (m, c) in enumerate(model.members):
+            m.save(f"{folder}/member{i}")
+            if c is not None:
+                c.save(f"{folder}/calibrator{i}")
+        spark.range(1).select(F.lit(json.dumps(about)).alias("value")).coalesce(1).write.text(f"{folder}/about")
+
+    while True:
+        version = f"{path}/version={max(model_versions(root, model.config), default=0) + 1}"
+        if publish(spark, version, write):
+            return version
 
 
 def has_model(root: str, config: ModelConfig) -> bool:
-    """True if a whole model of that name is there."""
-    spark = SparkSession.active()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{model_path(root, config)}/about/_SUCCESS")
-    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+    """True if a version of that model is there."""
+    return bool(model_versions(root, config))
 
 
-def load_model(root: str, config: ModelConfig) -> TrainedModel:
-    """The model of that name."""
-    path = model_path(root, config)
+def load_model(root: str, config: ModelConfig, version: int | None = None) -> TrainedModel:
+    """A version of the model of that name, the last by default."""
+    version = version or max(model_versions(root, config), default=None)
+    if version is None:
+        raise FileNotFoundError(f"no model {config.name} below {root}")
+    path = f"{model_path(root, config)}/version={version}"
     about = json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
     own = ModelConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in about["config"].items()})
     members = [(PipelineModel.load(f"{path}/member{i}"), IsotonicRegressionModel.load(f"{path}/calibrator{i}") if about["calibrated"][i] else None) for i in range(about["members"])]
     return TrainedModel(own, about["features"], members, about["history"])
+
+
+def drop_old_models(root: str, config: ModelConfig, keep: int = 2) -> int:
+    """Delete all versions but the last ``keep``; their number. A reader of an older one would lose it, hence two by default."""
+    old = model_versions(root, config)[: -max(1, keep)]
+    for version in old:
+        remove(SparkSession.active(), f"{model_path(root, config)}/version={version}")
+    return len(old)
