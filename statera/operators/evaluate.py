@@ -53,10 +53,9 @@ def ensemble(df: DataFrame, keys: list[str], model: str = "model", p: str = "pro
 
 def build_evidence(df: DataFrame, entity: str = "country", date: str = "date", p: str = "probability") -> DataFrame:
     """country, signal_strength, posterior_odds, updated: the latest value against that of six rows before (with seven rows or fewer: the first)."""
-    own = W.partitionBy(entity)
-    ranked = df.withColumns({"__n": F.row_number().over(own.orderBy(col(date).desc())), "__rows": F.count("*").over(own)})
-    at = lambda n: F.max(F.when(F.col("__n") == n, col(p)))
-    rows = ranked.groupBy(entity).agg(at(F.lit(1)).alias("last"), at(F.when(F.col("__rows") > 7, 7).otherwise(F.col("__rows"))).alias("reference"), F.max(date).alias("updated"))
+    by_date = W.partitionBy(entity).orderBy(col(date).desc())
+    seven = df.withColumn("__n", F.row_number().over(by_date)).where("__n <= 7")  # Spark keeps seven rows of an entity before it deals them out
+    rows = seven.groupBy(entity).agg(F.min_by(col(p), "__n").alias("last"), F.max_by(col(p), "__n").alias("reference"), F.max(date).alias("updated"))
     signal = clip(F.abs(F.col("last") - F.col("reference")) * 4, 0.05, 0.95)
     odds = F.col("last") / F.greatest(F.lit(1e-3), 1 - F.col("last"))
     return rows.select(entity, F.bround(signal, 2).alias("signal_strength"), F.bround(odds, 2).alias("posterior_odds"), F.date_format("updated", "yyyy-MM-dd").alias("updated"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statera.functions.expressions import clip, floor_at_zero
+from statera.functions.expressions import clip, col, floor_at_zero
+from statera.functions.ranking import rank_in_group, with_group
 from statera.operators.distribution import quantile_points
 
 #: Largest number of interval events that a tick table is joined with by broadcast; more go through an equi-join on ticks.
@@ -94,21 +95,32 @@ def _policy_sums(population: DataFrame, policies: DataFrame) -> DataFrame:
     return sums.withColumn("balance", F.col("tax") - F.col("transfers"))
 
 
-def event_timeline(ticks: DataFrame, events: DataFrame, width: int = 64) -> DataFrame:
+def event_timeline(ticks: DataFrame, events: DataFrame) -> DataFrame:
     """Every tick with each event active then (start_tick to end_tick, both included; NULL end: open); a tick without any stays once.
 
-    Few events are broadcast. Many are cut by ``width`` ticks into an equi-join of ranges, open ends at the last tick.
+    Few events are broadcast. Many are cut into dyadic ranges of ticks, aligned ones whose length is a power of two: an interval is the union of at
+    most two for each power, and a tick lies in one of each, so an equi-join on them meets every active event once, whatever its length.
     """
     live = events.withColumn("__end", F.coalesce(F.col("end_tick").cast("long"), F.lit(2**62)))
     within = F.col("tick").between(F.col("start_tick"), F.col("__end"))
     if events.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS:
         return ticks.join(F.broadcast(live), within, "left").drop("__end")
-    last = ticks.agg(F.min("tick").alias("__first"), F.max("tick").alias("__last"))
-    part = lambda c: F.floor(c / width)
-    cut = live.join(F.broadcast(last)).where("start_tick <= __last and __end >= __first")
-    cut = cut.withColumn("__part", F.explode(F.sequence(part(F.greatest("start_tick", "__first")), part(F.least("__end", "__last"))))).drop("__first", "__last")
-    own = ticks.withColumn("__part", part(F.col("tick")))
-    return own.join(cut, (own["__part"] == cut["__part"]) & within, "left").drop("__part", "__end")
+    low, high = ticks.agg(F.min("tick"), F.max("tick")).first()
+    if low is None:
+        return ticks.join(live.limit(0), within, "left").drop("__end")
+    levels = F.sequence(F.lit(0), F.lit((int(high) - int(low) + 1).bit_length()))
+    # from the first tick on: [start, stop) at level k is cut to whole ranges of 2^k ticks, and an odd one at an end is one of the interval's
+    start, stop = F.greatest(F.col("start_tick"), F.lit(low)).cast("long") - low, F.least(F.col("__end"), F.lit(high)).cast("long") + 1 - low
+    half = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    first, last = (lambda k: F.ceil(start / half(k)).cast("long")), (lambda k: F.floor(stop / half(k)).cast("long"))
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    node = lambda k, at, own: F.when((first(k) < last(k)) & own, F.struct(k.alias("level"), at.alias("at")))
+    nodes = F.filter(F.flatten(F.transform(levels, lambda k: F.array(node(k, first(k), odd(first(k))), node(k, last(k) - 1, odd(last(k)))))), lambda x: x.isNotNull())
+    cut = live.where(F.col("start_tick").isNotNull() & (start < stop)).withColumn("__node", F.explode(nodes)).drop("__end")
+    own = ticks.withColumn("__node", F.explode(F.transform(levels, lambda k: F.struct(k.alias("level"), F.floor((F.col("tick").cast("long") - low) / half(k)).cast("long").alias("at")))))
+    met = own.join(cut, "__node").drop("__node")
+    idle = ticks.join(met.select(F.col("tick").alias("__tick")).distinct(), F.col("tick") == F.col("__tick"), "left_anti")
+    return met.unionByName(idle.join(events.limit(0), F.lit(True), "left"))
 
 
 def event_adjustment(timeline: DataFrame) -> DataFrame:
@@ -179,7 +191,7 @@ def sentiment_index(timeline: DataFrame, run: str = "run_id") -> DataFrame:
 
 def quota_top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], rate: float, cap: int | None = None) -> DataFrame:
     """Of each group the first round(rows * rate) rows in the order (half-even, at most ``cap``)."""
-    own = W.partitionBy(*group)
-    quota = F.bround(F.count("*").over(own) * rate, 0)
-    quota = quota if cap is None else F.least(quota, F.lit(float(cap)))
-    return df.withColumns({"__n": F.row_number().over(own.orderBy(*order)), "__quota": quota}).where("__n <= __quota").drop("__n", "__quota")
+    quota = F.bround(F.count("*") * rate, 0)
+    quotas = df.groupBy(*map(col, group)).agg((quota if cap is None else F.least(quota, F.lit(float(cap)))).alias("__quota"))
+    ranked = rank_in_group(df, group, order, "__n")
+    return with_group(ranked, quotas, group).where("__n <= __quota").drop("__n", "__quota")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import col, logistic, numeric_columns
-from statera.functions.ranking import rank_global
+from statera.functions.ranking import carry_forward, rank_global, rank_in_group, trailing, with_group
 
 #: Weights of the risk index. Fixed values.
 WEIGHTS = {"coup": 0.6, "violence": 0.5, "displacement": 0.3, "economic": 0.2, "constraints": 0.2}
@@ -34,26 +33,34 @@ def country_series(df: DataFrame, value: str, date: str = "date", entity: str =
 
 def densify_grid(df: DataFrame, fill: float | None = 0) -> DataFrame:
     """(date, entity, value) for every observed date and every observed entity; a missing cell is ``fill``."""
-    days, entities = df.select("date").distinct(), df.select("entity").distinct()
-    out = days.join(entities, how="cross").join(df.select("date", "entity", "value"), ["date", "entity"], "left")
+    return _grid(df, df.select("date").distinct(), fill)
+
+
+def _grid(df: DataFrame, days: DataFrame, fill: float | None) -> DataFrame:
+    """The grid over ``days``, with the columns that these have beside the date."""
+    cells = days.join(df.select("entity").distinct(), how="cross").join(df.select("date", "entity", "value"), ["date", "entity"], "left")
+    out = cells.select("date", "entity", "value", *(c for c in days.columns if c != "date"))
     return out if fill is None else out.fillna(fill, subset=["value"])
 
 
-def _trailing(n: int, calendar: bool):
-    own = W.partitionBy("entity")
+def _rolling(df: DataFrame, n: int, calendar: bool, fill: float | None, of: Callable[[str], Column]) -> DataFrame:
+    """A trailing aggregate on the grid. As all entities have a row for each date, the last ``n`` rows are the last ``n`` numbers of dates."""
     if calendar:
-        return own.orderBy(F.unix_date(F.to_date("date"))).rangeBetween(-(n - 1), 0)
-    return own.orderBy("date").rowsBetween(-(n - 1), 0)
+        grid, at = densify_grid(df, fill), F.unix_date(F.to_date("date")).cast("long")
+    else:
+        days = rank_in_group(df.select("date").distinct().withColumn("__all", F.lit(0)), ["__all"], [F.col("date")], "__day").drop("__all")
+        grid, at = _grid(df, days, fill), F.col("__day")
+    return trailing(grid, ["entity"], at, n, {"value": lambda w: of("value").over(w)}).select("date", "entity", "value")
 
 
 def rolling_sum(df: DataFrame, n: int, calendar: bool = False) -> DataFrame:
     """Sum of each entity's last ``n`` rows of the zero-filled grid; ``calendar``: of its last ``n`` days."""
-    return densify_grid(df, 0).withColumn("value", F.sum("value").over(_trailing(n, calendar)))
+    return _rolling(df, n, calendar, 0, F.sum)
 
 
 def rolling_mean(df: DataFrame, n: int, calendar: bool = False) -> DataFrame:
-    """Mean of each entity's last ``n`` rows of the grid, missing cells skipped."""
-    return densify_grid(df, None).withColumn("value", F.avg("value").over(_trailing(n, calendar)))
+    """Mean of each entity's last ``n`` rows of the grid, missing cells skipped; ``calendar``: of its last ``n`` days."""
+    return _rolling(df, n, calendar, None, F.avg)
 
 
 def economic_feature(df: DataFrame, n: int, date: str = "date") -> DataFrame:
@@ -63,20 +70,18 @@ def economic_feature(df: DataFrame, n: int, date: str = "date") -> DataFrame:
         raise ValueError("no numeric column beside the date")
     long = df.select(F.to_date(col(date)).alias("date"), *(col(c).cast("double").alias(c) for c in values)).dropna(subset=["date"]).unpivot("date", values, "entity", "value")
     daily = long.groupBy("date", "entity").agg(F.avg("value").alias("value"))
-    span = daily.agg(F.min("date").alias("low"), F.max("date").alias("high")).where("low is not null")
+    # days without any value are those before the first one; from there on every day has one, so the last n rows are the last n days
+    span = daily.agg(F.min(F.when(F.col("value").isNotNull(), F.col("date"))).alias("low"), F.max("date").alias("high")).where("low is not null")
     days = span.select(F.explode(F.sequence("low", "high", F.expr("interval 1 day"))).alias("date"))
     grid = days.join(daily.select("entity").distinct(), how="cross").join(daily, ["date", "entity"], "left")
-    by_day = W.partitionBy("entity").orderBy("date")
-    filled = grid.withColumn("value", F.last("value", ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, 0)))
-    kept = filled.withColumn("some", F.max(F.col("value").isNotNull()).over(W.partitionBy("date"))).where("some").drop("some")
-    return kept.withColumn("value", F.avg("value").over(by_day.rowsBetween(-(n - 1), 0)))
+    filled = forward_fill(grid, zero=False)
+    return trailing(filled, ["entity"], F.unix_date("date").cast("long"), n, {"value": lambda w: F.avg("value").over(w)})
 
 
 def forward_fill(df: DataFrame, zero: bool = True, date: str = "date", keys: tuple[str, ...] = ("entity",), values: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Values carried forward by date within ``keys``; what has none before it is 0 (``zero``) or stays NULL."""
-    before = W.partitionBy(*keys).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    carried = {v: F.last(col(v), ignorenulls=True).over(before) for v in values}
-    return df.withColumns({v: F.coalesce(c, F.lit(0.0)) if zero else c for v, c in carried.items()})
+    """Values carried forward by date within ``keys`` (rows of one date by their values); what has none before it is 0 (``zero``) or stays NULL."""
+    filled = carry_forward(df, keys, date, values)
+    return filled.withColumns({v: F.coalesce(col(v), F.lit(0.0)) for v in values}) if zero else filled
 
 
 def combine_features(groups: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
@@ -88,7 +93,8 @@ def combine_features(groups: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame
 
 def latest(df: DataFrame, keys: tuple[str, ...] = ("feature",), order: str = "date") -> DataFrame:
     """Each group's rows at its last date."""
-    return df.withColumn("__last", F.max(order).over(W.partitionBy(*keys))).where(col(order) == F.col("__last")).drop("__last")
+    last = df.groupBy(*map(col, keys)).agg(F.max(col(order)).alias("__last"))
+    return with_group(df, last, keys).where(col(order) == F.col("__last")).drop("__last")
 
 
 def latest_outcomes(df: DataFrame, date: str = "date") -> DataFrame:
@@ -119,9 +125,9 @@ def expanding_splits(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 def zscore(df: DataFrame, value: str = "value", entity: str = "entity", name: str = "z") -> DataFrame:
     """(x - mean) / population standard deviation for each entity, 0 where that is below 1e-6."""
-    own = W.partitionBy(entity)
-    spread = F.stddev_pop(value).over(own)
-    return df.withColumn(name, F.when(spread < 1e-6, 0.0).otherwise((col(value) - F.avg(value).over(own)) / spread))
+    stats = df.groupBy(col(entity)).agg(F.avg(col(value)).alias("__mean"), F.stddev_pop(col(value)).alias("__spread"))
+    spread = F.col("__spread")
+    return with_group(df, stats, [entity]).withColumn(name, F.when(spread < 1e-6, 0.0).otherwise((col(value) - F.col("__mean")) / spread)).drop("__mean", "__spread")
 
 
 def risk_index(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, name: str = "risk") -> DataFrame:

@@ -149,7 +149,7 @@ def test_interval_events(spark, monkeypatch):
     assert out[4].active == 0 and out[4].benefit_multiplier is None and out[4].event_names == ""
     assert "BroadcastNestedLoopJoin" in fiscal.policy_grid(people(spark, [(1, 1.0, 0, "x")]).drop("policy", "brackets", "base_deduction", "child_subsidy", "unemployment_benefit"), people(spark, []).select("policy", "brackets", "base_deduction", "child_subsidy", "unemployment_benefit"))._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(fiscal, "BROADCAST_EVENTS", 0)
-    many = fiscal.event_timeline(ticks, one, width=2)
+    many = fiscal.event_timeline(ticks, one)
     assert sorted((r.tick, r["name"]) for r in many.collect()) == sorted((r.tick, r["name"]) for r in timeline.collect())
 
 
