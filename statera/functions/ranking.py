@@ -77,6 +77,17 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return with_group(ranked, first, keys).withColumn(name, F.col("__rank") - F.col("__first") + 1).drop("__rank", "__first")
 
 
+def running_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with the row within ``keys``: a window where every group fits one, else running totals without those of the groups before."""
+    own = [*map(col, keys)]
+    rows = materialise(df, "running")
+    if largest_group(rows, keys) <= WINDOW_ROWS:
+        return rows.withColumn(name, F.sum(value).over(W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    summed = running_total(rows, [*(c.asc_nulls_first() for c in own), *order], value, "__run")
+    base = summed.groupBy(*own).agg(F.min(F.col("__run") - F.col(value)).alias("__base"))
+    return with_group(summed, base, keys).withColumn(name, F.col("__run") - F.col("__base")).drop("__run", "__base")
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """``df`` with each value, or where it is NULL the last one before it within ``keys``; NULL before the first. Rows of one ``order`` go by their values, NULL first.
 

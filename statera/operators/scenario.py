@@ -55,9 +55,10 @@ def decile_frame(df: DataFrame, map_column: str, scenario: str) -> DataFrame:
 def scenario_kpis(timeline: DataFrame, agents: DataFrame, run: str = "run_id") -> DataFrame:
     """One row for each run: the last tick's headline values, gini_pre and gini_post."""
     last = last_tick(timeline, run).select(run, *HEADLINE)
-    pre = gini(agents, "baseline_disposable", [run]).withColumnRenamed("gini", "gini_pre")
-    post = gini(agents, "average_disposable", [run]).withColumnRenamed("gini", "gini_post")
-    return last.join(pre, run, "left").join(post, run, "left").fillna(0.0, ["gini_pre", "gini_post"])
+    incomes = agents.select(col(run), F.explode(F.array(*(F.struct(F.lit(name).alias("__kpi"), col(c).cast("double").alias("__income")) for name, c in (("gini_pre", "baseline_disposable"), ("gini_post", "average_disposable"))))).alias("__i"))
+    both = gini(incomes.select(col(run), "__i.*"), "__income", [run, "__kpi"])  # one ranking for both
+    sides = both.groupBy(run).agg(*(F.max(F.when(F.col("__kpi") == name, F.col("gini"))).alias(name) for name in ("gini_pre", "gini_post")))
+    return last.join(sides, run, "left").fillna(0.0, ["gini_pre", "gini_post"])
 
 
 def kpi_tables(agents: DataFrame) -> dict[str, DataFrame]:

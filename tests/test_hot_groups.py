@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statera.functions import ranking
-from statera.operators import evaluate, fiscal, timeseries
+from statera.operators import distribution, evaluate, fiscal, timeseries
 
 START = date(2024, 1, 1)
 
@@ -125,3 +125,46 @@ def test_long_intervals_are_few_rows(spark, monkeypatch):
     timeline = fiscal.event_timeline(ticks, events)
     found = {r.tick: r.n for r in timeline.groupBy("tick").agg(F.count("name").alias("n")).collect()}
     assert found == {0: 1, 1000: 1001, 500_000: 2000, 1_001_000: 1000, 2_000_000: 0}
+
+
+def interpolated(values, q):
+    values, out = sorted(values), []
+    for k in range(q + 1):
+        at = k / q * (len(values) - 1)
+        low = int(at)
+        out.append(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low))
+    return out
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 0])
+@pytest.mark.parametrize("accuracy", [10_000, 100])
+def test_quantiles_by_brackets(spark, monkeypatch, rows, accuracy):
+    """With a coarse sketch most values lie between brackets and are not sorted; points are those of all values."""
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", rows)
+    monkeypatch.setattr(distribution, "ACCURACY", accuracy)
+    rng = random.Random(7)
+    groups = {"skew": [rng.expovariate(1) ** 4 for _ in range(3000)], "ties": [float(rng.randrange(5)) for _ in range(3000)], "one": [2.5], "two": [1.0, 4.0], None: [rng.gauss(0, 1) for _ in range(2000)]}
+    data = [(g, v) for g, vs in groups.items() for v in vs] + [("skew", None), ("none", None), ("skew", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    for q in (1, 4, 10):
+        found = {r.g: r.points for r in distribution.quantile_points(df, "v", q, ["g"]).collect()}
+        assert found.keys() == groups.keys()
+        for g, vs in groups.items():
+            assert found[g] == pytest.approx(interpolated(vs, q), rel=1e-12, abs=1e-12)
+    whole = distribution.quantile_points(df, "v", 10).collect()
+    assert whole[0].points == pytest.approx(interpolated([v for vs in groups.values() for v in vs], 10), rel=1e-12, abs=1e-12)
+    assert distribution.quantile_points(df.limit(0), "v", 3).collect() == []
+    if accuracy == 100:
+        _, ranked = distribution._bracketed(df, "v", 4, ["g"])
+        assert ranked.where("g = 'skew' and __x is not null").count() < 1000
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 0])
+def test_gini_of_large_groups(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", rows)
+    values = [float(x) for x in range(1, 200)] + [7.0] * 50
+    df = spark.createDataFrame([(g, v * (1 if g else 3)) for g in (0, 1) for v in values], "g int, v double").repartition(4)
+    n, ordered = len(values), sorted(values)
+    expected = 2 * sum(i * x for i, x in enumerate(ordered, 1)) / (n * sum(ordered)) - (n + 1) / n
+    for r in distribution.gini(df, "v", ["g"]).collect():
+        assert r.gini == pytest.approx(expected, rel=1e-12)
