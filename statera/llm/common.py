@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.sources.storage import fresh_path, materialise  # noqa: F401  the operators take them from here
+from statera.sources.storage import fresh_path, listed, materialise, publish  # noqa: F401  the operators take them from here
 from statera.sources.tables import table  # noqa: F401
 
 #: A word is a run of anything but space and the ASCII controls tab to carriage return.
@@ -35,6 +35,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it a column that ``df`` doesn't have: for columns that an operator adds for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

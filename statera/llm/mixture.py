@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statera.llm.common import materialise, word_count
+from statera.llm.common import free_names, materialise, word_count
 
 #: Hash classes in each size class: with the size classes, what a hot source's prefix sum is split by.
 SALTS = 16
@@ -63,7 +63,7 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     come first in their class; rows equal in source, id and size are interchangeable; an empty table gives no rows.
     """
     size, source_size, target, copies = (prefix + x for x in ("size", "source_size", "target", "copies"))
-    own = [f"__mix_{x}" for x in ("class", "salt", "key", "n", "before", "ahead")]
+    own = free_names(docs, *(f"__mix_{x}" for x in ("class", "salt", "key", "n", "before", "ahead")))
     klass, salt, key, n, before, ahead = own
     names = F.col(key)
     keyed = docs.withColumns({size: word_count(F.col("text")), key: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
@@ -85,9 +85,12 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is emitted, with the columns of ``docs``."""
-    counted = with_copies(docs, weights, cap, seed, prefix="__mix_out_")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("__mix_out_copies").cast("int")))
-    return counted.where("__mix_out_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("__mix_time")).drop("__mix_time")
+    prefix = "__mix_out_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    (time,) = free_names(docs, "__mix_time")
+    counted, copies = with_copies(docs, weights, cap, seed, prefix), F.col(prefix + "copies")
+    return counted.where(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(time)).drop(time)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

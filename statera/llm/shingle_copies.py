@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statera.llm.common import groups, importable, materialise, text_or_empty
+from statera.llm.common import free_names, groups, importable, materialise, text_or_empty
 from statera.llm.simhash_trie import HALF, LOWER, simhash_of, trie_links
 
 #: Bands and rows of the MinHash signature: a pair of similarity 0.8 shares a band with probability 0.9995, a more similar one more often.
@@ -173,12 +173,12 @@ def _buckets(classes: DataFrame, budget: int) -> DataFrame:
     return keyed.select("bucket", "own").unionByName(ends[0]).unionByName(ends[1])
 
 
-def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, budget: int = 3) -> DataFrame:
+def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, budget: int = 3, exact: bool = False) -> DataFrame:
     """``docs`` without rows that are near copies of a row that comes before: the smaller id (null last), then the smaller text digest.
 
     Two rows are near copies if they share ``least`` or more of their distinct ``width``-word shingles. Candidates are the links of the
     SimHash trie join (``budget`` bits), equal fingerprints, and rows that share a MinHash band. In each such bucket all rows are
-    held against the first, where their sketches allow it (:func:`may_be_near`) by exact similarity; those that are near copies leave every bucket, and the others go on to the next
+    held against the first, where their sketches allow it (:func:`may_be_near`; with ``exact`` always) by exact similarity; those that are near copies leave every bucket, and the others go on to the next
     firsts, more of them in each round. So each row that goes is tied by verified links to one that stays, and of two that stay and share
     a bucket none is a near copy of the other.
 
@@ -201,7 +201,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, see
         firsts = alive.withColumn("n", F.row_number().over(in_bucket)).where(F.col("n") <= most)
         firsts = materialise(firsts.groupBy("bucket").agg(F.collect_list(F.struct("own", "sketch")).alias("firsts")), "copies-firsts")
         met = alive.join(firsts, "bucket")
-        able = F.filter("firsts", lambda f: (f["own"] < F.col("own")) & may_be_near(f["sketch"], F.col("sketch"), least))
+        able = F.filter("firsts", lambda f: (f["own"] < F.col("own")) & (F.lit(True) if exact else may_be_near(f["sketch"], F.col("sketch"), least)))
         pairs = met.select("own", F.explode(F.transform(able, lambda f: f["own"])).alias("first"))
         pairs = materialise(pairs.select("own.digest", F.col("first.digest").alias("first")).distinct(), "copies-pairs")
         near = materialise(_verified(pairs, texts, width, seed, least).where("near").select("digest").distinct(), "copies-near")
@@ -212,7 +212,8 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, see
             break
     key = lambda doc_id, digest: F.concat_ws(":", digest, doc_id.cast("string"))
     kept = classes.select(F.col("own.doc_id").alias("__id"), F.col("own.digest").alias("digest"))
-    kept = kept.join(gone, "digest", "left_anti").select(key(F.col("__id"), F.col("digest")).alias("__copies_key"))
+    (own_key,) = free_names(docs, "__copies_key")
+    kept = kept.join(gone, "digest", "left_anti").select(key(F.col("__id"), F.col("digest")).alias(own_key))
     # the join and the grouping share the key, so whole rows are shuffled once
-    found = docs.withColumn("__copies_key", key(F.col("doc_id"), F.md5(text_or_empty())))
-    return found.join(kept, "__copies_key", "left_semi").dropDuplicates(["__copies_key"]).drop("__copies_key")
+    found = docs.withColumn(own_key, key(F.col("doc_id"), F.md5(text_or_empty())))
+    return found.join(kept, own_key, "left_semi").dropDuplicates([own_key]).drop(own_key)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statera.llm.common import importable, materialise, text_or_empty
+from statera.llm.common import free_names, importable, materialise, text_or_empty
 from statera.llm.components import components
 
 BITS = 64
@@ -127,47 +127,57 @@ def _rotated(fp: Column) -> Column:
     return F.shiftleft(fp, HALF).bitwiseOR(F.shiftrightunsigned(fp, HALF))
 
 
-def trie_links(values: DataFrame, count: int, budget: int = 3, subtree: int = 1024, forest: bool = True) -> DataFrame:
+def trie_links(values: DataFrame, count: int, budget: int = 3, subtree: int = 1024, forest: bool = True, most: int = 8192) -> DataFrame:
     """Links (a, b: long) between the distinct values of column fp that differ in at most ``budget`` bits.
 
     Of two such values, one 32-bit half differs in at most ``budget // 2`` bits. So two tries are walked, with either half
     on top, and each allows only that many in its top half: the work stays nearly in proportion to the values. The trie is
     cut at a depth at which a subtree holds about ``subtree`` values (``count``: distinct values); a value goes to its own
-    subtree and to those whose prefix is near enough, and each pair of subtrees is one group. ``forest``: links are replaced by
-    stars over what they connect within a group, which keeps components and never writes all pairs of a dense group.
+    subtree and to those whose prefix is near enough, and each pair of subtrees is one group. A subtree of over ``most`` values, as many
+    near copies make one, is cut into blocks by hash, and each pair of blocks is a group of its own, so a task holds at most about 4 * ``most`` of
+    them. ``forest``: links are replaced by stars over what they connect within a group, which keeps components and never writes all pairs of a dense group.
     """
     importable(values.sparkSession)
     tight = budget // 2
     depth = min(24, max(1, math.ceil(math.log2(max(2, count) / subtree)))) if count > subtree else 1
     masks = [sum(1 << i for i in bits) for n in range(tight + 1) for bits in combinations(range(depth), n)]
     both = values.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("x")), F.struct(F.lit(1).alias("turn"), _rotated(F.col("fp")).alias("x")))).alias("v")).select("v.*")
-    own = F.shiftrightunsigned("x", BITS - depth)
-    dealt = both.withColumn("own", own).withColumn("other", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m.cast("long")))))
-    dealt = dealt.select("turn", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "x")
+    both = both.withColumn("own", F.shiftrightunsigned("x", BITS - depth))
+    heavy = both.groupBy("turn", "own").agg(F.count("*").alias("n")).where(F.col("n") > most).select("turn", "own", F.ceil(F.col("n") / most).cast("int").alias("cuts"))
+    heavy = materialise(heavy, "simhash-heavy")  # one row for each ``most`` values at most
+    dealt = both.withColumn("other", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m.cast("long")))))
+    dealt = dealt.join(heavy, ["turn", "own"], "left").join(heavy.select("turn", F.col("own").alias("other"), F.col("cuts").alias("others")), ["turn", "other"], "left")
+    cuts = F.greatest(F.coalesce("cuts", F.lit(1)), F.coalesce("others", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("x"), cuts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    dealt = dealt.select("turn", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.least("block", "with").alias("b"), F.greatest("block", "with").alias("c"), "x", "block")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        turn, lo, hi = (k.as_py() for k in key)
-        x = np.sort(np.unique(group.column("x").to_numpy().view(np.uint64)))
-        cut = np.searchsorted(x >> np.uint64(BITS - depth), np.uint64(hi))
-        left, right = (x, x) if lo == hi else (x[:cut], x[cut:])
-        found = [np.empty((2, 0), np.uint64)]
-        if len(left) and len(right):
-            label, shift = np.arange(len(x)), 0 if lo == hi else len(left)
-            for i, j in trie_pairs(left, right, lo == hi, depth, budget, tight):
-                if forest:
-                    label = _merge(label, i, j + shift)
-                else:
-                    found.append(np.stack((left[i], right[j])))
-            if forest:
-                moved = np.flatnonzero(label != np.arange(len(x)))
-                found.append(np.stack((x[moved], x[label[moved]])))
+        turn, lo, hi, b, c = (k.as_py() for k in key)
+        x, at = np.unique(group.column("x").to_numpy().view(np.uint64), return_index=True)
+        block, upper = group.column("block").to_numpy()[at], (x >> np.uint64(BITS - depth)) == np.uint64(hi)
+        part = lambda high, of: np.flatnonzero((upper == high) & (block == of))
+        if lo == hi:
+            sides = [(part(True, b), part(True, c))]
+        else:
+            sides = [(part(False, i), part(True, j)) for i, j in {(b, c), (c, b)}]
+        label, found = np.arange(len(x)), [np.empty((2, 0), np.uint64)]
+        for left, right in sides:
+            if len(left) and len(right):
+                for i, j in trie_pairs(x[left], x[right], lo == hi and b == c, depth, budget, tight):
+                    if forest:
+                        label = _merge(label, left[i], right[j])
+                    else:
+                        found.append(np.stack((x[left[i]], x[right[j]])))
+        if forest:
+            moved = np.flatnonzero(label != np.arange(len(x)))
+            found.append(np.stack((x[moved], x[label[moved]])))
         pairs = np.concatenate(found, axis=1)
         if turn:
             pairs = (pairs << np.uint64(HALF)) | (pairs >> np.uint64(HALF))
         pairs = np.sort(pairs.view(np.int64), axis=0)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return dealt.groupBy("turn", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("turn", "lo", "hi", "b", "c").applyInArrow(run, "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, width: int, seed: int, budget: int, digest: bool) -> tuple[DataFrame, DataFrame]:
@@ -199,8 +209,9 @@ def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 3
     Of rows equal in id and text one stays.
     """
     marked, classes = _classes(docs, width, seed, budget, digest=True)
+    own, kept_id, kept_digest = free_names(docs, "__text_digest", "__id", "__digest")
     first = marked.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
-    kept = first.select(F.col("kept.doc_id").alias("__id"), F.col("kept.digest").alias("__digest"))
-    found = docs.withColumn("__text_digest", F.md5(F.col("text")))
-    found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_digest").eqNullSafe(F.col("__digest")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__text_digest"]).drop("__text_digest")
+    kept = first.select(F.col("kept.doc_id").alias(kept_id), F.col("kept.digest").alias(kept_digest))
+    found = docs.withColumn(own, F.md5(F.col("text")))
+    found = found.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & F.col(own).eqNullSafe(F.col(kept_digest)), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)

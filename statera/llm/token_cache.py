@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statera.llm.common import importable, materialise, text_or_empty
+from statera.llm.common import importable, listed, materialise, publish, text_or_empty
 
 #: Texts that are encoded at once: their ids are Python lists.
 AT_ONCE = 64
@@ -46,23 +46,24 @@ def version_of(path: str) -> str:
 
 
 class TokenCache:
-    """Counts by (tokenizer version, content digest) in a Parquet table at ``path``, which only grows."""
+    """Counts by (tokenizer version, content digest) in Parquet tables below ``path``, which only grow.
+
+    Each append is a folder ``version=<v>/run=<id>`` that appears whole by one rename, so any number of writers may append at once.
+    """
 
     def __init__(self, spark: SparkSession, path: str, tokenizer: str) -> None:
         self.spark, self.path, self.tokenizer, self.version = spark, path, tokenizer, version_of(tokenizer)
+        self.runs = f"{path}/version={self.version}"
 
     def stored(self) -> DataFrame | None:
         """(digest, n_tokens) of this tokenizer version, one row for each digest, or None before the first append.
 
         Two writers that miss a digest at once both append it, with the same count; one of the rows counts.
         """
-        try:
-            found = self.spark.read.schema("digest binary, n_tokens long, version string").parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not any(n.startswith("run=") for n in listed(self.spark, self.runs)):
             return None
-        return found.where(F.col("version") == self.version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+        found = self.spark.read.schema("digest binary, n_tokens long").parquet(f"{self.runs}/run=*")
+        return found.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     def add_misses(self, contents: DataFrame) -> None:
         """Encode the distinct contents (digest, text) that are not stored and append their counts.
@@ -86,7 +87,7 @@ class TokenCache:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
         counted = misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
-        counted.withColumn("version", F.lit(self.version)).write.mode("append").partitionBy("version").parquet(self.path)
+        publish(self.spark, f"{self.runs}/run={uuid.uuid4().hex}", counted.write.parquet)
 
 
 def token_counts(docs: DataFrame, cache: TokenCache, limit: int = 4096) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from statera.llm.common import importable, text_or_empty
+from statera.llm.common import free_names, importable, text_or_empty
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features beside the words; a beginning is marked by an asterisk.
@@ -234,4 +234,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
     :func:`training_sample`; without any, all rows stay.
     """
     model = fit(training_sample(docs, labels, max_rows))
-    return docs.withColumn("__toxicity", model.column(F.col("text"))).where("__toxicity < 0.5").drop("__toxicity")
+    (score,) = free_names(docs, "__toxicity")
+    return docs.withColumn(score, model.column(F.col("text"))).where(F.col(score) < 0.5).drop(score)
