@@ -5,12 +5,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from statera import queries
 from statera.functions.expressions import number_of
 from statera.functions.ranking import rank_global, running_total
 from statera.operators import distribution, evaluate, evidence, fiscal, graph, ml, scenario, timeseries
 from statera.plans import risk
 from statera.sources import runs, sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def events(spark, rows):
     return spark.createDataFrame(rows, "event_id string, event_date timestamp_ntz, actor1_country string, actor2_country string, num_articles long, tone double, goldstein double")
@@ -305,3 +308,36 @@ def test_rows_come_in_order(spark):
     for rows, key in ((edges.collect(), lambda r: (-r.weight, -r.events, r.source, r.target)), (nodes.collect(), lambda r: (-r.total_weight, r.state))):
         assert list(map(key, rows)) == sorted(map(key, rows))
     assert all(r.degree == r.in_degree + r.out_degree for r in nodes.collect())
+
+
+def test_results_come_in_order(spark):
+    """The row hash of the SQL comparison ignores order."""
+    rows = queries.QUERIES["combined_gold"](spark, SF).select("date").collect()
+    assert [r.date for r in rows] == sorted(r.date for r in rows)
+    posterior = [r.posterior for r in queries.QUERIES["bayesian_evidence"](spark, SF).collect()]
+    assert posterior == sorted(posterior, reverse=True)
+    alerts = evaluate.top_alerts(spark.createDataFrame([("B", date(2024, 1, 1), 0.9), ("A", date(2024, 1, 1), 0.9), ("C", date(2024, 1, 1), 0.95)], "country string, date date, probability double"), k=2)
+    assert {r.country for r in alerts.where("alert = 1").collect()} == {"C", "A"}  # of equal ones the first by name
+
+
+def test_risk_pipeline_writes_and_keeps_models(spark, tmp_path):
+    """The files that it writes are what it returns; a second run loads the models of the first."""
+    start = date(2024, 1, 1)
+    days = [start + timedelta(days=i) for i in range(24)]
+    events = spark.createDataFrame([(d, c) for i, d in enumerate(days) for c in ("A", "B") for _ in range(1 + (i * (2 if c == "A" else 1)) % 5)], "event_date date, country string")
+    target = spark.createDataFrame([(d, c, int(i % 3 == 0)) for i, d in enumerate(days) for c in ("A", "B")], "date date, entity string, label int")
+    features, models = (risk.FeatureConfig("events_count", "events", 3),), (ml.ModelConfig("small", trees=2, depth=1),)
+    run = lambda n: risk.risk_pipeline({"events": events}, target, f"{tmp_path}/out{n}", features, models, f"{tmp_path}/models")
+    predictions, evidence = run(1)
+    rows = lambda df, *by: [tuple(r) for r in df.orderBy(*by).collect()]
+    first = rows(predictions.select("date", "country", "probability"), "date", "country")
+    assert len(first) == 48 and all(0 <= r[2] <= 1 for r in first)
+    stored = spark.read.parquet(f"{tmp_path}/out1/predictions").select("date", F.col("country").cast("string").alias("country"), "probability")
+    assert rows(stored, "date", "country") == first
+    assert rows(spark.read.json(f"{tmp_path}/out1/evidence").select(*sorted(evidence.columns)), "country") == rows(evidence.select(*sorted(evidence.columns)), "country")
+    outcomes = spark.read.parquet(f"{tmp_path}/out1/outcomes")
+    assert rows(outcomes.select("entity", "outcome"), "entity") == [("A", int(23 % 3 == 0)), ("B", int(23 % 3 == 0))]
+    assert ml.model_versions(f"{tmp_path}/models", models[0]) == [1]
+    again, _ = run(2)
+    assert rows(again.select("date", "country", "probability"), "date", "country") == first
+    assert ml.model_versions(f"{tmp_path}/models", models[0]) == [1]
