@@ -69,8 +69,8 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
 
 
 def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """``df`` with a row number from 1 within ``keys``: a window where every group fits one, else global ranks without those of the groups before."""
-    if largest_group(df, keys) <= WINDOW_ROWS:
+    """``df`` with a row number from 1 within ``keys``: a window where there are keys and every group fits one, else global ranks without those of the groups before."""
+    if keys and largest_group(df, keys) <= WINDOW_ROWS:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*map(col, keys)).orderBy(*order)).cast("long"))
     ranked = rank_global(df, [*(col(k).asc_nulls_first() for k in keys), *order], "__rank")
     first = ranked.groupBy(*map(col, keys)).agg(F.min("__rank").alias("__first"))
@@ -78,10 +78,10 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def running_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` up to and with the row within ``keys``: a window where every group fits one, else running totals without those of the groups before."""
+    """``df`` with the sum of ``value`` up to and with the row within ``keys``: a window where there are keys and every group fits one, else running totals without those of the groups before."""
     own = [*map(col, keys)]
     rows = materialise(df, "running")
-    if largest_group(rows, keys) <= WINDOW_ROWS:
+    if keys and largest_group(rows, keys) <= WINDOW_ROWS:
         return rows.withColumn(name, F.sum(value).over(W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     summed = running_total(rows, [*(c.asc_nulls_first() for c in own), *order], value, "__run")
     base = summed.groupBy(*own).agg(F.min(F.col("__run") - F.col(value)).alias("__base"))
@@ -98,7 +98,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: str, values: Sequen
     by = [col(order).asc_nulls_first(), *(col(v).asc_nulls_first() for v in values)]
     upto = lambda *own: W.partitionBy(*own).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
     own = [*map(col, keys)]
-    if largest_group(rows, keys) <= WINDOW_ROWS:
+    if keys and largest_group(rows, keys) <= WINDOW_ROWS:
         return rows.withColumns({v: F.last(col(v), ignorenulls=True).over(upto(*own)) for v in values})
     ranged = _ranges(rows, [*(col(k).asc_nulls_first() for k in keys), *by])
     at = F.struct(col(order), *map(col, values))
