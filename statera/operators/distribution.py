@@ -34,7 +34,8 @@ def _bracketed(df: DataFrame, value: str, q: int, by: list[str]) -> tuple[DataFr
     below = F.coalesce(F.array_max(F.filter(cut, lambda c: c < x)), F.lit(float("-inf")))
     dealt = with_group(values, sketch, by).select(*map(col, by), F.when(inside, x).otherwise(below).alias("__k"), (~inside).alias("__between"))
     counts = dealt.groupBy(*map(col, by), "__k", "__between").agg(F.count("*").alias("__c"))
-    ranked = running_in_group(counts, by, [F.col("__k"), F.col("__between")], "__c", "__r")
+    own = by or ["__whole"]  # a group like any other: what brackets hold of a table is small, or else spread
+    ranked = running_in_group(counts if by else counts.withColumn("__whole", F.lit(0)), own, [F.col("__k"), F.col("__between")], "__c", "__r").drop("__whole")
     return sketch.select(*map(col, by), "__n"), ranked.withColumn("__x", F.when(~F.col("__between"), F.col("__k")))
 
 
