@@ -11,6 +11,8 @@ from statera.llm.common import ordered_blocks, partitions, text_or_empty
 #: Bits of a packed value that hold a k-mer's position; the others hold its hash.
 POSITION_BITS = 31
 POSITION_MASK = (1 << POSITION_BITS) - 1
+#: Leading bits of a text's hash by which the rows of a frequent id are dealt.
+HOT_BITS = 6
 
 
 def _high(x: Column) -> Column:
@@ -70,22 +72,36 @@ def as_text(signature: str) -> Column:
 def with_next(docs: DataFrame, order: str, carry: list[str]) -> DataFrame:
     """``docs`` with next_<c> for c in ``carry``: its value in the row that follows by falling ``order``, after the last the first.
 
-    Nulls come last, ties go by the first carried column. Rows are dealt once, by ranges of ``order``; the first row of each range
-    also goes to the range before it, so no window spans the table.
+    Nulls come last, ties go by a hash of the first carried column, then by that. Rows are dealt once, by ranges of ``order``; the first row
+    of each range also goes to the range before it, so no window spans the table. A value that more rows have than a range is to hold is
+    dealt by leading bits of the hash; rows equal in ``order`` and the first carried column stay together.
     """
     n = 4 * partitions(docs.sparkSession)
-    ranged = docs.withColumn("__block", ordered_blocks(docs, order, n))
-    tops = ranged.groupBy("__block").agg(F.max(order).alias("__top"))
+    most = max(1, docs.count() // n)
+    hot = [r[0] for r in docs.groupBy(order).agg(F.count("*").alias("n")).where(F.col("n") > most).select(order).collect()]  # at most n, as each has over 1 / n of the rows
+    tie, value, some = F.xxhash64(carry[0]), F.col(order), sorted(x for x in hot if x is not None)
+    is_hot, below = F.lit(False), F.lit(0)
+    if some:
+        # ranges rise with ``order``: what lies between two hot values is a range of its own, and so is each class of a hot value
+        is_hot = F.coalesce(value.isin(some), F.lit(False))
+        below = F.coalesce(F.size(F.filter(F.array(*map(F.lit, some)), lambda x: x <= value)), F.lit(0))
+    if None in hot:
+        is_hot = is_hot | value.isNull()
+    between = F.when(value.isNull(), 0).otherwise(1) if None in hot else F.lit(1)
+    block = F.struct(ordered_blocks(docs, order, n).alias("range"), between.alias("known"), below.alias("below"), F.when(is_hot, 0).otherwise(1).alias("rest"), F.when(is_hot, F.shiftright(tie, 64 - HOT_BITS)).otherwise(0).alias("class"))
+    ranged = docs.withColumns({"__block": block, "__hot": is_hot})
+    tops = ranged.groupBy("__block").agg(F.max(order).alias("__top"), (F.max(F.when(F.col("__hot"), tie)) if hot else F.lit(None).cast("long")).alias("__first"))
     few = W.orderBy("__block")  # a row for each range
     above = F.coalesce(F.lead("__block").over(few), F.first("__block").over(few))
-    tops = tops.select("__block", "__top", above.alias("__to"), F.lead("__block").over(few).isNull().alias("__wrap"))
+    tops = tops.select("__block", "__top", "__first", above.alias("__to"))
     place = lambda b, g: F.struct(b.alias("block"), F.lit(g).alias("ghost"))
     own = F.array(place(F.col("__block"), 0))
-    copies = F.when(F.col(order).eqNullSafe(F.col("__top")), F.concat(own, F.array(place(F.col("__to"), 1)))).otherwise(own)
+    leads = value.eqNullSafe(F.col("__top")) & (~F.col("__hot") | (tie == F.col("__first")))
+    copies = F.when(leads, F.concat(own, F.array(place(F.col("__to"), 1)))).otherwise(own)
     dealt = ranged.join(F.broadcast(tops), "__block").withColumn("__at", F.explode(copies))
-    window = W.partitionBy("__at.block").orderBy("__at.ghost", F.col(order).desc_nulls_last(), carry[0])
+    window = W.partitionBy("__at.block").orderBy("__at.ghost", value.desc_nulls_last(), tie.desc(), carry[0])
     out = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in carry}).where("__at.ghost = 0")
-    return out.drop("__block", "__top", "__to", "__wrap", "__at")
+    return out.drop("__block", "__hot", "__top", "__first", "__to", "__at")
 
 
 def edit_report(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -93,7 +109,7 @@ def edit_report(docs: DataFrame, k: int = 5) -> DataFrame:
 
     The edited text is the text with its last third (whole code points, rounded down) replaced by as many from the start of the next
     document in falling doc_id order; a shorter next document gives all it has. Null texts are empty; an empty text has no entries
-    and is like another empty one (1.0). Null ids come last in that order, rows equal in id follow by text; repeated
+    and is like another empty one (1.0). Null ids come last in that order, rows equal in id follow by a hash of their text, then by text; repeated
     rows give a row each; an empty table gives none; other columns are ignored.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from statera.llm.common import groups, importable, ordered_blocks, partitions, text_or_empty
+from statera.llm.common import groups, importable, materialise, partitions, text_or_empty
 
 #: Ids in a chunk: fewest, mean beyond that (a power of two), most. Ids that the rolling hash sees: a power of two.
 FEWEST, MEAN, MOST, WINDOW = 256, 1024, 8192, 16
@@ -240,13 +240,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     # Chunks meet by digest. Recipes need not meet, so copies of a document are spread by its id.
     dealt = cut_up.repartition(partitions(spark), F.xxhash64("key", "doc_id")).mapInArrow(once, PARTS)
     dealt.write.option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/parts")
-    recipes = _parts(spark, path, 0).drop("ids")
-    block = ordered_blocks(recipes, "doc_id", 4 * partitions(spark))
-    numbered = recipes.withColumn("block", block)
+    recipes = _parts(spark, path, 0).drop("ids").select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place"))
+    # Ranges cut between rows of one id, or without one, and between equal rows too, which their place in the files tells apart.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key"), F.col("place")]
+    numbered = materialise(recipes.repartitionByRange(4 * partitions(spark), *order).withColumn("block", F.spark_partition_id()), "recipes")
     sums = numbered.groupBy("block").agg(F.sum("n").alias("ids"), F.count("*").alias("docs"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each block
     sums = sums.select("block", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs_before"))
-    own = W.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "key")
+    own = W.partitionBy("block").orderBy(*order)
     placed = numbered.join(F.broadcast(sums), "block").select(  # at most 4 rows for each shuffle partition
         "doc_id",
         (F.coalesce(F.sum("n").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("ids_before")).alias("start"),
