@@ -27,7 +27,7 @@ class ShardStore:
     aside and renamed into place, which fails if the version exists: readers see the old version or the new one, and of two
     writers one wins and the other starts again from the winner's version. That takes a file system with an atomic rename that does not
     overwrite, as HDFS and local disks have and plain object stores do not. Shards that a version dropped stay for its readers
-    until :meth:`expire`. Columns go by name; a column that some shards lack is null in their rows, and a column whose type differs
+    until :meth:`expire`, which also deletes what lost rounds and writers that died left. Columns go by name; a column that some shards lack is null in their rows, and a column whose type differs
     between shards is an error. Nulls, empty and long texts and repeated rows are rows like others; empty tables add no shard.
     """
 
@@ -131,17 +131,25 @@ class ShardStore:
         files = [r.file for r in self.manifest(version).select("file").collect()]
         return self.spark.read.schema(self.schema(version)).parquet(*files) if files else None
 
-    def expire(self) -> int:
-        """Delete versions but the last and the shards that only they list; the number of shards deleted."""
-        *old, last = self.versions() or [0]
-        if not old:
+    def expire(self, seconds: float = 86_400) -> int:
+        """Delete versions that another followed at least ``seconds`` ago, and shards at least that old that no version left lists; the number of shards deleted.
+
+        ``seconds`` is longer than any reader, compaction or append takes: a reader keeps its version's shards that long, and a
+        writer what it has written and not committed yet. Shards of rounds that another writer won, and of writers that died, go as well.
+        """
+        versions, home = self.versions(), f"{self.path}/data"
+        now = self.spark._jvm.java.lang.System.currentTimeMillis()
+        age = lambda path: (now - self._fs.getFileStatus(self._path(path)).getModificationTime()) / 1000
+        old = [v for v, after in zip(versions, versions[1:]) if age(f"{self.path}/manifest/{after}") >= seconds]
+        if not self._fs.exists(self._path(home)):
             return 0
-        listed = [self.manifest(v) for v in old]
-        every = listed[0]
-        for more in listed[1:]:
-            every = every.unionByName(more)
-        gone = [r.file for r in every.select("file").distinct().join(self.manifest(last), "file", "left_anti").collect()]
-        for v in old:
+        kept = [self.manifest(v).select("file") for v in versions if v not in old]
+        shard = F.regexp_extract("file", "[^/]+/[^/]+$", 0)  # run and file, however the scheme is written
+        listed = reduce(DataFrame.unionByName, kept, self.manifest(0).select("file")).select(shard.alias("shard")).distinct()
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(home)
+        aged = found.where(F.col("modificationTime") <= F.timestamp_millis(F.lit(now - int(1000 * seconds))))
+        gone = [r.file for r in aged.select(F.col("path").alias("file")).withColumn("shard", shard).join(listed, "shard", "left_anti").collect()]
+        for v in old:  # versions before their shards, so no version lists what isn't there
             self._fs.delete(self._path(f"{self.path}/manifest/{v}"), True)
         for f in gone:
             self._fs.delete(self._path(f), False)

@@ -167,10 +167,25 @@ def test_compaction(spark, tmp_path):
     assert store.read(3).count() == docs.where("doc_id % 6 < 3").count()
     with pytest.raises(Exception, match="exists"):
         store._commit(store.manifest(), store.versions()[-1])
-    gone = store.expire()
+    assert store.expire() == 0  # none is a day old
+    gone = store.expire(0)
     assert before > gone >= before - len(after) and len(store.versions()) == 1 and store.read().count() == docs.count()
 
 
+def test_expire_takes_what_lost_writers_left(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/shards")
+    assert store.expire(0) == 0
+    rows = spark.range(40)
+    store.append(rows.where("id < 20"), 5)
+    store.append(rows.where("id >= 20"), 5)
+    lost = store._written(rows, 10).count()  # written, never committed
+    assert store.expire() == 0 and store.versions() == [1, 2] and store.read(1).count() == 20
+    assert store.expire(0) >= lost and store.versions() == [2]  # and files without rows, which no version lists
+    left = {f"{f.parent.name}/{f.name}" for f in tmp_path.glob("shards/data/*/*.parquet")}
+    assert left == {"/".join(r.file.split("/")[-2:]) for r in store.manifest().collect()}
+    assert sorted(r.id for r in store.read().collect()) == list(range(40))
+
+
 def test_two_compactors_and_an_append_between(spark, tmp_path, monkeypatch):
     one, two = (compaction.ShardStore(spark, f"file://{tmp_path}/shards") for _ in range(2))
     rows = spark.range(200).withColumn("x", F.col("id") * 2)
@@ -522,9 +537,22 @@ def test_packing_is_whole(spark, table):
         b.sort(key=lambda x: x[:2])
         assert b[-1][1] <= 100 and all(x[1] <= y[0] for x, y in zip(b, b[1:]))
         assert len({source[x[2]] for x in b}) == len(b)
+    cluster = {r.doc_id: (r.text or "").strip(" ").lower() for r in docs.collect() if r.text is not None}
+    for b in spans.values():
+        own = [cluster[x[2]] for x in b if x[2] in cluster]
+        assert len(set(own)) == len(own)
     assert packing.packed_documents(empty_docs(spark)).count() == 0
 
 
+def test_copies_of_different_sources_never_share_a_bin(spark):
+    docs = spark.createDataFrame([(i, "two words" if i % 3 else f"other text {i}", f"s{i % 40}") for i in range(200)], "doc_id long, text string, source string")
+    bins = {}
+    for r in packing.pack(docs, packing.content_cluster(), 100, 50).collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    assert all(sum(d % 3 > 0 for d in b) <= 1 and len({d % 40 for d in b}) == len(b) for b in bins.values())
+    assert any(len(b) > 1 for b in bins.values())
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark):
