@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from statera.llm.common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(b, m) for each edge, m from ``least`` (a, m). The null-safe comparison has the groups dealt anew, the form in which AQE splits a hub's edges."""
+    named = least.select(F.col("a").alias("node"), "m")
+    return edges.join(named, F.col("a").eqNullSafe(F.col("node"))).select("b", "m")
+
+
+def large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them. Here a > b holds in every edge."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = _with_least(edges, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -32,7 +38,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)).distinct(), label)
+        edges = materialise(small_star(large_star(edges)).distinct(), label)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from statera.llm import order_minhash, token_store
+from statera.llm.common import materialise
+from statera.llm.components import components, large_star
 
 SCHEMA = "doc_id long, text string"
 
@@ -55,3 +57,23 @@ def test_recipes_of_hot_ids_stay_spread(spark, tmp_path: Path):
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and sorted(ids, key=str) == sorted((r[0] for r in rows), key=str)
     blocks = [r["count"] for r in spark.read.parquet(f"{path}/recipes").groupBy("block").count().collect()]
     assert max(blocks) < len(rows) / 5
+
+
+def test_hub_of_a_star_is_split(spark):
+    """The edges of a node that all others are tied to are joined in more tasks than one."""
+    n = 100_000
+    edges = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.createDataFrame([(n, n - 1)], "a long, b long"))
+    edges = materialise(edges, "star")
+    small = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
+    settings = {**dict.fromkeys(small, "16k"), "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        tied = large_star(edges)
+        # n is tied to the smallest neighbour of n - 1, and so is n - 1
+        assert len(tied.collect()) == n and tied.where("b <> 0").count() == 0
+        assert "SortMergeJoin(skew=true)" in tied._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert components(edges).where("root <> 0").count() == 0
