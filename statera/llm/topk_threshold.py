@@ -18,40 +18,45 @@ from statera.llm.common import importable, materialise
 ROW_BLOCK, QUERY_BLOCK, SCORES_AT_ONCE = 8192, 1024, 1 << 22
 #: Hash classes by which a vector that many rows share is dealt.
 SALTS = 16
+#: Vectors with components below this are multiplied apart from larger ones.
+SMALL, LEAST_LONG = 1 << 20, -(1 << 63)
 
 
-def packed(x: np.ndarray) -> bytes | None:
-    """floor(x) as little-endian integers of the smallest size that holds them all, that size first; None if a score may not fit a long."""
-    x = np.floor(x)
-    most = float(np.abs(x).max(initial=0))
-    if len(x) * most * most >= 2**63:
-        return None
-    size = next(n for n in (1, 2, 4, 8) if most < 1 << (8 * n - 1))
-    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+def packed(x: np.ndarray, scale: int = 1) -> bytes:
+    """floor(scale * x) as little-endian integers of the smallest size that holds them all, that size first; 0 and decimal numbers if a long doesn't hold them."""
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    most = float(np.abs(y).max(initial=0))
+    size = next((n for n in (1, 2, 4, 8) if most < 1 << (8 * n - 1)), 0)
+    if not size:
+        return b"\0" + b",".join(b"%d" % (int(b) if np.isfinite(b) else int(a) * scale) for a, b in zip(x.tolist(), y.tolist()))
+    return bytes([size]) + y.astype(f"<i{size}").tobytes()
 
 
 def unpacked(code: bytes) -> np.ndarray:
+    """The integers of a code: longs, or Python's where a long doesn't hold them."""
+    if not code[0]:
+        return np.array([int(n) for n in code[1:].split(b",")], object)
     return np.frombuffer(code, f"<i{code[0]}", offset=1).astype(np.int64)
 
 
 def coded(rows: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, code) of rows (vec_id, embedding): floor(scale * x) of each component, packed.
 
-    Rows without an id, with a null vector or with a null, NaN or infinite component take no part, nor does a vector so long that its
-    inner product with its like may not fit a long (components times the square of the largest is 2^63 or more). Of rows
-    with one id but different vectors that of the smallest code stays.
+    Rows without an id, with a null vector or with a null, NaN or infinite component take no part. Of rows with one id but different
+    vectors that of the smallest code stays.
     """
     importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = [packed(scale * np.array(x, np.float64)) for x in b.column(1).to_pylist()]
+            codes = [packed(np.array(x, np.float64), scale) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["vec_id", "code"])
 
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     kept = kept.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).mapInArrow(run, "vec_id long, code binary")
-    return kept.where("code is not null").groupBy("vec_id").agg(F.min("code").alias("code"))
+    return kept.groupBy("vec_id").agg(F.min("code").alias("code"))
 
 
 def vector_classes(codes: DataFrame, keep: int) -> DataFrame:
@@ -68,18 +73,38 @@ def vector_classes(codes: DataFrame, keep: int) -> DataFrame:
 def _matrix(codes: pd.Series) -> np.ndarray:
     """Vectors as rows, shorter ones filled up with zeros."""
     rows = [unpacked(c) for c in codes]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), object if any(r.dtype == object for r in rows) else np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
-def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles while their sums stay below 2^53, else in longs."""
-    width = min(q.shape[1], v.shape[1])
-    q, v = q[:, :width], v[:, :width]
-    bound = width * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0))
-    return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else q @ v.T
+def _products(q: np.ndarray, v: np.ndarray, parts: int = 1) -> np.ndarray:
+    """Exact integer products: in doubles while their sums stay below 2^53, in longs while those of ``parts`` of them fit one, else in Python's integers."""
+    bound = q.shape[1] * int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0))
+    if bound < 2**53:
+        return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
+    if parts * bound < 2**63:
+        return q.astype(np.int64) @ v.T.astype(np.int64)
+    small = [np.abs(x).max(axis=1, initial=0) < SMALL for x in (q, v)]
+    if small[0].any() and small[1].any() and not (small[0].all() and small[1].all()):
+        # only products with a large vector are slow
+        out = np.empty((len(q), len(v)), object)
+        for i in (small[0], ~small[0]):
+            for j in (small[1], ~small[1]):
+                out[np.ix_(i, j)] = _products(q[i], v[j], parts)
+        return out
+    return q.astype(object) @ v.T.astype(object)
+
+
+def _fits(scores: np.ndarray) -> np.ndarray:
+    """Which scores a long holds."""
+    return (scores >= LEAST_LONG) & (scores <= -(LEAST_LONG + 1)) if scores.dtype == object else np.ones(scores.shape, bool)
+
+
+def _as_longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; what is beyond counts as the longs' bound, which keeps all comparisons with longs."""
+    return np.clip(scores, LEAST_LONG, -(LEAST_LONG + 1)).astype(np.int64) if scores.dtype == object else scores
 
 
 def _block(name: str, n: int) -> Column:
@@ -98,11 +123,11 @@ def _cells(classes: DataFrame, queries: DataFrame, blocks: tuple[int, int], extr
 def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the ``n`` best scores of each row, ties to the smaller id."""
     if scores.shape[1] > n:
-        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        least = ~np.partition(~scores, n - 1, axis=1)[:, n - 1]
         i, j = np.nonzero(scores >= least[:, None])
     else:
         i, j = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
-    order = np.lexsort((ids[j], -scores[i, j], i))
+    order = np.lexsort((ids[j], ~scores[i, j], i))
     i, j = i[order], j[order]
     first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < n
     return i[first], j[first]
@@ -115,7 +140,7 @@ def _bands(rows: pd.DataFrame, asked: pd.DataFrame, parts: int) -> Iterator[tupl
     for start in range(0, len(asked), band) if len(rows) else ():
         q = u[start : start + band]
         width = min(q.shape[1], v.shape[1])
-        yield asked.iloc[start : start + band], [_products(q[:, p:width:parts], v[:, p:width:parts]) for p in range(parts)]
+        yield asked.iloc[start : start + band], [_products(q[:, p:width:parts], v[:, p:width:parts], parts) for p in range(parts)]
 
 
 def local_lists(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int) -> pd.DataFrame:
@@ -123,7 +148,7 @@ def local_lists(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int)
     out = [pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "partial": np.empty(0, np.int64), "part": np.empty(0, np.int32)})]
     ids = rows["class_id"].to_numpy()
     for some, lists in _bands(rows, asked, parts):
-        for part, scores in enumerate(lists):
+        for part, scores in enumerate(map(_as_longs, lists)):
             i, j = _best(scores, ids, keep)
             out.append(pd.DataFrame({"q": some["class_id"].to_numpy()[i], "class_id": ids[j], "partial": scores[i, j], "part": np.int32(part)}))
     return pd.concat(out)
@@ -138,12 +163,12 @@ def resolved_cell(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int
     out = [pd.DataFrame({"q": np.empty(0, np.int64), "class_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
     ids = rows["class_id"].to_numpy()
     for some, lists in _bands(rows, asked, parts):
-        given = np.logical_or.reduce([x >= some["least"].to_numpy()[:, None] for x in lists])
+        given = np.logical_or.reduce([_as_longs(x) >= some["least"].to_numpy()[:, None] for x in lists])
         i, j = np.nonzero(given)
         scores = sum(x[i, j] for x in lists)
-        good = scores >= some["cutoff"].to_numpy()[i]
-        i, j, scores = i[good], j[good], scores[good]
-        order = np.lexsort((ids[j], -scores, i))
+        good = _fits(scores) & (_as_longs(scores) >= some["cutoff"].to_numpy()[i])
+        i, j, scores = i[good], j[good], _as_longs(scores[good])
+        order = np.lexsort((ids[j], ~scores, i))
         i, j, scores = i[order], j[order], scores[order]
         first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < keep
         out.append(pd.DataFrame({"q": some["class_id"].to_numpy()[i[first]], "class_id": ids[j[first]], "score": scores[first]}))
@@ -151,15 +176,16 @@ def resolved_cell(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int
 
 
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Inner products of codes."""
-    pairs = ((unpacked(x), unpacked(y)) for x, y in zip(a, b))
-    return pd.Series([int(x[: len(y)] @ y[: len(x)]) for x, y in pairs], dtype="int64")
+    """Inner products of codes; none where a long doesn't hold it."""
+    pairs = ((unpacked(x)[None], unpacked(y)[None]) for x, y in zip(a, b))
+    products = [_products(x[:, : y.shape[1]], y[:, : x.shape[1]])[0, 0] for x, y in pairs]
+    return pd.Series([int(p) if LEAST_LONG <= p < -LEAST_LONG else None for p in products], dtype="Int64")
 
 
 def _resolved(pairs: DataFrame, classes: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact scores (q, class_id, score) of pairs (q, class_id)."""
     joined = pairs.join(classes.select("class_id", F.col("code").alias("v")), "class_id").join(queries.select(F.col("class_id").alias("q"), F.col("code").alias("u")), "q")
-    return joined.select("q", "class_id", pandas_udf(_scores, "long")("u", "v").alias("score"))
+    return joined.select("q", "class_id", pandas_udf(_scores, "long")("u", "v").alias("score")).where("score is not null")
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale: int = 64) -> DataFrame:
@@ -173,7 +199,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
 
     Equal vectors are searched once: classes of them are scored, and the k + 1 smallest vec_ids of a class stand for it, which no
     query can tell from all. Ties go to the smaller vec_id. ``is_query``: a condition on vec_id. Rows that can't be scored
-    (see :func:`coded`) take no part; a shorter vector counts as filled up with zeros; rows repeated with one vec_id are one row (of
+    (see :func:`coded`) take no part, and a pair whose score no long holds isn't ranked, while its vectors' other pairs are; a shorter vector counts as filled up with zeros; rows repeated with one vec_id are one row (of
     different vectors that of the smallest code); fewer than k others give all. An empty table gives no rows.
     """
     vectors = materialise(coded(rows, scale), "topk-codes")
@@ -195,9 +221,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, parts: int = 2, scale:
     in_query = W.partitionBy("q").orderBy(F.col("score").desc(), "class_id")
     cutoffs = _resolved(entries, classes, queries).withColumn("n", F.row_number().over(in_query)).where(F.col("n") == k + 1)
     # without k + 1 rows to score there is no cutoff: all entries count
-    lowest = F.lit(-(1 << 60))
+    lowest = F.lit(LEAST_LONG)
     cutoffs = queries.join(cutoffs.select(F.col("q").alias("class_id"), "score"), "class_id", "left").withColumn("cutoff", F.coalesce("score", lowest))
-    cutoffs = materialise(cutoffs.withColumn("least", F.when(F.col("cutoff") == lowest, lowest).otherwise(F.ceil(F.col("cutoff") / parts))).select("class_id", "code", "cutoff", "least"), "topk-cutoffs")
+    # whole division goes towards zero: never above cutoff / parts by one or more, whatever the cutoff's size
+    least = F.when(F.col("cutoff") == lowest, lowest).otherwise(F.expr(f"cutoff div {parts}"))
+    cutoffs = materialise(cutoffs.withColumn("least", least).select("class_id", "code", "cutoff", "least"), "topk-cutoffs")
     scored = _cells(classes, cutoffs, blocks, ["cutoff", "least"]).applyInPandas(resolve, "q long, class_id long, score long")
     leading = scored.withColumn("n", F.row_number().over(in_query)).where(F.col("n") <= k + 1)
     members = leading.join(classes.select("class_id", "members"), "class_id").select("q", "score", F.explode("members").alias("vec_id"))

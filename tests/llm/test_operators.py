@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force on small tables, odd rows among them."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -230,11 +231,12 @@ def test_compacted_rows_with_odd_values(spark):
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 def brute_top(rows, k):
-    v = {i: np.floor(64 * np.array(x, float)).astype(int) for i, x in rows}
+    v = {i: [int(c) * 64 if abs(c) >= 2**53 else math.floor(64 * c) for c in x] for i, x in rows}
     out = []
     for q in v:
         if q % 20 == 0:
-            best = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:k]
+            scores = ((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)
+            best = sorted(s for s in scores if -(1 << 63) <= -s[0] < 1 << 63)[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -250,13 +252,27 @@ def test_top_k_is_exact(spark, parts):
     assert sorted(map(tuple, got.collect())) == brute_top([(i, np.float32(x).tolist()) for i, x in rows], 7)
 
 
-def test_top_k_of_huge_components_and_repeated_ids(spark):
+@pytest.mark.parametrize("parts", [1, 2])
+def test_top_k_of_huge_components_and_repeated_ids(spark, parts):
+    """Pairs whose score no long holds aren't ranked, their vectors' other pairs are; partial scores may be beyond a long."""
     big = 2.0**20
     rows = [(0, [1.0, 2.0]), (1, [big, 0.0]), (2, [1e25, 0.0]), (3, [3.0]), (4, [0.5, 1.0]), (4, [0.25, 1.0]), (4, [0.25, 1.0]), (20, [big, -1.0])]
-    got = topk_threshold.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5)
-    one = [(i, x + [0.0] * (2 - len(x))) for i, x in rows if i not in (2, 4)] + [(4, [0.25, 1.0])]  # vec_id 2 has no score that fits a long
-    assert sorted(map(tuple, got.collect())) == brute_top(one, 5)
-    assert topk_threshold.packed(np.array([1e25])) is None and topk_threshold.unpacked(topk_threshold.packed(np.array([-129.5, 3]))).tolist() == [-130, 3]
+    rows += [(40, [0.0, 1.0]), (5, [1.7e308, 0.5]), (60, [2e10, 2e10]), (6, [3e10, -3e10]), (7, [-(2.0**57), 0.0]), (80, [1.0 / 64, 0.0]), (8, [2.0**57, -1.0])]
+    got = topk_threshold.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, parts)
+    one = [(i, x) for i, x in rows if i != 4] + [(4, [0.25, 1.0])]
+    want = brute_top(one, 20)
+    assert sorted(map(tuple, got.collect())) == want and {2, 5, 6, 7, 8} <= {i for _, _, i, _ in want} and (80, 7, -(1 << 63)) in {(q, i, s) for q, _, i, s in want}
+    for x, integers in (([-129.5, 3.0], [-130, 3]), ([1e25, -0.5], [int(1e25), -1]), ([2.0**62], [2**62]), ([-(2.0**63)], [-(2**63)])):
+        assert topk_threshold.unpacked(topk_threshold.packed(np.array(x))).tolist() == integers
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_top_k_of_large_scores_is_exact(spark, parts):
+    """Scores near a long's bounds, where doubles round."""
+    rng = np.random.default_rng(parts)
+    rows = [(i, [float(x) for x in rng.integers(-(2**24), 2**24, 4)]) for i in range(150)]
+    got = topk_threshold.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7, parts)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 7)
 
 
 def test_top_k_of_few_rows(spark):
