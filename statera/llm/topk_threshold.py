@@ -177,9 +177,13 @@ def resolved_cell(rows: pd.DataFrame, asked: pd.DataFrame, parts: int, keep: int
 
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     """Inner products of codes; none where a long doesn't hold it."""
-    pairs = ((unpacked(x)[None], unpacked(y)[None]) for x, y in zip(a, b))
-    products = [_products(x[:, : y.shape[1]], y[:, : x.shape[1]])[0, 0] for x, y in pairs]
-    return pd.Series([int(p) if LEAST_LONG <= p < -LEAST_LONG else None for p in products], dtype="Int64")
+    u, v = _matrix(a), _matrix(b)
+    width = min(u.shape[1], v.shape[1])
+    u, v = u[:, :width], v[:, :width]
+    if width * int(np.abs(u).max(initial=0)) * int(np.abs(v).max(initial=0)) < 2**63:
+        return pd.Series(np.einsum("ij,ij->i", u.astype(np.int64), v.astype(np.int64)), dtype="Int64")
+    products = (u.astype(object) * v.astype(object)).sum(axis=1)
+    return pd.Series([int(p) if good else None for p, good in zip(products, _fits(products))], dtype="Int64")
 
 
 def _resolved(pairs: DataFrame, classes: DataFrame, queries: DataFrame) -> DataFrame:
