@@ -27,6 +27,9 @@ from statera.sources.storage import listed, materialise, publish, remove
 
 T = TypeVar("T")
 
+#: Rows of a training table for each task of a fit.
+TASK_ROWS = 1 << 16
+
 
 @dataclass
 class ModelConfig:
@@ -83,6 +86,11 @@ def _together(jobs: Sequence[Callable[[], T]], at_once: int) -> list[T]:
         return [found.get() for found in [pool.apply_async(inherit(job)) for job in jobs]]
 
 
+def _by_rows(data: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``data``, written in as many parts as they need tasks. A fit runs several jobs for each tree, and each job a task for each part, full or empty."""
+    return materialise(data.repartition(-(-n // TASK_ROWS), "date", "entity"), "fit")
+
+
 def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 3, at_once: int = 3) -> TrainedModel:
     """Gradient-boosted trees, calibrated by isotonic regression on contiguous folds of each class.
 
@@ -95,21 +103,19 @@ def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds:
         return TrainedModel(config, features, [], {"constant": float(next(iter(counts), 0.0))})
     trees = Pipeline(stages=[_assembler(features), GBTClassifier(maxIter=config.trees, stepSize=config.step, maxDepth=config.depth, seed=config.seed)])
     if min(counts.values()) < folds:
-        return TrainedModel(config, features, [(trees.fit(data), None)])
+        return TrainedModel(config, features, [(trees.fit(_by_rows(data, sum(counts.values()))), None)])
     parts = []
     for label, n in sorted(counts.items()):
         ranked = rank_global(data.where(F.col("label") == label), [F.col("date"), F.col("entity")], "__rank")
         parts.append(ranked.withColumn("__fold", F.floor((F.col("__rank") - 1) * folds / n).cast("int")).drop("__rank"))
-    split = reduce(DataFrame.unionByName, parts).persist()
+    split = _by_rows(reduce(DataFrame.unionByName, parts), sum(counts.values()))
 
     def fit(k: int) -> tuple[Model, IsotonicRegressionModel]:
         model = trees.fit(split.where(F.col("__fold") != k))
         held = model.transform(split.where(F.col("__fold") == k)).select("label", vector_to_array("probability")[1].alias("p"))
         return model, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
 
-    members = _together([partial(fit, k) for k in range(folds)], at_once)
-    split.unpersist()
-    return TrainedModel(config, features, members)
+    return TrainedModel(config, features, _together([partial(fit, k) for k in range(folds)], at_once))
 
 
 def train_mlp(data: DataFrame, config: ModelConfig, names: Sequence[str]) -> TrainedModel:
