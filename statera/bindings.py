@@ -77,6 +77,16 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace('"order"', "`order`"), **used)
 
 
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGENTS with means that no order of rows changes: sums go through decimals where the prices fit.
+
+    Doubles summed in another order differ in their last bits, so equal agents would lie on both sides of a quantile that falls among them.
+    """
+    exact = "TRY_CAST(o_totalprice AS DECIMAL(28, 9))"
+    mean = f"CASE WHEN count({exact}) = count(o_totalprice) THEN CAST(sum({exact}) AS DOUBLE) / count(o_totalprice) ELSE avg(o_totalprice) END"
+    return bound(spark, sf_dir, AGENTS.replace("avg(o_totalprice)", mean))
+
+
 def oracle(sql: str) -> str:
     """A binding for DuckDB."""
     return sql.format(**{t: t for t in TABLES})

@@ -361,7 +361,7 @@ def sentiment_by_decile(spark, d):
 
 @query("winners_losers", f"SELECT bin AS cluster, round(avg(delta_disposable), 4) AS mean_delta, count(*) AS count FROM {_cut(AGENTS, 'delta_disposable', 5)} GROUP BY bin")
 def winners_losers(spark, d):
-    return distribution.winners_losers(bound(spark, d, B.AGENTS)).withColumn("mean_delta", F.round("mean_delta", 4))
+    return distribution.winners_losers(B.agents(spark, d)).withColumn("mean_delta", F.round("mean_delta", 4))
 
 
 def _gini_sql(source: str, value: str, by: str = "") -> str:
@@ -550,7 +550,7 @@ LEFT JOIN ({_gini_sql(AGENTS, 'baseline_disposable', 'run_id')}) a USING (run_id
 
 @query("scenario_kpis", f"SELECT run_id, {', '.join(f'round({k}, 4) AS {k}' for k in scenario.KPIS)} FROM ({KPI})")
 def scenario_kpis(spark, d):
-    return rounded(scenario.scenario_kpis(bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS)), 4)
+    return rounded(scenario.scenario_kpis(bound(spark, d, B.RUNS), B.agents(spark, d)), 4)
 
 
 def _kpi_sql(value: str, q: int) -> str:
@@ -564,7 +564,7 @@ _MEAN = f"(SELECT avg(average_disposable) FROM ({AGENTS}) WHERE run_id = 'F')"
 UNION ALL SELECT 'sentiment_by_decile', bin, round(least(greatest(55 + 40 * (avg(average_disposable) - {_MEAN}) / {_MEAN}, 0), 100), 4), NULL FROM ({_kpi_sql('average_disposable', 10)}) GROUP BY bin
 UNION ALL SELECT 'winners_losers', bin, round(avg(delta_disposable), 4), count(*) FROM ({_kpi_sql('delta_disposable', 5)}) WHERE bin IS NOT NULL GROUP BY bin""", digits=4)
 def kpi_tables(spark, d):
-    made = scenario.kpi_tables(bound(spark, d, B.AGENTS).where("run_id = 'F'"))
+    made = scenario.kpi_tables(B.agents(spark, d).where("run_id = 'F'"))
     none = F.lit(None).cast("long").alias("count")
     of = lambda name, key, value, n: made[name].select(F.lit(name).alias("part"), F.col(key).alias("bin"), F.col(value).alias("value"), n)
     return of("consumption_by_decile", "bin", "mean", F.col("count")).unionByName(of("sentiment_by_decile", "bin", "sentiment", none)).unionByName(of("winners_losers", "cluster", "mean_delta", F.col("count")))
@@ -572,13 +572,13 @@ def kpi_tables(spark, d):
 
 @query("kpi_delta", f"SELECT {', '.join(f'round(b.{k} - a.{k}, 4) + 0.0 AS {k}' for k in scenario.KPIS)} FROM (SELECT * FROM ({KPI}) WHERE run_id = 'F') a CROSS JOIN (SELECT * FROM ({KPI}) WHERE run_id = 'O') b")
 def kpi_delta(spark, d):
-    k = scenario.scenario_kpis(bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS))
+    k = scenario.scenario_kpis(bound(spark, d, B.RUNS), B.agents(spark, d))
     return rounded(scenario.kpi_delta(k.where("run_id = 'F'"), k.where("run_id = 'O'")), 4)
 
 
 @query("best_run", f"SELECT run_id, round(sentiment - 100 * unemployment_rate, 6) AS reward FROM ({KPI}) ORDER BY 2 DESC, ascii(run_id) LIMIT 1")
 def best_run(spark, d):
-    k = scenario.scenario_kpis(bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS)).withColumn("at", F.ascii("run_id"))
+    k = scenario.scenario_kpis(bound(spark, d, B.RUNS), B.agents(spark, d)).withColumn("at", F.ascii("run_id"))
     return scenario.best_run(k, F.col("sentiment") - 100 * F.col("unemployment_rate"), "at").select("run_id", "reward")
 
 
@@ -808,7 +808,7 @@ def export_csv(spark, d):
 def run_tables(spark, d):
     path = scratch(spark)
     tables = runs.RunTables(spark, path)
-    timeline, agents = bound(spark, d, B.RUNS), bound(spark, d, B.AGENTS)
+    timeline, agents = bound(spark, d, B.RUNS), B.agents(spark, d)
     ids = [tables.store(f"run {k}", B.policies(spark).where("policy = 'base'"), timeline.where(F.col("run_id") == k), agents.where(F.col("run_id") == k)) for k in ("O", "P", "F")]
     header, t, a = tables.fetch(ids[2])
     out = tables.export(ids[2], f"{path}/export")

@@ -1,11 +1,14 @@
 """What a step costs follows its rows, not the session's settings."""
 
 import datetime
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
+from statera import bindings as B
 from statera.operators import ml
+from statera.queries import QUERIES
 
 
 @pytest.fixture()
@@ -31,3 +34,22 @@ def test_trees_on_few_rows_take_few_tasks(wide):
     shown = ml.predict([model], data)
     assert shown.count() == 60 and shown.where("probability between 0 and 1").count() == 60
     assert shown.agg(F.min("date")).first()[0] == datetime.datetime(2024, 1, 1)
+
+
+def test_equal_agents_share_a_cluster_whatever_the_order_of_their_orders(spark, tmp_path):
+    rows, agent = [], 0
+    for base in range(11):
+        for prices in itertools.permutations([100.1 + base, 200.2 + 3 * base, 400.7 + 8 * base, 0.3]):
+            agent += 1
+            rows += [(agent, "F", p, datetime.datetime(1995, 1, 1)) for p in prices]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    # each quantile falls among 24 equal agents
+    assert sorted((r["cluster"], r["count"]) for r in QUERIES["winners_losers"](spark, str(tmp_path)).collect()) == [(0, 72), (1, 48), (2, 48), (3, 48), (4, 48)]
+
+
+def test_agents_without_a_price_that_fits_decimals(spark, tmp_path):
+    rows = [(1, "F", 1e25), (1, "F", 3e25), (2, "F", float("nan")), (2, "F", 1.0), (3, "F", None), (4, "F", 2.0), (4, "F", None)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["agent_id"]: r["average_disposable"] for r in B.agents(spark, str(tmp_path)).collect()}
+    assert found[1] == 2e25 and found[2] != found[2] and found[3] is None and found[4] == 2.0
