@@ -82,7 +82,8 @@ def read_feed(spark: SparkSession, path: str, root: Sequence[str] = ("data", "re
     may hold payloads of all shapes. ``schema`` is that of a record; without it the columns are the keys of all records, which takes a look at the whole input first; keys that
     records lack are NULL. Without any record there are no columns. What is no object, and text that is no JSON, is not lost but listed by :func:`unread_payloads`.
     """
-    records = _payloads(spark, path, root, lines).select(F.explode("records").alias("record")).where(_is_object(F.col("record")))
+    # the outer form: of the plain one Spark infers a filter on the records' number below the parsing, which then runs again for each mention of a payload
+    records = _payloads(spark, path, root, lines).select(F.explode_outer("records").alias("record")).where(_is_object(F.col("record")))
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema if schema is not None else _inferred(records)
     return records.select(*(_value(keys, leaf).alias(".".join(keys)) for keys, leaf in _leaves(kind)))
 
@@ -90,7 +91,8 @@ def read_feed(spark: SparkSession, path: str, root: Sequence[str] = ("data", "re
 def unread_payloads(spark: SparkSession, path: str, root: Sequence[str] = ("data", "results"), lines: bool = False) -> DataFrame:
     """(value, records) of what :func:`read_feed` can't give rows of: payloads that are no JSON (records: NULL), and those with records that are no objects (their number)."""
     odd = F.size(F.filter("records", lambda r: ~_is_object(r)))
-    found = _payloads(spark, path, root, lines).select("value", F.when(F.col("payload").isNotNull(), odd).alias("records"))
+    number = F.when(F.col("payload").isNotNull(), odd)
+    found = _payloads(spark, path, root, lines).select("value", F.explode_outer(F.array(number)).alias("records"))  # as in read_feed: a filter on it stays above the parsing
     return found.where("records is null or records > 0")
 
 

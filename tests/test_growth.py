@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from statera import bindings as B
 from statera.operators import ml
 from statera.queries import QUERIES
+from statera.sources import feeds
 
 
 @pytest.fixture()
@@ -53,3 +54,17 @@ def test_agents_without_a_price_that_fits_decimals(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     found = {r["agent_id"]: r["average_disposable"] for r in B.agents(spark, str(tmp_path)).collect()}
     assert found[1] == 2e25 and found[2] != found[2] and found[3] is None and found[4] == 2.0
+
+
+def test_a_payload_is_parsed_once_in_a_pass(spark, tmp_path, capsys):
+    lines = ['{"data":[{"a":1},{"a":2}]}', '[{"page":1},[{"a":3}]]', '{"results":[]}', '[]', "null", "broken", '{"data":[1,null]}', '{"a":4}']
+    (tmp_path / "feed.json").write_text("\n".join(lines))
+    rows = feeds.read_feed(spark, str(tmp_path), schema="a long", lines=True)
+    unread = feeds.unread_payloads(spark, str(tmp_path), lines=True)
+    assert sorted(r.a for r in rows.collect()) == [1, 2, 3, 4]
+    assert sorted((r.value, r.records) for r in unread.collect() if r.records) == [("null", 1), ('{"data":[1,null]}', 2)]
+    assert [r.value for r in unread.where("records is null").collect()] == ["broken"]
+    for df in (rows, unread):
+        capsys.readouterr()
+        df.explain("simple")
+        assert capsys.readouterr().out.count("parseJson(") == 1
