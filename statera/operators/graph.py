@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from statera.functions.expressions import finite, number_of
 from statera.sources.storage import materialise
 
+#: Rows for each task that finds distinct ids.
+TASK_ROWS = 1 << 19
+
 
 def _end(df: DataFrame, actor: str) -> Column:
     """Country of an actor, else of the event; upper case, blank as NULL."""
@@ -18,18 +21,29 @@ def _end(df: DataFrame, actor: str) -> Column:
 def graph_edges(events: DataFrame, weight: str = "num_articles", min_events: int = 1, min_weight: float | None = None, self_loops: bool = False) -> DataFrame:
     """source, target, events, weight, and avg_tone, avg_goldstein, first_seen, last_seen of the columns that exist.
 
-    Weights that are missing count 1; events are distinct ids if there are ids, else rows. Heaviest edges first.
+    Weights that are missing count 1; events are distinct ids if there are ids, else rows. Heaviest edges first. Rows with ids are written to
+    the shared folder, so that the tasks that find the distinct ones are as many as the rows need, apart from what made the rows.
     """
     w = F.coalesce(number_of(events, weight), F.lit(1.0)) if weight in events.columns else F.lit(1.0)
     rows = events.withColumns({"__s": _end(events, "actor1_country"), "__t": _end(events, "actor2_country"), "__w": w}).where("__s is not null and __t is not null")
     if not self_loops:
         rows = rows.where("__s <> __t")
     number = lambda c: F.avg(number_of(events, c))
-    out = [(F.countDistinct("event_id") if "event_id" in events.columns else F.count("*")).alias("events"), F.sum("__w").alias("weight")]
+    out = [F.count("*").alias("events"), F.sum("__w").alias("weight")]
     out += [number(c).alias(f"avg_{c}") for c in ("tone", "goldstein") if c in events.columns]
     if "event_date" in events.columns:
         out += [F.min("event_date").alias("first_seen"), F.max("event_date").alias("last_seen")]
-    edges = rows.groupBy(F.col("__s").alias("source"), F.col("__t").alias("target")).agg(*out)
+    ends = [F.col("__s").alias("source"), F.col("__t").alias("target")]
+    if "event_id" in events.columns:
+        rows = materialise(rows.select("__s", "__t", "__w", *(c for c in ("event_id", "tone", "goldstein", "event_date") if c in events.columns)), "interactions")
+        named = rows.where("event_id is not null").select(*ends, "event_id")
+        named = named.repartition(max(1, -(-rows.count() // TASK_ROWS)), "source", "target", "event_id").distinct()
+        sums = rows.groupBy(*ends).agg(*out)
+        counts = named.groupBy("source", "target").agg(F.count("*").alias("__events"))
+        counted = sums.join(counts, ["source", "target"], "left").withColumn("events", F.coalesce("__events", F.lit(0)))
+        edges = counted.select(*sums.columns)
+    else:
+        edges = rows.groupBy(*ends).agg(*out)
     if min_events > 1:
         edges = edges.where(F.col("events") >= min_events)
     if min_weight is not None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statera import bindings as B
-from statera.operators import ml
+from statera.operators import graph, ml
 from statera.queries import QUERIES
 from statera.sources import feeds
 
@@ -68,3 +68,15 @@ def test_a_payload_is_parsed_once_in_a_pass(spark, tmp_path, capsys):
         capsys.readouterr()
         df.explain("simple")
         assert capsys.readouterr().out.count("parseJson(") == 1
+
+
+def test_distinct_ids_are_found_in_tasks_of_few_rows(spark, capsys, monkeypatch):
+    rows = [(i // 2 if i % 10 else None, "a", "b" if i % 3 else "c", 1.0, 0.5) for i in range(3000)] + [(None, "c", "d", 2.0, None)]
+    events = spark.createDataFrame(rows, "event_id long, actor1_country string, actor2_country string, num_articles double, tone double")
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    edges = graph.graph_edges(events)
+    edges.explain("simple")
+    assert ", 31), REPARTITION_BY_NUM" in capsys.readouterr().out
+    expected = {t: (len({r[0] for r in rows if r[2] == t and r[0] is not None}), sum(r[3] for r in rows if r[2] == t)) for t in ("b", "c", "d")}
+    assert {r.target.lower(): (r.events, r.weight) for r in edges.collect()} == expected
+    assert edges.columns == ["source", "target", "events", "weight", "avg_tone"]
