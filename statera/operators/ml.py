@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statera.functions.expressions import slug
-from statera.functions.ranking import rank_global
+from statera.functions.ranking import rank_in_group
 from statera.operators.evaluate import align_target, summary_table
 from statera.operators.timeseries import expanding_splits, forward_fill
 from statera.sources.storage import listed, materialise, publish, remove
@@ -91,31 +92,41 @@ def _by_rows(data: DataFrame, n: int) -> DataFrame:
     return materialise(data.repartition(-(-n // TASK_ROWS), "date", "entity"), "fit")
 
 
-def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 3, at_once: int = 3) -> TrainedModel:
-    """Gradient-boosted trees, calibrated by isotonic regression on contiguous folds of each class.
-
-    For each fold trees are fitted on the others and calibrated on it; predictions are the mean of the folds, of which ``at_once`` are fitted at a
-    time. With fewer rows of a class than folds there is one model and no calibration; with one class its constant. Order is (date, entity).
-    """
-    features = _chosen(config, names)
-    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def _fits(ranked: DataFrame, counts: Mapping[float, int], config: ModelConfig, features: list[str], folds: int) -> list[Callable[[], tuple[Model, IsotonicRegressionModel | None]]]:
+    """The members of one model, each still to be fitted, on rows with their ``__rank`` within their class; none where there is one class only."""
     if len(counts) < 2:
-        return TrainedModel(config, features, [], {"constant": float(next(iter(counts), 0.0))})
+        return []
     trees = Pipeline(stages=[_assembler(features), GBTClassifier(maxIter=config.trees, stepSize=config.step, maxDepth=config.depth, seed=config.seed)])
     if min(counts.values()) < folds:
-        return TrainedModel(config, features, [(trees.fit(_by_rows(data, sum(counts.values()))), None)])
-    parts = []
-    for label, n in sorted(counts.items()):
-        ranked = rank_global(data.where(F.col("label") == label), [F.col("date"), F.col("entity")], "__rank")
-        parts.append(ranked.withColumn("__fold", F.floor((F.col("__rank") - 1) * folds / n).cast("int")).drop("__rank"))
-    split = _by_rows(reduce(DataFrame.unionByName, parts), sum(counts.values()))
+        return [lambda: (trees.fit(ranked), None)]
+    n = reduce(lambda c, label: c.when(F.col("label") == label, counts[label]), counts, F)
+    split = ranked.withColumn("__fold", F.floor((F.col("__rank") - 1) * folds / n).cast("int"))
 
     def fit(k: int) -> tuple[Model, IsotonicRegressionModel]:
         model = trees.fit(split.where(F.col("__fold") != k))
         held = model.transform(split.where(F.col("__fold") == k)).select("label", vector_to_array("probability")[1].alias("p"))
         return model, IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(held)
 
-    return TrainedModel(config, features, _together([partial(fit, k) for k in range(folds)], at_once))
+    return [partial(fit, k) for k in range(folds)]
+
+
+def _constant(counts: Mapping[float, int]) -> dict:
+    """What a model without members predicts: the one class that its rows have."""
+    return {"constant": float(next(iter(counts), 0.0))} if len(counts) < 2 else {}
+
+
+def train_gbt(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 3, at_once: int = 3) -> TrainedModel:
+    """Gradient-boosted trees, calibrated by isotonic regression on contiguous folds of each class.
+
+    For each fold trees are fitted on the others and calibrated on it; predictions are the mean of the folds, of which ``at_once`` are fitted at a
+    time. With fewer rows of a class than folds there is one model and no calibration; with one class its constant. Order is (date, entity).
+    """
+    features = _chosen(config, names)
+    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return TrainedModel(config, features, [], _constant(counts))
+    ranked = _by_rows(rank_in_group(data, ["label"], [F.col("date"), F.col("entity")], "__rank"), sum(counts.values()))
+    return TrainedModel(config, features, _together(_fits(ranked, counts, config, features, folds), at_once))
 
 
 def train_mlp(data: DataFrame, config: ModelConfig, names: Sequence[str]) -> TrainedModel:
@@ -152,11 +163,27 @@ def diagnostics(predictions: DataFrame) -> DataFrame:
     return summary_table(predictions, 0.5)
 
 
-def rolling_backtest(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 5, at_once: int = 3) -> DataFrame:
-    """Predictions on each fold by a model trained on all rows before it, with the fold's number. Order is (date, entity). ``at_once`` models are made at a time."""
+def rolling_backtest(data: DataFrame, config: ModelConfig, names: Sequence[str], folds: int = 5, at_once: int = 15) -> DataFrame:
+    """Predictions on each fold by a model as of :func:`train_gbt`, trained on all rows before it, with the fold's number. Order is (date, entity).
+
+    A row's rank within its class is the same among all rows as among those before a fold, so rows are ranked and written once for all folds, and the members of
+    all folds' models are fitted side by side, ``at_once`` at a time.
+    """
+    features = _chosen(config, names)
     split = materialise(expanding_splits(data, folds, [F.col("date"), F.col("entity")]), "backtest")
-    trained = _together([partial(train_gbt, split.where(F.col("fold") < k).drop("row", "fold"), config, names) for k in range(1, folds + 1)], at_once)
-    outs = [predict([model], split.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k, model in enumerate(trained, 1)]
+    found = split.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()
+    ranked = _by_rows(rank_in_group(split, ["label"], [F.col("row")], "__rank"), sum(r["n"] for r in found))
+    models, jobs = [], []
+    for k in range(1, folds + 1):
+        counts = Counter()
+        for r in found:
+            if r["fold"] < k:
+                counts[r["label"]] += r["n"]
+        models.append(TrainedModel(config, features, [], _constant(counts)))
+        jobs += [(models[-1], fit) for fit in _fits(ranked.where(F.col("fold") < k), counts, config, features, 3)]
+    for (model, _), member in zip(jobs, _together([fit for _, fit in jobs], at_once), strict=True):
+        model.members.append(member)
+    outs = [predict([model], ranked.where(F.col("fold") == k)).withColumn("fold", F.lit(k)) for k, model in enumerate(models, 1)]
     return reduce(DataFrame.unionByName, outs)
 
 

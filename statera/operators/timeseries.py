@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statera.functions.expressions import col, logistic, numeric_columns
 from statera.functions.ranking import carry_forward, rank_global, rank_in_group, trailing, with_group
+from statera.sources.storage import materialise
 
 #: Weights of the risk index. Fixed values.
 WEIGHTS = {"coup": 0.6, "violence": 0.5, "displacement": 0.3, "economic": 0.2, "constraints": 0.2}
@@ -44,7 +45,11 @@ def _grid(df: DataFrame, days: DataFrame, fill: float | None) -> DataFrame:
 
 
 def _rolling(df: DataFrame, n: int, calendar: bool, fill: float | None, of: Callable[[str], Column]) -> DataFrame:
-    """A trailing aggregate on the grid. As all entities have a row for each date, the last ``n`` rows are the last ``n`` numbers of dates."""
+    """A trailing aggregate on the grid. As all entities have a row for each date, the last ``n`` rows are the last ``n`` numbers of dates.
+
+    The grid takes dates, entities and values of ``df``, which is written first: what it is made of is read once.
+    """
+    df = materialise(df.select("date", "entity", "value"), "series")
     if calendar:
         grid, at = densify_grid(df, fill), F.unix_date(F.to_date("date")).cast("long")
     else:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from statera import bindings as B
-from statera.operators import graph, ml
+from statera.operators import graph, ml, timeseries
+from statera.operators.timeseries import expanding_splits
 from statera.queries import QUERIES
 from statera.sources import feeds
 
@@ -80,3 +81,36 @@ def test_distinct_ids_are_found_in_tasks_of_few_rows(spark, capsys, monkeypatch)
     expected = {t: (len({r[0] for r in rows if r[2] == t and r[0] is not None}), sum(r[3] for r in rows if r[2] == t)) for t in ("b", "c", "d")}
     assert {r.target.lower(): (r.events, r.weight) for r in edges.collect()} == expected
     assert edges.columns == ["source", "target", "events", "weight", "avg_tone"]
+
+
+def test_a_backtest_ranks_and_writes_rows_once_for_all_folds(spark, monkeypatch):
+    day = F.expr("date_add(DATE'2024-01-01', cast(id div 2 as int))")
+    # fold 1 is trained on one class, fold 2 with fewer rows of a class than calibration folds
+    label = F.when(F.col("id") < 19, F.lit(0.0)).otherwise((F.col("id") % 9 < 3).cast("double"))
+    rows = spark.range(60).select(day.alias("date"), F.concat(F.lit("e"), F.col("id") % 2).alias("entity"), (F.col("id") * 7 % 11).cast("double").alias("x"), label.alias("label")).localCheckpoint()
+    written, write = [], ml.materialise
+    monkeypatch.setattr(ml, "materialise", lambda df, name: written.append(name) or write(df, name))
+    config = ml.ModelConfig("m", trees=2, depth=1)
+    tested = ml.rolling_backtest(rows, config, ["x"], 4)
+    assert written == ["backtest", "fit"]
+    split = expanding_splits(rows, 4, [F.col("date"), F.col("entity")]).localCheckpoint()
+    classes = []
+    for k in range(1, 5):
+        before = split.where(F.col("fold") < k).drop("row", "fold")
+        classes.append(min(r["count"] for r in before.groupBy("label").count().collect()) if before.select("label").distinct().count() > 1 else 0)
+        alone = ml.predict([ml.train_gbt(before, config, ["x"])], split.where(F.col("fold") == k))
+        given = {(r.date, r.entity): (r.probability, r.outcome) for r in tested.where(F.col("fold") == k).collect()}
+        expected = {(r.date, r.entity): (r.probability, r.outcome) for r in alone.collect()}
+        assert len(given) == 12 and given.keys() == expected.keys()
+        assert all(given[key] == pytest.approx(expected[key], abs=1e-9) for key in given)
+    assert classes[0] == 0 and 0 < classes[1] < 3 <= classes[2]
+
+
+@pytest.mark.parametrize("calendar", [False, True])
+def test_trailing_values_read_their_input_once(spark, tmp_path, calendar):
+    path = str(tmp_path / "cells")
+    spark.range(40).selectExpr("date_add(DATE'2024-01-01', cast(id % 9 as int)) AS event_date", "cast(id % 3 as string) AS country", "id * 0.5D AS v").write.parquet(path)
+    source = spark.read.parquet(path)
+    for out in (timeseries.rolling_sum(timeseries.daily_counts(source), 3, calendar), timeseries.rolling_mean(timeseries.country_series(source, "v", "event_date"), 3, calendar)):
+        assert out.inputFiles() and not any(path in f for f in out.inputFiles())
+        assert out.count() == 27
