@@ -841,8 +841,6 @@ def _model_tables(spark, d):
 MODEL_FEATURES = (risk.FeatureConfig("events_daily", "events", 7), risk.FeatureConfig("humanitarian_pressure", "displacement", 7))
 MODEL_NAMES = ("events__events_daily", "humanitarian__humanitarian_pressure")
 DAILY_RISK = ml.ModelConfig("daily / risk")
-#: Fewer trees than the default: the backtest fits fifteen models, three for each of its five folds.
-BACKTEST = ml.ModelConfig("daily / risk", trees=10)
 
 
 def _training(spark, d):
@@ -891,7 +889,7 @@ def train_gbt(spark, d):
 
 @query("rolling_backtest")
 def rolling_backtest(spark, d):
-    out = ml.rolling_backtest(materialise(_training(spark, d), "training"), BACKTEST, MODEL_NAMES)
+    out = ml.rolling_backtest(materialise(_training(spark, d), "training"), DAILY_RISK, MODEL_NAMES)
     return evaluate.summary_table(out, model="fold")
 
 

@@ -114,3 +114,16 @@ def test_trailing_values_read_their_input_once(spark, tmp_path, calendar):
     for out in (timeseries.rolling_sum(timeseries.daily_counts(source), 3, calendar), timeseries.rolling_mean(timeseries.country_series(source, "v", "event_date"), 3, calendar)):
         assert out.inputFiles() and not any(path in f for f in out.inputFiles())
         assert out.count() == 27
+
+
+def test_the_backtest_query_fits_models_of_the_default_size(spark, monkeypatch):
+    asked = []
+
+    def tested(data, config, names):
+        asked.append((config.trees, config.depth, tuple(names)))
+        return data.select(F.lit(1).alias("fold"), F.lit(0.5).alias("probability"), F.col("label").alias("outcome"))
+
+    monkeypatch.setattr(ml, "rolling_backtest", tested)
+    assert QUERIES["rolling_backtest"](spark, "/root/testdata/sf0.001").count() == 1
+    default = ml.ModelConfig("m")
+    assert asked == [(default.trees, default.depth, ("events__events_daily", "humanitarian__humanitarian_pressure"))] and default.trees == 100
